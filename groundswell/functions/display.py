@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from groundswell.functions.keys import abbreviation
+from groundswell.functions.values import lookup
 
 # Fixed values.
 TIER_LABELS = {
@@ -23,8 +24,7 @@ def component_value(component: Column) -> Column:
 
 def tier_label(tier: Column) -> Column:
     """Label of a tier letter; a missing letter counts as F."""
-    pairs = [F.lit(text) for item in TIER_LABELS.items() for text in item]
-    return F.try_element_at(F.create_map(*pairs), F.coalesce(tier, F.lit("F")))
+    return lookup(TIER_LABELS, F.coalesce(tier, F.lit("F")))
 
 
 def state_label(prefix: Column) -> Column:

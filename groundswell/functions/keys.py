@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from groundswell.functions.values import strip
+from groundswell.functions.values import lookup, strip
 
 # State code -> abbreviation. The keys are also the valid prefixes.
 STATE_ABBR = {
@@ -41,8 +41,7 @@ def state_code(raw: Column) -> Column:
 
 def abbreviation(prefix: Column) -> Column:
     """Abbreviation of a two-digit state code, null when unknown."""
-    pairs = [F.lit(text) for item in STATE_ABBR.items() for text in item]
-    return F.try_element_at(F.create_map(*pairs), prefix)
+    return lookup(STATE_ABBR, prefix)
 
 
 def state_abbr(code: Column) -> Column:

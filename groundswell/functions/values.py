@@ -6,6 +6,8 @@ goes through ``try_*`` and gives null instead of ending the job.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 WHITESPACE = " \t\r\n\f\v"
@@ -27,8 +29,8 @@ def zfill(text: Column, width: int) -> Column:
 
 
 def to_long(text: Column) -> Column:
-    """Whole number, or null when the text is not one."""
-    return strip(text).try_cast("bigint")
+    """Whole number, or null when the text is not one; the cast ignores outer blanks."""
+    return text.try_cast("bigint")
 
 
 def blank_as_zero(text: Column) -> Column:
@@ -53,6 +55,16 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
+def lookup(table: Mapping[str, object], key: Column) -> Column:
+    """Value of ``key`` in a small constant table, null when it is not there."""
+    pairs = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
+
+def _literal(value: object) -> str:
+    return f"'{value}'" if isinstance(value, str) else str(value)
+
+
 def or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0))
 

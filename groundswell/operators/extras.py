@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundswell.config import INDICATOR_COLUMNS, MIN_SOURCES_FOR_SCORE
-from groundswell.functions.values import ratio
+from groundswell.functions.values import lookup, ratio
 from groundswell.operators.scoring import score_areas
 from groundswell.operators.transforms import flow_rows
 
@@ -166,8 +166,7 @@ def scenario_range(projections: DataFrame) -> DataFrame:
 
 def traffic_class(road_class: Column) -> Column:
     """Traffic score of a road class, null for other classes."""
-    pairs = [F.lit(value) for item in TRAFFIC_CLASS.items() for value in item]
-    return F.try_element_at(F.create_map(*pairs), road_class)
+    return lookup(TRAFFIC_CLASS, road_class)
 
 
 def places_in(places: DataFrame, categories: Sequence[str] = QSR_CATEGORIES) -> DataFrame:

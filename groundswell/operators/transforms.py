@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from groundswell.functions.keys import area_code
-from groundswell.functions.values import ratio, strip, zfill
+from groundswell.functions.values import ratio, strip
 from groundswell.operators.panel import growth, previous_value, with_base_value
 from groundswell.sources.files import flow_counts
 
@@ -163,24 +162,37 @@ def state_projections(bronze: DataFrame) -> DataFrame:
     )
 
 
-def flow_code(side: str) -> Column:
-    """Area of one side of a flow (``y1`` origin, ``y2`` destination).
+def flow_rows(flows: DataFrame, **areas: str) -> DataFrame:
+    """Usable flows: one area column per ``name=side``, and ``people``.
 
-    Null for summary states, state totals and blank or malformed codes. Parts are
-    padded before they are put together, so that 1 and 1 is 01001.
+    A side is ``y1`` (origin) or ``y2`` (destination). Summary states, state totals,
+    blank or malformed codes and bad numbers are left out. Code parts are padded
+    before they are put together, so that 1 and 1 is 01001. Stripping, filtering and
+    padding are separate steps so that each text is stripped once.
     """
-    state, county = strip(F.col(f"{side}_statefips")), strip(F.col(f"{side}_countyfips"))
-    usable = ~state.isin("", *SUMMARY_STATES) & ~county.isin("", STATE_TOTAL)
-    return F.when(usable, area_code(F.concat(zfill(state, 2), zfill(county, 3))))
-
-
-def flow_rows(flows: DataFrame, **areas: str) -> DataFrame:
-    """Usable flows: one area column per ``name=side``, and ``people``."""
-    picked = flows.select(
-        *[flow_code(side).alias(name) for name, side in areas.items()],
+    texts = flows.select(
+        *[
+            strip(F.col(f"{side}_{part}fips")).alias(f"{name}_{part}")
+            for name, side in areas.items()
+            for part in ("state", "county")
+        ],
         flow_counts(F.col("n2")).alias("people"),
     )
-    return picked.dropna()
+    usable = texts.filter("people IS NOT NULL")
+    for name in areas:
+        usable = usable.filter(
+            ~F.col(f"{name}_state").isin(*SUMMARY_STATES)
+            & (F.col(f"{name}_county") != STATE_TOTAL)
+            & F.col(f"{name}_state").rlike("^[0-9]{1,2}$")
+            & F.col(f"{name}_county").rlike("^[0-9]{1,3}$")
+        )
+    return usable.select(
+        *[
+            F.concat(F.lpad(f"{name}_state", 2, "0"), F.lpad(f"{name}_county", 3, "0")).alias(name)
+            for name in areas
+        ],
+        "people",
+    )
 
 
 def flow_totals(flows: DataFrame, side: str) -> DataFrame:

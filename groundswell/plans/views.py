@@ -8,6 +8,9 @@ fixed list (two survey years, a few scenarios) is an ``explode`` of literals.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from groundswell.operators import transforms
@@ -25,18 +28,34 @@ def _each(*values) -> Column:
     return F.explode(F.array(*[F.lit(v) for v in values]))
 
 
+def _once(view: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Build a view's (lazy) frame once per ``Views``: plans are slow to put together."""
+
+    @wraps(view)
+    def built(self: Views, *args: str) -> DataFrame:
+        key = (view.__name__, *args)
+        if key not in self.built:
+            self.built[key] = view(self, *args)
+        return self.built[key]
+
+    return built
+
+
 class Views:
     """The views of one data folder, each a lazy frame."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.built: dict[tuple[str, ...], DataFrame] = {}
 
+    @_once
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     # --- areas ---
 
+    @_once
     def geo(self) -> DataFrame:
         code = F.lpad(((F.col("c_custkey") * 37) % 100000).cast("string"), 5, "0")
         return self.table("customer").select(
@@ -48,6 +67,7 @@ class Views:
             "c_mktsegment",
         )
 
+    @_once
     def _orders(self, *columns: str) -> DataFrame:
         """Orders with their area."""
         orders = self.table("orders").select("o_orderkey", "o_custkey", *columns)
@@ -60,6 +80,7 @@ class Views:
         orders = self._orders(*order_columns)
         return items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
 
+    @_once
     def acs_b(self) -> DataFrame:
         key, year = F.col("c_custkey"), F.col("report_year")
         people = F.floor(F.abs("c_acctbal")) + 100 + (year - 1999) * (key % 7)
@@ -80,6 +101,7 @@ class Views:
 
     # --- raw sources ---
 
+    @_once
     def permits_b(self) -> DataFrame:
         units = _whole("l_quantity")
         single = F.col("l_returnflag") == "N"
@@ -103,6 +125,7 @@ class Views:
             )
         )
 
+    @_once
     def flows_raw(self) -> DataFrame:
         origin = F.lpad(((F.col("l_suppkey") * 37) % 100000).cast("string"), 5, "0")
         discount, tax = F.col("l_discount"), F.col("l_tax")
@@ -114,6 +137,7 @@ class Views:
             F.when(tax == 0.0, "d").otherwise(_whole("l_quantity").cast("string")).alias("n2"),
         )
 
+    @_once
     def vacancy_b(self) -> DataFrame:
         units = _whole("l_quantity")
         items = self._items(["l_quantity", "l_returnflag", "l_shipdate"])
@@ -132,6 +156,7 @@ class Views:
             )
         )
 
+    @_once
     def qcew_raw(self) -> DataFrame:
         key, date = F.col("o_orderkey"), F.col("o_orderdate")
 
@@ -156,6 +181,7 @@ class Views:
             text(1 + key % 40).alias("qtrly_estabs"),
         )
 
+    @_once
     def enrollment_b(self) -> DataFrame:
         orders = self._orders("o_orderdate", "o_orderpriority")
         return orders.filter(F.col("c_acctbal") >= 0).select(
@@ -165,6 +191,7 @@ class Views:
             (F.col("o_orderkey") % 1000).alias("total_enrollment"),
         )
 
+    @_once
     def business_b(self) -> DataFrame:
         items = self._items(["l_partkey", "l_quantity"], "o_orderdate")
         parts = self.table("part").select("p_partkey", "p_size")
@@ -179,6 +206,7 @@ class Views:
             (units * 12).alias("employees"),
         )
 
+    @_once
     def ssp_b(self) -> DataFrame:
         states = (
             self.geo()
@@ -199,6 +227,7 @@ class Views:
             )
         )
 
+    @_once
     def popproj_raw(self) -> DataFrame:
         key = F.col("n_nationkey")
         return (
@@ -216,6 +245,7 @@ class Views:
             )
         )
 
+    @_once
     def bps_raw(self) -> DataFrame:
         single, multi = F.col("single_family_units"), F.col("multi_family_units")
         one, rest = F.lit("1"), multi % 4
@@ -246,6 +276,7 @@ class Views:
         schema = ", ".join(f"{n} string" for n in names)
         return rows.unionByName(self.spark.createDataFrame([header, short], schema))
 
+    @_once
     def census_raw(self) -> DataFrame:
         homes = F.col("households")
 
@@ -272,6 +303,7 @@ class Views:
         payload = F.to_json(F.array(header, F.array(*cells.values())))
         return self.acs_b().filter("report_year = 2000").select(payload.alias("value"))
 
+    @_once
     def boundaries_raw(self) -> DataFrame:
         key = F.col("c_custkey")
         rows = self.geo().filter(F.col("c_mktsegment") != "HOUSEHOLD").select(
@@ -284,6 +316,7 @@ class Views:
         schema = "GEOID string, GEO_ID string, STATE string, NAME string"
         return rows.unionByName(self.spark.createDataFrame(extra, schema))
 
+    @_once
     def crosswalk_b(self) -> DataFrame:
         step = F.col("step")
         return (
@@ -300,27 +333,34 @@ class Views:
 
     # --- Silver shapes ---
 
+    @_once
     def population(self) -> DataFrame:
         """(fips, population) of the latest survey year."""
         return latest_per_key(self.demographics(), ["population"])
 
+    @_once
     def demographics(self) -> DataFrame:
         return transforms.demographics(self.acs_b())
 
+    @_once
     def permits(self) -> DataFrame:
         return transforms.permits_quarterly(self.permits_b())
 
+    @_once
     def net_flows(self) -> DataFrame:
         flows = self.flows_raw()
         return transforms.net_migration(flows, flows, FLOW_YEAR, FLOW_QUARTER)
 
+    @_once
     def migration(self) -> DataFrame:
         return transforms.migration_rate(self.net_flows(), self.population())
 
+    @_once
     def vacancy(self) -> DataFrame:
         # the view groups by area and quarter
         return transforms.vacancy_change(self.vacancy_b(), one_row_per_period=True)
 
+    @_once
     def wages(self) -> DataFrame:
         """Wages file summed to one row per area and quarter."""
         rows = accepted(parse_employment(self.qcew_raw()))
@@ -329,21 +369,26 @@ class Views:
             F.sum("total_wages").alias("total_wages"),
         )
 
+    @_once
     def employment(self) -> DataFrame:
         return transforms.employment_growth(self.wages(), one_row_per_period=True)
 
+    @_once
     def enrollment(self) -> DataFrame:
         return transforms.enrollment_growth(self.enrollment_b())
 
+    @_once
     def business(self) -> DataFrame:
         return transforms.business_density(self.business_b(), self.population())
 
+    @_once
     def construction(self) -> DataFrame:
         units = self.permits().groupBy("fips", "report_year", "report_quarter").agg(
             F.sum("total_units_permitted").alias("permitted_units")
         )
         return transforms.construction_growth(units, one_row_per_period=True)
 
+    @_once
     def projections(self) -> DataFrame:
         return transforms.projection_growth(self.ssp_b())
 

@@ -322,8 +322,10 @@ def boundary_keys(boundaries: DataFrame) -> DataFrame:
 
 
 def flow_counts(n: Column) -> Column:
-    """Number of people in a flow: decimal text cut to a whole number, absent is 0."""
-    return F.when(n.isNull(), F.lit(0).cast("bigint")).otherwise(
-        strip(n).try_cast("double").try_cast("bigint")
-    )
+    """Number of people in a flow: decimal text cut to a whole number, absent is 0.
+
+    Text without a digit is no number; sorting it out first spares a costly failed cast.
+    """
+    text = F.coalesce(n, F.lit("0"))
+    return F.when(text.rlike("[0-9]"), text).try_cast("double").try_cast("bigint")
 
