@@ -41,7 +41,7 @@ def export_scores(scores: DataFrame) -> DataFrame:
 
 def parse_components(text: Column) -> Column:
     """JSON text back to the component struct, null when it is not JSON."""
-    return F.from_json(text, COMPONENTS)
+    return F.when(F.get_json_object(text, "$").isNotNull(), F.from_json(text, COMPONENTS))
 
 
 def component_long(scores: DataFrame, key: str = "fips") -> DataFrame:
