@@ -245,7 +245,8 @@ def area_trends(
     """Quarterly series per area from four Silver tables (one area if ``fips``).
 
     Permits are per 1,000 of the area's latest population. A quarter appears when any
-    table has it. Each table has one row per area and quarter.
+    table has it. Each table has one row per area and quarter, so the outer join of
+    the four is one aggregate of their union: one shuffle for all of them.
     """
     grain = ["fips", "report_year", "report_quarter"]
     people = latest_per_key(demographics, ["report_year", "population"])
@@ -253,15 +254,21 @@ def area_trends(
     per_1k = units.join(people.select("fips", "population"), "fips", "left").select(
         *grain, (ratio(F.col("_units"), F.col("population")) * 1000).alias("permits_per_1k_pop")
     )
-    tables = [
-        per_1k,
-        migration.select(*grain, "net_migration_rate"),
-        vacancy.select(*grain, "vacancy_rate_yoy_change"),
-        employment.select(*grain, "employment_growth_rate"),
-    ]
-    if fips is not None:
-        tables = [table.filter(F.col("fips") == fips) for table in tables]
-    series = tables[0]
-    for table in tables[1:]:
-        series = series.join(table, grain, "full")
-    return series
+    tables = {
+        "permits_per_1k_pop": per_1k,
+        "net_migration_rate": migration,
+        "vacancy_rate_yoy_change": vacancy,
+        "employment_growth_rate": employment,
+    }
+    series = None
+    for metric, table in tables.items():
+        chosen = table if fips is None else table.filter(F.col("fips") == fips)
+        part = chosen.select(
+            *grain,
+            *[
+                (F.col(m) if m == metric else F.lit(None)).cast("double").alias(m)
+                for m in tables
+            ],
+        )
+        series = part if series is None else series.unionByName(part)
+    return series.groupBy(*grain).agg(*[F.max(m).alias(m) for m in tables])

@@ -25,6 +25,8 @@ from groundswell.functions.values import (
 REJECT = "reject_reason"
 
 PERMIT_FIELDS = 17
+PAYLOAD_BYTES = 64 << 20  # a larger payload file is read by line
+_RECORDS = "array<array<string>>"
 # A comma outside double quotes.
 _FIELD_BREAK = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
@@ -127,9 +129,43 @@ def parse_construction(fields: DataFrame, year: int, quarter: int) -> DataFrame:
 # --- census tables (JSON array of arrays, first row is the header) -------------------
 
 
-def read_census(spark: SparkSession, path: str) -> DataFrame:
-    """One row ``value`` per staged payload file."""
-    return spark.read.text(path, wholetext=True)
+def read_census(
+    spark: SparkSession, path: str, payload_bytes: int = PAYLOAD_BYTES
+) -> DataFrame:
+    """Staged payloads as rows ``value``: JSON arrays whose first row is the header.
+
+    A file is one payload and is read whole while every file is small (sizes come from
+    the file listing, no content is read). With a larger file the payloads are read by
+    line, one record each as the service writes them, and their file's header is put
+    back in front, so that one big file still splits over many tasks.
+    """
+    sizes = spark.read.format("binaryFile").load(path).agg(F.max("length").alias("largest"))
+    if (sizes.first()["largest"] or 0) <= payload_bytes:
+        return spark.read.text(path, wholetext=True)
+    line = strip(F.col("value"))
+    inner = F.regexp_replace(line, r"^\[\s*(?=\[)", "")
+    inner = F.regexp_replace(inner, r"((?<=\])\s*\]|,)$", "")
+    lines = (
+        spark.read.text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            line.rlike(r"^\[\s*\[").alias("opens"),
+            F.from_json(F.concat(F.lit("["), inner, F.lit("]")), _RECORDS).alias("rows"),
+        )
+        .filter(F.size("rows") > 0)
+    )
+    headers = lines.filter("opens").select("file", F.get("rows", F.lit(0)).alias("header"))
+    records = F.when(F.col("opens"), _after_first("rows")).otherwise(F.col("rows"))
+    return (
+        lines.select("file", records.alias("records"))
+        .filter(F.size("records") > 0)
+        .join(headers, "file")
+        .select(F.to_json(F.concat(F.array("header"), "records")).alias("value"))
+    )
+
+
+def _after_first(rows: str) -> Column:
+    return F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
 
 
 def census_rows(payloads: DataFrame, *names: str) -> DataFrame:
@@ -138,11 +174,11 @@ def census_rows(payloads: DataFrame, *names: str) -> DataFrame:
     Header positions are found once per payload, so exploded records carry a few
     integers and not the header; a column the payload lacks comes out null.
     """
-    tables = payloads.select(F.from_json("value", "array<array<string>>").alias("rows"))
+    tables = payloads.select(F.from_json("value", _RECORDS).alias("rows"))
     header = F.get("rows", F.lit(0))
     located = tables.select(
         *[(F.array_position(header, n).cast("int") - 1).alias(f"at_{n}") for n in names],
-        F.explode(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))).alias("r"),
+        F.explode(_after_first("rows")).alias("r"),
     )
     return located.select(
         *[F.when(F.col(f"at_{n}") >= 0, F.get("r", F.col(f"at_{n}"))).alias(n) for n in names]
