@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.join(ROOT, "scripts"))
 import check_oracles  # noqa: E402
 
 import __spark_entry__ as registry  # noqa: E402
+from groundswell.plans import catalog  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
@@ -21,6 +22,22 @@ def duck():
     return check_oracles.connect(SMALL)
 
 
+@pytest.fixture(autouse=True, scope="module")
+def one_indicator_table():
+    """Queries on the stored indicator table share one here, to save test time."""
+    store, tables = catalog._stored, {}
+
+    def stored(v, **options):
+        key = tuple(sorted(options))
+        if key not in tables:
+            tables[key] = store(v, **options)
+        return tables[key]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(catalog, "_stored", stored)
+        yield
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
