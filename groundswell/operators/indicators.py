@@ -54,9 +54,14 @@ def indicator_base(permits: DataFrame, demographics: DataFrame) -> DataFrame:
 
 
 def latest_projection(
-    projections: DataFrame, scenario: str = "SSP2", state_key: str = "fips"
+    projections: DataFrame, scenario: str = "SSP2", state_key: str | None = None
 ) -> DataFrame:
-    """Per state: last projected year of one scenario and its growth rate (null as 0)."""
+    """Per state: last projected year of one scenario and its growth rate (null as 0).
+
+    The state code is in ``state_key``; by default ``state_fips`` if there, else ``fips``.
+    """
+    if state_key is None:
+        state_key = "state_fips" if "state_fips" in projections.columns else "fips"
     newest = Window.partitionBy("_state").orderBy(
         F.col("projection_year").desc(), F.col("projected_growth_rate").asc()
     )
@@ -122,7 +127,7 @@ def build_indicator_table(
     spark: SparkSession,
     sources: Sources,
     scenario: str = "SSP2",
-    state_key: str = "fips",
+    state_key: str | None = None,
     missing: str = "default",
     more_columns: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:

@@ -25,9 +25,8 @@ from groundswell.operators.scoring import (
     score_areas,
     weight_table,
 )
-from groundswell.operators.serving import score_table
+from groundswell.operators.serving import export_scores, score_table
 from groundswell.schemas import GOLD_SCHEMAS, SILVER_SCHEMAS
-from groundswell.session import checkpointed
 from groundswell.sources.tables import conform, overwrite, read_optional, read_required
 
 logger = logging.getLogger(__name__)
@@ -117,25 +116,39 @@ def silver_sources(spark: SparkSession, catalog: str | None = None) -> dict[str,
     return sources
 
 
-def current_weights(spark: SparkSession, catalog: str | None = None) -> dict[str, float] | None:
-    """Saved weights, or None when none are saved."""
+def _config_tables(catalog: str | None) -> tuple[str, str]:
+    """The weight table and the staging table of a change in progress."""
     name = table_name(GOLD, CONFIG_TABLE, catalog)
-    if not spark.catalog.tableExists(name):
-        return None
-    return read_weights(read_required(spark, name))
+    return name, f"{name}_next"
+
+
+def current_weights(spark: SparkSession, catalog: str | None = None) -> dict[str, float] | None:
+    """Saved weights, or None when none are saved.
+
+    The staging table counts when a change was cut off while it replaced the table.
+    """
+    for name in _config_tables(catalog):
+        if spark.catalog.tableExists(name):
+            return read_weights(read_required(spark, name))
+    return None
 
 
 def save_weights(
     spark: SparkSession, updates: Mapping[str, float], catalog: str | None = None
 ) -> None:
-    """Replace the weights of known indicators; run Gold again to apply them."""
-    name = table_name(GOLD, CONFIG_TABLE, catalog)
-    current = weight_table(spark, current_weights(spark, catalog))
+    """Replace the weights of known indicators; run Gold again to apply them.
+
+    The change is written whole to the staging table first, so a job that dies on the
+    way leaves either the old weights or the new ones.
+    """
+    name, staging = _config_tables(catalog)
     rows = [(key, float(value), i) for i, (key, value) in enumerate(updates.items())]
     changed = apply_weight_updates(
-        current, spark.createDataFrame(rows, "indicator string, weight double, seq int")
+        weight_table(spark, current_weights(spark, catalog)),
+        spark.createDataFrame(rows, "indicator string, weight double, seq int"),
     )
-    overwrite(checkpointed(changed), name)
+    overwrite(changed.coalesce(1), staging)
+    overwrite(read_required(spark, staging), name)
 
 
 def run_gold(
@@ -153,6 +166,16 @@ def run_gold(
     scored = score_areas(read_required(spark, details), chosen)
     scores = conform(score_table(scored), GOLD_SCHEMAS[SCORES_TABLE])
     overwrite(scores, table_name(GOLD, SCORES_TABLE, catalog))
-    config = table_name(GOLD, CONFIG_TABLE, catalog)
-    if not spark.catalog.tableExists(config):
-        overwrite(weight_table(spark).coalesce(1), config)
+    if current_weights(spark, catalog) is None:
+        overwrite(weight_table(spark).coalesce(1), _config_tables(catalog)[0])
+
+
+def run_export(spark: SparkSession, layer: str = "serving", catalog: str | None = None) -> None:
+    """Copy the Gold tables for a database that takes no nested types.
+
+    Component scores become JSON text; details and weights go as they are.
+    """
+    shapes = {SCORES_TABLE: export_scores, DETAILS_TABLE: None, CONFIG_TABLE: None}
+    for name, shape in shapes.items():
+        gold = read_required(spark, table_name(GOLD, name, catalog))
+        overwrite(shape(gold) if shape else gold, table_name(layer, name, catalog))

@@ -98,6 +98,16 @@ def test_other_scenario(spark, sources):
     assert dade["ssp_projection_year"] == 2040
 
 
+def test_state_column_is_found(frame):
+    df = frame(
+        [("00001", "12", 2030, "SSP2", 0.1)],
+        "fips string, state_fips string, projection_year int, scenario string, "
+        "projected_growth_rate double",
+    )
+    assert indicators.latest_projection(df).first()["state_code"] == "12"
+    assert indicators.latest_projection(df, state_key="fips").first()["state_code"] == "00001"
+
+
 def test_null_state_rate_counts_as_zero(spark, sources):
     assert table(spark, sources)["99001"]["ssp_growth_rate"] == 0.0
 

@@ -134,7 +134,7 @@ def test_saved_weights_survive_and_apply(spark, loaded):
     pipeline.run_gold(spark)
     updates = {name: 0.0 for name in DEFAULT_WEIGHTS} | {"school_enrollment_growth": 1.0, "x": 9.0}
     pipeline.save_weights(spark, updates)
-    pipeline.run_gold(spark)
+    pipeline.run_gold(spark)  # keeps the saved weights
     saved = pipeline.current_weights(spark)
     assert saved["school_enrollment_growth"] == 1.0 and "x" not in saved
     scores = rows(spark.table("gold.gold_county_growth_score"), "fips")
@@ -144,6 +144,29 @@ def test_saved_weights_survive_and_apply(spark, loaded):
     for score, row in zip(scores, enrolled):
         share = 0.5 if high == low else (row["enrollment_per_capita"] - low) / (high - low)
         assert score["composite_score"] == pytest.approx(share * 100)
+    for name in ("gold_scoring_config", "gold_scoring_config_next"):
+        spark.sql(f"DROP TABLE gold.{name}")
+
+
+def test_weights_of_a_change_cut_off_are_found(spark, loaded):
+    pipeline.save_weights(spark, {"net_migration": 0.5})
+    spark.sql("DROP TABLE gold.gold_scoring_config")  # as when the replacement died
+    assert pipeline.current_weights(spark)["net_migration"] == 0.5
+    pipeline.save_weights(spark, {"vacancy_change": 0.1})
+    saved = pipeline.current_weights(spark)
+    assert (saved["net_migration"], saved["vacancy_change"]) == (0.5, 0.1)
+    for name in ("gold_scoring_config", "gold_scoring_config_next"):
+        spark.sql(f"DROP TABLE gold.{name}")
+
+
+def test_export_has_no_nested_types(spark, loaded):
+    pipeline.run_silver(spark)
+    pipeline.run_gold(spark)
+    pipeline.run_export(spark)
+    row = spark.table("serving.gold_county_growth_score").first()
+    assert set(json.loads(row["component_scores"])) <= set(DEFAULT_WEIGHTS)
+    assert spark.table("serving.gold_county_details").count() == 3
+    assert spark.table("serving.gold_scoring_config").count() == 6
 
 
 def test_optional_table(spark):
