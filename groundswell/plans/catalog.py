@@ -265,15 +265,7 @@ def latest_projection(v: Views) -> DataFrame:
 @_query
 def dedup_bronze(v: Views) -> DataFrame:
     """Several readings of an area and quarter: the last one taken in stays."""
-    date = F.col("o_orderdate")
-    readings = v._orders("o_orderdate").select(
-        "fips",
-        F.year(date).alias("report_year"),
-        F.quarter(date).alias("report_quarter"),
-        F.col("o_orderkey").alias("reading"),
-        date.alias("ingested_at"),
-    )
-    return drop_reloads(readings, ["fips", "report_year", "report_quarter"])
+    return drop_reloads(v.readings(), ["fips", "report_year", "report_quarter"])
 
 
 # --- indicators ----------------------------------------------------------------------

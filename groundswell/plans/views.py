@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundswell.operators import transforms
 from groundswell.operators.panel import latest_per_key
@@ -20,12 +20,8 @@ from groundswell.sources.files import accepted, parse_employment
 FLOW_YEAR, FLOW_QUARTER = 2000, 4
 
 
-def _whole(column: str) -> Column:
-    return F.col(column).cast("bigint")
-
-
-def _each(*values) -> Column:
-    return F.explode(F.array(*[F.lit(v) for v in values]))
+# Area code of a numeric key.
+AREA = "lpad(cast(({0} * 37) % 100000 AS string), 5, '0')"
 
 
 def _once(view: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -57,219 +53,190 @@ class Views:
 
     @_once
     def geo(self) -> DataFrame:
-        code = F.lpad(((F.col("c_custkey") * 37) % 100000).cast("string"), 5, "0")
-        return self.table("customer").select(
+        return self.table("customer").selectExpr(
             "c_custkey",
-            code.alias("fips"),
-            F.col("c_name").alias("county_name"),
+            f"{AREA.format('c_custkey')} AS fips",
+            "c_name AS county_name",
             "c_acctbal",
             "c_nationkey",
             "c_mktsegment",
         )
 
     @_once
-    def _orders(self, *columns: str) -> DataFrame:
+    def orders(self) -> DataFrame:
         """Orders with their area."""
-        orders = self.table("orders").select("o_orderkey", "o_custkey", *columns)
-        areas = self.geo()
+        orders, areas = self.table("orders"), self.geo()
         return orders.join(areas, orders["o_custkey"] == areas["c_custkey"])
 
-    def _items(self, item_columns: list[str], *order_columns: str) -> DataFrame:
-        """Line items with their order and area."""
-        items = self.table("lineitem").select("l_orderkey", *item_columns)
-        orders = self._orders(*order_columns)
-        return items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
+    @_once
+    def items(self) -> DataFrame:
+        """Line items with their order and area; each view prunes to its own columns."""
+        items, orders = self.table("lineitem"), self.orders()
+        joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
+        return joined.withColumn("units", F.col("l_quantity").cast("bigint"))
 
     @_once
     def acs_b(self) -> DataFrame:
-        key, year = F.col("c_custkey"), F.col("report_year")
-        people = F.floor(F.abs("c_acctbal")) + 100 + (year - 1999) * (key % 7)
-        return (
-            self.geo()
-            .withColumn("report_year", _each(1999, 2000))
-            .select(
-                "fips",
-                "report_year",
-                F.when(key % 97 == 0, F.lit(0)).otherwise(people).cast("bigint").alias("population"),
-                F.when(key % 11 != 0, (30000 + (key * 131) % 50000).cast("double")).alias(
-                    "median_income"
-                ),
-                (20 + key % 45).cast("double").alias("median_age"),
-                (key % 3000).alias("households"),
-            )
+        years = self.geo().selectExpr("*", "explode(array(1999, 2000)) AS report_year")
+        return years.selectExpr(
+            "fips",
+            "report_year",
+            """CASE WHEN c_custkey % 97 = 0 THEN 0
+              ELSE floor(abs(c_acctbal)) + 100 + (report_year - 1999) * (c_custkey % 7)
+            END AS population""",
+            """CASE WHEN c_custkey % 11 <> 0
+              THEN cast(30000 + (c_custkey * 131) % 50000 AS double) END AS median_income""",
+            "cast(20 + c_custkey % 45 AS double) AS median_age",
+            "c_custkey % 3000 AS households",
         )
 
     # --- raw sources ---
 
     @_once
     def permits_b(self) -> DataFrame:
-        units = _whole("l_quantity")
-        single = F.col("l_returnflag") == "N"
-        items = self._items(["l_quantity", "l_returnflag"], "o_orderdate")
-        date = F.col("o_orderdate")
-        return (
-            items.filter(F.col("c_mktsegment") != "MACHINERY")
+        summed = (
+            self.items()
+            .filter("c_mktsegment <> 'MACHINERY'")
             .groupBy("o_orderkey", "fips", "county_name", "o_orderdate")
             .agg(
-                F.sum(F.when(single, units).otherwise(0)).alias("single_family_units"),
-                F.sum(F.when(~single, units).otherwise(0)).alias("multi_family_units"),
-                F.sum(units).alias("total_units"),
-            )
-            .select(
-                "fips",
-                "county_name",
-                (F.year(date) * 100 + F.month(date)).cast("string").alias("survey_date"),
-                "single_family_units",
-                "multi_family_units",
-                "total_units",
+                F.expr("sum(CASE WHEN l_returnflag = 'N' THEN units ELSE 0 END) AS single"),
+                F.expr("sum(CASE WHEN l_returnflag <> 'N' THEN units ELSE 0 END) AS multi"),
+                F.expr("sum(units) AS total"),
             )
         )
+        return summed.selectExpr(
+            "fips",
+            "county_name",
+            "cast(year(o_orderdate) * 100 + month(o_orderdate) AS string) AS survey_date",
+            "single AS single_family_units",
+            "multi AS multi_family_units",
+            "total AS total_units",
+        )
 
     @_once
     def flows_raw(self) -> DataFrame:
-        origin = F.lpad(((F.col("l_suppkey") * 37) % 100000).cast("string"), 5, "0")
-        discount, tax = F.col("l_discount"), F.col("l_tax")
-        return self._items(["l_suppkey", "l_quantity", "l_discount", "l_tax"]).select(
-            F.substring(origin, 1, 2).alias("y1_statefips"),
-            F.substring(origin, 3, 3).alias("y1_countyfips"),
-            F.when(discount == 0.1, "96").otherwise(F.substring("fips", 1, 2)).alias("y2_statefips"),
-            F.when(discount == 0.0, "000").otherwise(F.substring("fips", 3, 3)).alias("y2_countyfips"),
-            F.when(tax == 0.0, "d").otherwise(_whole("l_quantity").cast("string")).alias("n2"),
+        origin = AREA.format("l_suppkey")
+        return self.items().selectExpr(
+            f"substr({origin}, 1, 2) AS y1_statefips",
+            f"substr({origin}, 3, 3) AS y1_countyfips",
+            "CASE WHEN l_discount = 0.1D THEN '96' ELSE substr(fips, 1, 2) END AS y2_statefips",
+            "CASE WHEN l_discount = 0 THEN '000' ELSE substr(fips, 3, 3) END AS y2_countyfips",
+            "CASE WHEN l_tax = 0 THEN 'd' ELSE cast(units AS string) END AS n2",
         )
 
     @_once
     def vacancy_b(self) -> DataFrame:
-        units = _whole("l_quantity")
-        items = self._items(["l_quantity", "l_returnflag", "l_shipdate"])
         return (
-            items.filter(F.col("c_nationkey") >= 4)
+            self.items()
+            .filter("c_nationkey >= 4")
             .groupBy(
                 "fips",
                 F.year("l_shipdate").alias("report_year"),
                 F.quarter("l_shipdate").alias("report_quarter"),
             )
             .agg(
-                F.sum(units).alias("total_addresses"),
-                F.sum(F.when(F.col("l_returnflag") == "R", units).otherwise(0)).alias(
-                    "vacant_addresses"
-                ),
+                F.expr("sum(units) AS total_addresses"),
+                F.expr("sum(CASE WHEN l_returnflag = 'R' THEN units ELSE 0 END) AS vacant_addresses"),
             )
         )
 
     @_once
     def qcew_raw(self) -> DataFrame:
-        key, date = F.col("o_orderkey"), F.col("o_orderdate")
-
-        def text(number: Column) -> Column:
-            return number.cast("string")
-
-        return self._orders(
-            "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice"
-        ).select(
-            F.col("fips").alias("area_fips"),
-            F.when(F.col("o_orderstatus") == "F", "5").otherwise("0").alias("own_code"),
-            F.when(F.col("o_orderpriority") == "5-LOW", "1011")
-            .otherwise("10")
-            .alias("industry_code"),
-            F.lit("70").alias("agglvl_code"),
-            text(F.year(date)).alias("year"),
-            text(F.quarter(date)).alias("qtr"),
-            text(key % 500).alias("month1_emplvl"),
-            text(key % 700).alias("month2_emplvl"),
-            F.when(key % 13 == 0, "").otherwise(text(key % 900)).alias("month3_emplvl"),
-            text(F.floor("o_totalprice")).alias("total_qtrly_wages"),
-            text(1 + key % 40).alias("qtrly_estabs"),
+        return self.orders().selectExpr(
+            "fips AS area_fips",
+            "CASE WHEN o_orderstatus = 'F' THEN '5' ELSE '0' END AS own_code",
+            "CASE WHEN o_orderpriority = '5-LOW' THEN '1011' ELSE '10' END AS industry_code",
+            "'70' AS agglvl_code",
+            "cast(year(o_orderdate) AS string) AS year",
+            "cast(quarter(o_orderdate) AS string) AS qtr",
+            "cast(o_orderkey % 500 AS string) AS month1_emplvl",
+            "cast(o_orderkey % 700 AS string) AS month2_emplvl",
+            """CASE WHEN o_orderkey % 13 = 0 THEN ''
+              ELSE cast(o_orderkey % 900 AS string) END AS month3_emplvl""",
+            "cast(floor(o_totalprice) AS string) AS total_qtrly_wages",
+            "cast(1 + o_orderkey % 40 AS string) AS qtrly_estabs",
         )
 
     @_once
     def enrollment_b(self) -> DataFrame:
-        orders = self._orders("o_orderdate", "o_orderpriority")
-        return orders.filter(F.col("c_acctbal") >= 0).select(
+        return self.orders().filter("c_acctbal >= 0").selectExpr(
             "fips",
-            F.year("o_orderdate").alias("report_year"),
-            F.col("o_orderpriority").alias("district_id"),
-            (F.col("o_orderkey") % 1000).alias("total_enrollment"),
+            "year(o_orderdate) AS report_year",
+            "o_orderpriority AS district_id",
+            "o_orderkey % 1000 AS total_enrollment",
         )
 
     @_once
     def business_b(self) -> DataFrame:
-        items = self._items(["l_partkey", "l_quantity"], "o_orderdate")
-        parts = self.table("part").select("p_partkey", "p_size")
-        size, units = F.col("p_size"), _whole("l_quantity")
-        return items.join(parts, items["l_partkey"] == parts["p_partkey"]).select(
+        items, parts = self.items(), self.table("part")
+        return items.join(parts, items["l_partkey"] == parts["p_partkey"]).selectExpr(
             "fips",
-            F.year("o_orderdate").alias("report_year"),
-            F.when(size % 10 == 0, "7222")
-            .otherwise((1100 + size).cast("string"))
-            .alias("naics_code"),
-            units.alias("establishments"),
-            (units * 12).alias("employees"),
+            "year(o_orderdate) AS report_year",
+            """CASE WHEN p_size % 10 = 0 THEN '7222'
+              ELSE cast(1100 + p_size AS string) END AS naics_code""",
+            "units AS establishments",
+            "units * 12 AS employees",
         )
 
     @_once
     def ssp_b(self) -> DataFrame:
         states = (
             self.geo()
-            .filter((F.col("c_mktsegment") == "AUTOMOBILE") & (F.col("c_acctbal") > 5000))
-            .select(F.substring("fips", 1, 2).alias("fips"))
+            .filter("c_mktsegment = 'AUTOMOBILE' AND c_acctbal > 5000")
+            .selectExpr("substr(fips, 1, 2) AS fips")
             .distinct()
         )
-        number, year = F.col("fips").cast("int"), F.col("projection_year")
-        step = F.when(F.col("scenario") == "SSP1", 900).otherwise(1700)
         return (
-            states.withColumn("projection_year", _each(2030, 2035, 2040))
-            .withColumn("scenario", _each("SSP1", "SSP2"))
-            .withColumn(
-                "projected_population",
-                (1000000 + number * 10007 + (year - 2025) * (number % 7 - 3) * step).cast(
-                    "bigint"
-                ),
+            states.selectExpr("*", "explode(array(2030, 2035, 2040)) AS projection_year")
+            .selectExpr("*", "explode(array('SSP1', 'SSP2')) AS scenario")
+            .selectExpr(
+                "*",
+                """cast(1000000 + cast(fips AS int) * 10007
+                  + (projection_year - 2025) * (cast(fips AS int) % 7 - 3)
+                    * CASE WHEN scenario = 'SSP1' THEN 900 ELSE 1700 END
+                AS bigint) AS projected_population""",
             )
         )
 
     @_once
     def popproj_raw(self) -> DataFrame:
-        key = F.col("n_nationkey")
         return (
             self.table("nation")
-            .select("n_nationkey")
-            .withColumn("yr", _each(2030, 2040))
-            .withColumn("sex", _each(0, 1, 2))
-            .select(
-                (1000000 + key * 5003 + (F.col("yr") - 2020) * key * 10)
-                .cast("string")
-                .alias("POP"),
-                F.col("yr").cast("string").alias("YEAR"),
-                F.col("sex").cast("string").alias("SEX"),
-                (key + 1).cast("string").alias("state"),
+            .selectExpr("n_nationkey", "explode(array(2030, 2040)) AS yr")
+            .selectExpr("*", "explode(array('0', '1', '2')) AS SEX")
+            .selectExpr(
+                """cast(1000000 + n_nationkey * 5003 + (yr - 2020) * n_nationkey * 10
+                AS string) AS POP""",
+                "cast(yr AS string) AS YEAR",
+                "SEX",
+                "cast(n_nationkey + 1 AS string) AS state",
             )
         )
 
     @_once
     def bps_raw(self) -> DataFrame:
-        single, multi = F.col("single_family_units"), F.col("multi_family_units")
-        one, rest = F.lit("1"), multi % 4
         cells = [
-            F.col("survey_date"),
-            F.substring("fips", 1, 2),
-            F.substring("fips", 3, 3).cast("int").cast("string"),
-            F.lit("3"),
-            F.lit("5"),
-            F.concat("county_name", F.lit("   ")),
-            (single % 9).cast("string"),
-            single.cast("string"),
-            one,
-            one,
-            F.when(rest == 0, "").otherwise(rest.cast("string")),
-            one,
-            one,
-            F.lit("0"),
-            one,
-            one,
-            (multi - rest).cast("string"),
+            "survey_date",
+            "substr(fips, 1, 2)",
+            "cast(cast(substr(fips, 3, 3) AS int) AS string)",
+            "'3'",
+            "'5'",
+            "concat(county_name, '   ')",
+            "cast(single_family_units % 9 AS string)",
+            "cast(single_family_units AS string)",
+            "'1'",
+            "'1'",
+            """CASE WHEN multi_family_units % 4 = 0 THEN ''
+              ELSE cast(multi_family_units % 4 AS string) END""",
+            "'1'",
+            "'1'",
+            "'0'",
+            "'1'",
+            "'1'",
+            "cast(multi_family_units - multi_family_units % 4 AS string)",
         ]
         names = [f"c{i}" for i in range(len(cells))]
-        rows = self.permits_b().select(*[c.alias(n) for c, n in zip(cells, names)])
+        rows = self.permits_b().selectExpr(*[f"{c} AS {n}" for c, n in zip(cells, names)])
         header = ["Survey", "FIPS", "FIPS", "Region", "Division", "County", "", "1-unit", "", "",
                   "2-units", "", "", "3-4 units", "", "", "5+ units"]
         short = ["202001", "01", "001", "3", "5", "Short row"] + [None] * 11
@@ -278,39 +245,34 @@ class Views:
 
     @_once
     def census_raw(self) -> DataFrame:
-        homes = F.col("households")
-
-        def text(number: Column) -> Column:
-            return number.cast("string")
-
         cells = {
-            "B01003_001E": text(F.col("population")),
-            "B19013_001E": F.coalesce(text(F.col("median_income").cast("int")), F.lit("-")),
-            "B01002_001E": text(F.col("median_age")),
-            "B11001_001E": text(homes),
-            "B25002_001E": text(homes + 100),
-            "B25002_003E": text(homes % 50),
-            "B14001_002E": F.when(homes % 10 == 0, "").otherwise(text(homes * 3)),
-            "ESTAB": text(homes % 70),
-            "EMP": F.when(homes % 8 == 0, "-").otherwise(text(homes % 900)),
-            "NAICS2017": F.lit("7222"),
-            "SEX": F.lit("0"),
-            "NAME": F.concat(F.lit("Area "), "fips", F.lit(", State")),
-            "state": F.substring("fips", 1, 2),
-            "county": F.substring("fips", 3, 3),
+            "B01003_001E": "cast(population AS string)",
+            "B19013_001E": "coalesce(cast(cast(median_income AS int) AS string), '-')",
+            "B01002_001E": "cast(median_age AS string)",
+            "B11001_001E": "cast(households AS string)",
+            "B25002_001E": "cast(households + 100 AS string)",
+            "B25002_003E": "cast(households % 50 AS string)",
+            "B14001_002E": "if(households % 10 = 0, '', cast(households * 3 AS string))",
+            "ESTAB": "cast(households % 70 AS string)",
+            "EMP": "if(households % 8 = 0, '-', cast(households % 900 AS string))",
+            "NAICS2017": "'7222'",
+            "SEX": "'0'",
+            "NAME": "concat('Area ', fips, ', State')",
+            "state": "substr(fips, 1, 2)",
+            "county": "substr(fips, 3, 3)",
         }
-        header = F.array(*[F.lit(name) for name in cells])
-        payload = F.to_json(F.array(header, F.array(*cells.values())))
-        return self.acs_b().filter("report_year = 2000").select(payload.alias("value"))
+        header = ", ".join(f"'{name}'" for name in cells)
+        record = ", ".join(cells.values())
+        payload = f"to_json(array(array({header}), array({record}))) AS value"
+        return self.acs_b().filter("report_year = 2000").selectExpr(payload)
 
     @_once
     def boundaries_raw(self) -> DataFrame:
-        key = F.col("c_custkey")
-        rows = self.geo().filter(F.col("c_mktsegment") != "HOUSEHOLD").select(
-            F.when(key % 2 == 0, F.col("fips")).alias("GEOID"),
-            F.concat(F.lit("0500000US"), "fips").alias("GEO_ID"),
-            F.substring("fips", 1, 2).alias("STATE"),
-            F.col("county_name").alias("NAME"),
+        rows = self.geo().filter("c_mktsegment <> 'HOUSEHOLD'").selectExpr(
+            "CASE WHEN c_custkey % 2 = 0 THEN fips END AS GEOID",
+            "concat('0500000US', fips) AS GEO_ID",
+            "substr(fips, 1, 2) AS STATE",
+            "county_name AS NAME",
         )
         extra = [(None, "0500000US99999", "99", "Unscored area")]
         schema = "GEOID string, GEO_ID string, STATE string, NAME string"
@@ -318,19 +280,27 @@ class Views:
 
     @_once
     def crosswalk_b(self) -> DataFrame:
-        step = F.col("step")
         return (
             self.geo()
-            .withColumn("step", _each(0, 1))
-            .select(
-                F.lpad(((F.col("c_custkey") + step * 7) % 400).cast("string"), 5, "0").alias(
-                    "zip"
-                ),
+            .selectExpr("*", "explode(array(0, 1)) AS step")
+            .selectExpr(
+                "lpad(cast((c_custkey + step * 7) % 400 AS string), 5, '0') AS zip",
                 "fips",
-                F.when(step == 0, 0.25).otherwise(0.75).alias("ratio"),
+                "CASE WHEN step = 0 THEN 0.25D ELSE 0.75D END AS ratio",
             )
         )
 
+    @_once
+    def readings(self) -> DataFrame:
+        """Several readings per area and quarter, each with the time it was taken in."""
+        return self.orders().selectExpr(
+            "fips",
+            "year(o_orderdate) AS report_year",
+            "quarter(o_orderdate) AS report_quarter",
+            "o_orderkey AS reading",
+            "o_orderdate AS ingested_at",
+        )
+
     # --- Silver shapes ---
 
     @_once
