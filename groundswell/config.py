@@ -67,3 +67,8 @@ LOG_TABLE = "_ingestion_log"
 def table_name(layer: str, table: str, catalog: str | None = None) -> str:
     """``[catalog.]layer.table``; the session catalog when none is named."""
     return ".".join(part for part in (catalog, layer, table) if part)
+
+
+def landed(source: str) -> str:
+    """Bronze table that a source's landing stream fills."""
+    return f"{source}_landed"

@@ -104,11 +104,10 @@ def rank_shift(
     columns: Mapping[str, str] = INDICATOR_COLUMNS,
 ) -> DataFrame:
     """Rank of each area under two weight sets and how far it moves up."""
-    needed = indicators.select("fips", *columns.values())
-    first = score_areas(needed, before, columns).select(
+    first = score_areas(indicators, before, columns, keep=["fips"]).select(
         "fips", F.col("rank_national").alias("rank_before")
     )
-    second = score_areas(needed, after, columns).select(
+    second = score_areas(indicators, after, columns, keep=["fips"]).select(
         "fips", F.col("rank_national").alias("rank_after")
     )
     return first.join(second, "fips").withColumn(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,7 +16,6 @@ from groundswell.config import (
     SEVEN_WEIGHTS,
 )
 from groundswell.operators.ordering import number_rows, tile
-from groundswell.session import checkpointed
 
 TIES = 6  # decimals of a score that count for its rank
 
@@ -175,20 +174,21 @@ def score_areas(
     weights: Mapping[str, float] | None = None,
     columns: Mapping[str, str] = INDICATOR_COLUMNS,
     inverted: Collection[str] = (),
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Score, tier and rank every area; adds the ``component_scores`` struct.
 
     ``indicators`` is read several times (bounds, sort sample, sort): pass a written
-    table or a checkpointed frame, not a long unevaluated plan.
+    table or a checkpointed frame, not a long unevaluated plan. ``keep`` names the
+    input columns the result needs (all by default); the others are dropped before
+    the sort, which makes its shuffle narrower.
     """
-    scored = composite(indicators, weights, columns, inverted)
-    scored = scored.withColumn("component_scores", components(columns))
-    return ranked(scored.drop(*[norm(name) for name in columns])).drop("percentile")
-
-
-def score_from(indicators: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """``score_areas`` on a plan that is not written yet: checkpoint it first."""
-    return score_areas(checkpointed(indicators), weights)
+    scored = composite(indicators, weights, columns, inverted).select(
+        *(indicators.columns if keep is None else keep),
+        "composite_score",
+        components(columns).alias("component_scores"),
+    )
+    return ranked(scored).drop("percentile")
 
 
 def seven_indicator_score(indicators: DataFrame) -> DataFrame:

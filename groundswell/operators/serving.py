@@ -14,6 +14,8 @@ from groundswell.operators.panel import latest_per_key
 from groundswell.schemas import COMPONENTS, GOLD_SCHEMAS
 
 SCORE_COLUMNS = GOLD_SCHEMAS["gold_county_growth_score"].fieldNames()
+# Those a score row takes over from the indicator table.
+AREA_COLUMNS = [c for c in SCORE_COLUMNS if c in GOLD_SCHEMAS["gold_county_details"].fieldNames()]
 
 # Metrics with a range filter.
 METRICS = (

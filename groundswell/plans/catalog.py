@@ -428,7 +428,8 @@ def _flat(scores: DataFrame) -> DataFrame:
 def _gold(v: Views) -> tuple[DataFrame, DataFrame]:
     """Score and detail tables."""
     details = _stored(v)
-    return serving.score_table(scoring.score_areas(details)), _details(details)
+    scored = scoring.score_areas(details, keep=serving.AREA_COLUMNS)
+    return serving.score_table(scored), _details(details)
 
 
 @_query
@@ -454,7 +455,7 @@ def component_long(v: Views) -> DataFrame:
 
 @_query
 def custom_weights(v: Views) -> DataFrame:
-    scored = scoring.score_areas(_stored(v), CUSTOM_WEIGHTS)
+    scored = scoring.score_areas(_stored(v), CUSTOM_WEIGHTS, keep=["fips"])
     return scored.select("fips", "composite_score", "score_tier", "rank_national")
 
 

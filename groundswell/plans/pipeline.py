@@ -14,6 +14,7 @@ from groundswell.config import (
     GOLD,
     SCORES_TABLE,
     SILVER,
+    landed,
     table_name,
 )
 from groundswell.operators import transforms
@@ -25,6 +26,7 @@ from groundswell.operators.scoring import (
     score_areas,
     weight_table,
 )
+from groundswell.operators.serving import AREA_COLUMNS as SCORE_INPUTS
 from groundswell.operators.serving import export_scores, score_table
 from groundswell.schemas import GOLD_SCHEMAS, SILVER_SCHEMAS
 from groundswell.sources.tables import conform, overwrite, read_optional, read_required
@@ -75,6 +77,21 @@ TRANSFORMS: Mapping[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 }
 
 
+def bronze_tables(spark: SparkSession, name: str, catalog: str | None = None) -> list[str]:
+    """Existing tables of a source: the one of its loads and the one of its landing stream."""
+    names = [table_name(BRONZE, table, catalog) for table in (name, landed(name))]
+    return [table for table in names if spark.catalog.tableExists(table)]
+
+
+def read_bronze(spark: SparkSession, name: str, catalog: str | None = None) -> DataFrame:
+    """All rows of a source; an error when it has no table."""
+    tables = bronze_tables(spark, name, catalog) or [table_name(BRONZE, name, catalog)]
+    rows = read_required(spark, tables[0])
+    for other in tables[1:]:
+        rows = rows.unionByName(read_required(spark, other), allowMissingColumns=True)
+    return rows
+
+
 def run_silver(spark: SparkSession, catalog: str | None = None) -> list[str]:
     """Write every Silver table whose Bronze table exists; returns their names.
 
@@ -89,14 +106,14 @@ def run_silver(spark: SparkSession, catalog: str | None = None) -> list[str]:
         return silver
 
     def clean(name: str) -> DataFrame:
-        bronze = read_required(spark, table_name(BRONZE, name, catalog))
+        bronze = read_bronze(spark, name, catalog)
         return RELOADS[name](bronze) if "ingested_at" in bronze.columns else bronze
 
     written = [write("acs_demographics", transforms.demographics(clean("acs_demographics")))]
     people = read_required(spark, table_name(SILVER, "silver_acs_demographics", catalog))
     population = latest_per_key(people, ["population"])
     for name, transform in TRANSFORMS.items():
-        if not spark.catalog.tableExists(table_name(BRONZE, name, catalog)):
+        if not bronze_tables(spark, name, catalog):
             logger.warning("no Bronze table %s; skipped", name)
             continue
         written.append(write(name, transform(clean(name), population)))
@@ -163,7 +180,7 @@ def run_gold(
     table = build_indicator_table(spark, silver_sources(spark, catalog))
     overwrite(conform(table, GOLD_SCHEMAS[DETAILS_TABLE]), details)
     chosen = weights or current_weights(spark, catalog)
-    scored = score_areas(read_required(spark, details), chosen)
+    scored = score_areas(read_required(spark, details), chosen, keep=SCORE_INPUTS)
     scores = conform(score_table(scored), GOLD_SCHEMAS[SCORES_TABLE])
     overwrite(scores, table_name(GOLD, SCORES_TABLE, catalog))
     if current_weights(spark, catalog) is None:

@@ -68,6 +68,24 @@ def append(df: DataFrame, name: str, fmt: str = FORMAT) -> None:
     (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
 
 
+def replace_partition(
+    df: DataFrame, name: str, partition: str, value: int, fmt: str = FORMAT
+) -> None:
+    """Replace one partition of ``name`` by the rows of ``df`` (without that column).
+
+    The table is made if missing.
+    """
+    spark = df.sparkSession
+    _ensure_database(spark, name)
+    if not spark.catalog.tableExists(name):
+        empty = spark.createDataFrame([], df.schema).withColumn(partition, F.lit(value))
+        empty.write.format(fmt).partitionBy(partition).saveAsTable(name)
+    spark.sql(
+        f"INSERT OVERWRITE TABLE {name} PARTITION ({partition} = {value}) SELECT * FROM {{rows}}",
+        rows=df,
+    )
+
+
 def overwrite(df: DataFrame, name: str, fmt: str = FORMAT) -> None:
     """Replace the table and its schema."""
     _ensure_database(df.sparkSession, name)

@@ -5,30 +5,29 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession
 
+from groundswell.config import BRONZE, landed, table_name
 from groundswell.schemas import BRONZE_SCHEMAS
 from groundswell.sources.files import accepted, parse_permits, split_permits
 from groundswell.sources.run_log import load_counts, log_run
-from groundswell.sources.tables import conform, stamped
+from groundswell.sources.tables import conform, replace_partition, stamped
 
 
 def load_new_files(
     spark: SparkSession,
     source: str,
     landing: str,
-    target: str,
     checkpoint: str,
     parse: Callable[[DataFrame], DataFrame],
     catalog: str | None = None,
 ) -> int:
     """Load the files that arrived in ``landing`` since the last run; returns batches.
 
-    The query's checkpoint remembers the files it has read. Each batch replaces its
-    own ``batch_id`` folder of the Parquet table ``target``, so a batch that is
-    repeated after a failure overwrites its first try and rows never double. Point
-    ``target`` and ``checkpoint`` at storage all executors share. ``parse`` turns text
-    lines (column ``value``) into parsed rows.
+    The query's checkpoint (on storage all executors share) remembers the files it has
+    read. Each batch replaces its own ``batch_id`` partition of ``bronze.<source>_landed``,
+    so a batch that is repeated after a failure overwrites its first try and rows
+    never double. ``parse`` turns text lines (column ``value``) into parsed rows.
     """
     batches = 0
 
@@ -38,13 +37,8 @@ def load_new_files(
         counts = Observation(f"{source}_{batch_id}")
         rows = accepted(parse(lines).observe(counts, *load_counts()))
         table = conform(stamped(rows), BRONZE_SCHEMAS[source])
-        (
-            table.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(target)
-        )
+        target = table_name(BRONZE, landed(source), catalog)
+        replace_partition(table, target, "batch_id", batch_id)
         found = counts.get
         log_run(
             spark,
@@ -69,18 +63,13 @@ def load_new_files(
 
 
 def load_new_permits(
-    spark: SparkSession,
-    landing: str,
-    target: str,
-    checkpoint: str,
-    catalog: str | None = None,
+    spark: SparkSession, landing: str, checkpoint: str, catalog: str | None = None
 ) -> int:
     """Monthly permits files from a landing folder."""
     return load_new_files(
         spark,
         "building_permits",
         landing,
-        target,
         checkpoint,
         lambda lines: parse_permits(split_permits(lines)),
         catalog,

@@ -175,17 +175,24 @@ def test_optional_table(spark):
     assert missing.count() == 0 and missing.schema == schema
 
 
-def test_landing_loads_each_file_once(spark, tmp_path):
-    drop, target = tmp_path / "drop", str(tmp_path / "table")
+@pytest.fixture
+def landing_table(spark):
+    name = "bronze.building_permits_landed"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    yield name
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_landing_loads_each_file_once(spark, tmp_path, landing_table):
+    drop, state = tmp_path / "drop", str(tmp_path / "state")
     drop.mkdir()
-    state = str(tmp_path / "state")
     first = permit_lines(("202401", "12", "086", "A", 5), ("202401", "xx", "086", "A", 5))
     write(drop, "one.txt", first)
-    assert landing.load_new_permits(spark, str(drop), target, state) == 1
-    assert landing.load_new_permits(spark, str(drop), target, state) == 0  # nothing new
+    assert landing.load_new_permits(spark, str(drop), state) == 1
+    assert landing.load_new_permits(spark, str(drop), state) == 0  # nothing new
     write(drop, "two.txt", permit_lines(("202402", "12", "086", "A", 6)))
-    assert landing.load_new_permits(spark, str(drop), target, state) == 1
-    found = rows(spark.read.parquet(target), "survey_date")
+    assert landing.load_new_permits(spark, str(drop), state) == 1
+    found = rows(spark.table(landing_table), "survey_date")
     assert [(r["survey_date"], r["total_units"], r["batch_id"]) for r in found] == [
         ("202401", 8, 0),
         ("202402", 9, 1),
@@ -194,11 +201,23 @@ def test_landing_loads_each_file_once(spark, tmp_path):
     assert [(r["rows_loaded"], r["rows_rejected"]) for r in runs] == [(1, 1), (1, 0)]
 
 
-def test_landing_batch_retry_does_not_double(spark, tmp_path):
+def test_landing_batch_retry_does_not_double(spark, tmp_path, landing_table):
     """Without the checkpoint the same batch number is written again, over itself."""
-    drop, target = tmp_path / "drop", str(tmp_path / "table")
+    drop = tmp_path / "drop"
     drop.mkdir()
     write(drop, "one.txt", permit_lines(("202401", "12", "086", "A", 5)))
-    landing.load_new_permits(spark, str(drop), target, str(tmp_path / "first"))
-    landing.load_new_permits(spark, str(drop), target, str(tmp_path / "second"))
-    assert spark.read.parquet(target).count() == 1
+    landing.load_new_permits(spark, str(drop), str(tmp_path / "first"))
+    landing.load_new_permits(spark, str(drop), str(tmp_path / "second"))
+    assert spark.table(landing_table).count() == 1
+
+
+def test_silver_reads_landed_rows_too(spark, loaded, tmp_path, landing_table):
+    """A landed file of a new month adds to the loaded ones; a repeated month does not."""
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    write(drop, "new.txt", permit_lines(("202403", "12", "086", "Area 12", 97)))
+    write(drop, "again.txt", permit_lines(("202402", "36", "061", "Area 36", 360)))
+    landing.load_new_permits(spark, str(drop), str(tmp_path / "state"))
+    pipeline.run_silver(spark)
+    permits = rows(spark.table("silver.silver_building_permits"), "fips")
+    assert [r["total_units_permitted"] for r in permits] == [126, 246 + 100, 726]
