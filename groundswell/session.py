@@ -21,9 +21,6 @@ def local_session(cpus: int | str = "*", app: str = "groundswell", **conf: str)
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
-        # small local data: use every thread after a shuffle, broadcast no fact table
-        .config("spark.sql.autoBroadcastJoinThreshold", "2m")
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
