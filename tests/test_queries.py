@@ -11,10 +11,10 @@ sys.path.insert(0, os.path.join(ROOT, "scripts"))
 import check_oracles  # noqa: E402
 
 import __spark_entry__ as registry  # noqa: E402
-from groundswell.plans import catalog  # noqa: E402
+from groundswell.plans import catalog, oracles  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,8 @@ def one_indicator_table():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(registry.queries())
+    assert set(ORACLES) <= set(registry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
