@@ -1,0 +1,62 @@
+"""Plain single-process versions of the operators, for comparison on small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+SPACE = " \t\n\x0b\x0c\r"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def shingle_set(text):
+    words = WORD.findall(lower(text or ""))
+    if not words:
+        return frozenset()
+    size = min(5, len(words))
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+
+
+def near_duplicates(docs):
+    """{doc_id: (n_shingles, component_id, kept)}"""
+    sets = {d: shingle_set(t) for d, t in docs}
+    holders = defaultdict(set)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].add(d)
+    shared = Counter()
+    for found in holders.values():
+        found = sorted(found)
+        for i, a in enumerate(found):
+            for b in found[i + 1 :]:
+                shared[a, b] += 1
+    links = [
+        (a, b)
+        for (a, b), n in shared.items()
+        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)
+    ]
+    component = components(sets, links)
+    return {d: (len(s), component[d], component[d] == d) for d, s in sets.items()}
