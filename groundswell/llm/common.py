@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundswell.session import checkpointed
+from groundswell.session import checkpointed, ensure_checkpoint_dir
 
 __all__ = [
     "binary",
@@ -19,6 +20,8 @@ __all__ = [
     "fold",
     "mix",
     "per_batch",
+    "release",
+    "shared_folder",
     "shingles",
     "table",
 ]
@@ -87,3 +90,19 @@ def shingles(raw: bytes | None, size: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     hashes = digest_words(words)
     return np.unique(fold(hashes, min(size, len(hashes))))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    Call it after a checkpoint. Spark deletes them when the driver's garbage collector
+    finds their owners gone, which on an idle driver heap can take the whole job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
