@@ -263,7 +263,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a kept doc_id stay: they are one document, not a copy of another.
     """
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    gone = gone.distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    name = "_gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(name))
+    match = F.col("doc_id").cast("long") == F.col(name)
+    return docs.join(gone.distinct(), match, "left_anti")

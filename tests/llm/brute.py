@@ -60,3 +60,96 @@ def near_duplicates(docs):
     ]
     component = components(sets, links)
     return {d: (len(s), component[d], component[d] == d) for d, s in sets.items()}
+
+
+def line_report(docs):
+    """{doc_id: (n_lines, n_dropped, sha)}"""
+    lines = {d: (t or "").split("\n") for d, t in docs}
+    holders = defaultdict(set)
+    for d, found in lines.items():
+        for line in found:
+            key = lower(line.strip(SPACE))
+            if len(key) >= 20:
+                holders[key].add(d)
+    last = {k: max(h) for k, h in holders.items() if len(h) >= 3}
+    out = {}
+    for d, found in lines.items():
+        kept = [x for x in found if last.get(lower(x.strip(SPACE)), d) == d]
+        out[d] = (len(found), len(found) - len(kept), sha("\n".join(kept)))
+    return out
+
+
+def substring_report(docs):
+    """{doc_id: (n_words, n_removed, sha)}"""
+    words = {d: WORD.findall(t or "") for d, t in docs}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - 12):
+            first.setdefault(tuple(words[d][i : i + 13]), d)
+    out = {}
+    for d, found in words.items():
+        gone = [False] * len(found)
+        for i in range(len(found) - 12):
+            if first[tuple(found[i : i + 13])] < d:
+                gone[i : i + 13] = [True] * 13
+        kept = [w for w, g in zip(found, gone) if not g]
+        out[d] = (len(found), len(found) - len(kept), sha(" ".join(kept)))
+    return out
+
+
+def token_count(word, pieces):
+    """Pieces of the best path of one word, without sharing anything between words."""
+    best = [(0.0, 0)]
+    marked = "▁" + word
+    for end in range(1, len(marked) + 1):
+        width = len(marked[end - 1].encode())
+        options = [(best[end - 1][0] - 20.0 * width, -best[end - 1][1] - width)]
+        for start in range(end):
+            score = pieces.get(marked[start:end])
+            if score is not None:
+                options.append((best[start][0] + score, -best[start][1] - 1))
+        score, count = max(options)
+        best.append((score, -count))
+    return best[-1][1]
+
+
+def vector_links(rows, threshold=0.93):
+    """{vec_id: (n_links, component_id, kept)} of (vec_id, vector, label)."""
+    import numpy as np
+
+    good = {}
+    for i, v, label in rows:
+        if v is None or label is None or any(x is None for x in v):
+            continue
+        a = np.array(v, float)
+        if len(a) and np.isfinite(a).all() and a.any():
+            good[i] = (label, a / np.linalg.norm(a))
+    ids = sorted(good)
+    links = [
+        (a, b)
+        for n, a in enumerate(ids)
+        for b in ids[n + 1 :]
+        if good[a][0] == good[b][0]
+        and len(good[a][1]) == len(good[b][1])
+        and good[a][1] @ good[b][1] >= threshold
+    ]
+    count = Counter(x for pair in links for x in pair)
+    component = components([r[0] for r in rows], links)
+    return {r[0]: (count[r[0]], component[r[0]], component[r[0]] == r[0]) for r in rows}
+
+
+def nearest(rows, every=20, k=20):
+    """{query_id: [(vec_id, score), ...]}"""
+    import numpy as np
+
+    good = {
+        i: np.array(v, float)
+        for i, v in rows
+        if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    }
+    out = {}
+    for q in good:
+        if q % every == 0:
+            scores = [(-(good[i] * good[q]).sum(), i) for i in good if i != q]
+            out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
+    return out

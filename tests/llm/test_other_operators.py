@@ -1,0 +1,245 @@
+"""Vectors, pages, components, and the pipeline."""
+
+import math
+import os
+import random
+import sys
+
+import brute
+import numpy as np
+import pytest
+
+from groundswell.llm import embedding_dedup, neighbours
+from groundswell.llm.components import connected_components
+from groundswell.llm.html_text import between, extract_text, main_text
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.join(ROOT, "scripts"))
+
+import check_oracles  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+VECTORS = "vec_id long, embedding array<double>, label int, unit string, codes string, weight int"
+
+
+@pytest.fixture(scope="module")
+def odd_vectors():
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4, 16))
+    rows = []
+    for i in range(60):
+        v = base[i % 4] + rng.normal(size=16) * 0.12
+        rows.append((i, v.tolist(), i % 2 if i % 9 else None))
+    rows += [(60 + k, rows[1][1], 1) for k in range(5)]  # equal vectors
+    rows += [
+        (70, None, 1),
+        (71, [], 1),
+        (72, [0.0] * 16, 1),
+        (73, [1.0, None] * 8, 1),
+        (74, [math.nan] * 16, 1),
+        (75, [math.inf] + [1.0] * 15, 1),
+        (76, [2.0] * 5, 1),
+        (80, [x * 1e200 for x in rows[1][1]], 1),
+        (100, [x * 2 for x in rows[3][1]], 1),
+    ]
+    return rows
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "u", "c", 1) for r in rows], VECTORS).repartition(3)
+
+
+def by_id(df, *columns):
+    return {row[0]: tuple(row[c] for c in columns) for row in df.collect()}
+
+
+def test_vector_links_equal_brute_force(spark, odd_vectors):
+    rows = [r for r in odd_vectors if r[0] != 80]
+    found = by_id(
+        embedding_dedup.near_duplicate_vectors(table(spark, rows)), "n_links", "component_id", "kept"
+    )
+    assert found == brute.vector_links(rows)
+    assert embedding_dedup.near_duplicate_vectors(table(spark, rows).limit(0)).count() == 0
+
+
+def test_scaled_vectors_do_not_overflow(spark, odd_vectors):
+    found = by_id(embedding_dedup.near_duplicate_vectors(table(spark, odd_vectors)), "component_id")
+    assert found[80] == found[1] == found[60]
+
+
+def test_blocks_of_vectors_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=32)
+    rows = [(i, (base + rng.normal(size=32) * 0.25).tolist(), 0) for i in range(150)]
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    found = by_id(
+        embedding_dedup.near_duplicate_vectors(table(spark, rows)), "n_links", "component_id", "kept"
+    )
+    want = brute.vector_links(rows)
+    assert sum(v[0] for v in found.values()) >= 0.999 * sum(v[0] for v in want.values())
+    assert {k: v[1] for k, v in found.items()} == {k: v[1] for k, v in want.items()}
+
+
+def test_vector_links_of_a_table(small):
+    vectors = small("embeddings")
+    rows = [tuple(r) for r in vectors.select("vec_id", "embedding", "label").collect()]
+    found = by_id(embedding_dedup.near_duplicate_vectors(vectors), "n_links", "component_id", "kept")
+    assert found == brute.vector_links(rows)
+
+
+def results(df):
+    found = {}
+    for row in df.collect():
+        found.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
+    return {q: [(i, s) for _, i, s in sorted(rows)] for q, rows in found.items()}
+
+
+def recall(found, want):
+    hits = sum(len({i for i, _ in found[q]} & {i for i, _ in w}) for q, w in want.items())
+    return hits / max(1, sum(map(len, want.values())))
+
+
+def test_neighbours_of_a_table(small):
+    vectors = small("embeddings")
+    rows = [tuple(r) for r in vectors.select("vec_id", "embedding").collect()]
+    found, want = results(neighbours.nearest(vectors)), brute.nearest(rows)
+    assert set(found) == set(want) and all(len(found[q]) == len(want[q]) for q in want)
+    assert recall(found, want) >= 0.95
+    for q, rows in found.items():
+        exact = dict(want[q])
+        assert all(abs(exact.get(i, s) - s) < 1e-12 for i, s in rows)
+
+
+def test_neighbours_of_odd_vectors(spark, odd_vectors):
+    rows = [r[:2] for r in odd_vectors if r[0] not in (76, 80)]
+    df = table(spark, [r for r in odd_vectors if r[0] not in (76, 80)])
+    found, want = results(neighbours.nearest(df)), brute.nearest(rows)
+    assert {q: len(r) for q, r in found.items()} == {q: len(r) for q, r in want.items()}
+    assert recall(found, want) >= 0.95
+    assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0, 0.0, 0.0], 0) for i in range(0, 50)]
+    found = results(neighbours.nearest(table(spark, rows), k=5))
+    assert [i for i, _ in found[0]] == [1, 2, 3, 4, 5] and [i for i, _ in found[40]] == [0, 1, 2, 3, 4]
+
+
+def test_search_blocks_lose_nothing(small, monkeypatch):
+    vectors = small("embeddings")
+    rows = [tuple(r) for r in vectors.select("vec_id", "embedding").collect()]
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 64)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 8)
+    assert recall(results(neighbours.nearest(vectors)), brute.nearest(rows)) >= 0.95
+
+
+# --- pages ---
+
+ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script>
+</head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
+<div class="ad">Buy now</div><article><h1>Head &amp; line</h1><p><b>Bold  text<br>goes&nbsp;on<p>Two.</p>
+<form>Your name <input></form><aside>See also</aside><ul><li>One item<li>Other item</ul></article>
+<section id="comments"><p>I liked this very much indeed, thank you</p></section>
+<footer>&copy; me</footer>"""
+
+
+def test_article_and_nothing_else():
+    assert main_text(ARTICLE) == "Head & line\n\nBold text goes on\n\nTwo.\n\nOne item\n\nOther item"
+
+
+def test_page_without_article():
+    page = """<body><div id="main-menu"><a href=1>One</a> <a href=2>Two</a></div><div><h2>Title</h2>
+    <p>A paragraph of the text that is rather long.</p>Loose text<p>&lt;End&gt;</p></div>
+    <div class="sidebar">other things</div><div role="contentinfo">legal</div>"""
+    assert main_text(page) == (
+        "Title\n\nA paragraph of the text that is rather long.\n\nLoose text\n\n<End>"
+    )
+
+
+def test_odd_pages(spark):
+    rows = [
+        (1, "u", None, "x"),
+        (2, None, "", "x"),
+        (3, "u", "plain text only", None),
+        (4, "u", "<p>unclosed <b>bold", "x"),
+        (5, "u", "<<<>>&&& </p></div>&#x41;&bogus;", "x"),
+        (6, "u", "<p>" + "word " * 200_000 + "</p>", "x"),
+        (6, "u", "<p>same id</p>", "x"),
+        (None, "u", "<nav>menu</nav>", "x"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    found = [(r.page_id, r.url, r.text, r.n_chars) for r in extract_text(pages).collect()]
+    assert all(len(text) == n for _, _, text, n in found)
+    texts = [f[2] for f in found]
+    assert texts[:4] == ["", "", "plain text only", "unclosed bold"]
+    assert len(texts[5]) == 999_999 and texts[6] == "same id" and texts[7] == ""
+    assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_surge_and_dive():
+    lengths = np.array([0, 0, 0, 0, 90, 80, 0, 70, 0, 0, 0, 0, 5, 0, 0])
+    assert np.flatnonzero(between(lengths)).tolist() == [4, 5, 7]
+    assert np.flatnonzero(between(lengths, 0.0)).tolist() == [4, 5, 7, 12]
+
+
+def test_pages_of_a_table(small):
+    """The generated pages mark their text by an article element."""
+    for row in extract_text(small("pages")).collect():
+        assert row.text and "<" not in row.text and row.n_chars == len(row.text)
+        assert "\n\n\n" not in row.text and "track(" not in row.text and "©" not in row.text
+
+
+# --- components ---
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random", "empty"])
+def test_components(spark, shape):
+    rng = random.Random(5)
+    links = {
+        "path": [(i, i + 1) for i in range(200)],
+        "star": [(500, i) for i in range(300)],
+        "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(200)],
+        "empty": [],
+    }[shape]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long")
+    found = by_id(connected_components(df), "component")
+    nodes = {x for pair in links if pair[0] != pair[1] for x in pair}
+    want = brute.components(nodes, [p for p in links if p[0] != p[1]])
+    assert {k: v[0] for k, v in found.items()} == want
+
+
+# --- registration ---
+
+
+def test_every_operator_is_registered():
+    import __spark_entry__ as registry
+
+    names = registry.queries()
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert "pipeline" in names
+
+
+def test_line_dedup_equals_its_sql(spark):
+    from groundswell.llm import queries
+
+    duck = check_oracles.connect(SMALL)
+    assert not check_oracles.differences(
+        queries.op2_line_dedup(spark, SMALL), duck, queries.oracle_sql()["op2_line_dedup"]
+    )
+
+
+def test_columns_are_as_agreed(spark):
+    from groundswell.llm import queries
+
+    found = {n: q(spark, SMALL).dtypes for n, q in queries.queries().items() if n.startswith(("op10", "op4", "op8"))}
+    assert found["op4_quality_classifier"] == [
+        ("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")
+    ]
+    assert found["op8_best_fit_packing"] == [
+        ("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"),
+        ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint"),
+    ]
+    assert found["op10_html_extraction"] == [
+        ("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")
+    ]
