@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundswell.config import INDICATOR_COLUMNS, MIN_SOURCES_FOR_SCORE
 from groundswell.functions.values import lookup, ratio
-from groundswell.operators.scoring import score_areas
+from groundswell.operators.ordering import number_rows
+from groundswell.operators.scoring import TIES, adaptive_score, checked_weights, normalize
 from groundswell.operators.transforms import flow_rows
 
 # Road class -> traffic score; categories of quick-service places.
@@ -73,22 +74,32 @@ def quality_checks(scores: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def permit_trend(quarterly: DataFrame, fips: str | None = None) -> DataFrame:
-    """Quarterly units per area with unit-type shares and change on the year before."""
+    """Quarterly units per area with unit-type shares and change on the year before.
+
+    Each row counts for its own quarter and, as the year before, for the same quarter a
+    year later; one aggregate sums both.
+    """
     chosen = quarterly if fips is None else quarterly.filter(F.col("fips") == fips)
     grain = ["fips", "report_year", "report_quarter"]
-    series = chosen.groupBy(*grain).agg(
-        F.sum("total_units_permitted").alias("total_units_permitted"),
-        F.sum("single_family_units").alias("single_family_units"),
-        F.sum("multi_family_units").alias("multi_family_units"),
-    )
-    before = series.select(
-        "fips",
-        (F.col("report_year") + 1).alias("report_year"),
-        "report_quarter",
-        F.col("total_units_permitted").alias("units_year_ago"),
+    placed = chosen.withColumn("later", F.explode(F.array(F.lit(0), F.lit(1))))
+    now = F.col("later") == 0
+
+    def total_of(name: str) -> Column:
+        return F.sum(F.when(now, F.col(name))).alias(name)
+
+    series = (
+        placed.withColumn("report_year", F.col("report_year") + F.col("later"))
+        .groupBy(*grain)
+        .agg(
+            total_of("total_units_permitted"),
+            total_of("single_family_units"),
+            total_of("multi_family_units"),
+            F.sum(F.when(~now, F.col("total_units_permitted"))).alias("units_year_ago"),
+            F.bool_or(now).alias("in_series"),
+        )
     )
     total, ago = F.col("total_units_permitted"), F.col("units_year_ago")
-    return series.join(before, grain, "left").select(
+    return series.filter("in_series").select(
         *grain,
         "total_units_permitted",
         ratio(F.col("single_family_units"), total).alias("single_family_share"),
@@ -103,31 +114,51 @@ def rank_shift(
     after: Mapping[str, float] | None,
     columns: Mapping[str, str] = INDICATOR_COLUMNS,
 ) -> DataFrame:
-    """Rank of each area under two weight sets and how far it moves up."""
-    first = score_areas(indicators, before, columns, keep=["fips"]).select(
-        "fips", F.col("rank_national").alias("rank_before")
+    """Rank of each area under two weight sets and how far it moves up.
+
+    Both scores come from one normalization; each ranking is a range sort of its own.
+    """
+    scores = normalize(indicators, columns).select(
+        "fips",
+        *[
+            F.round(adaptive_score(checked_weights(weights, columns)), TIES).alias(name)
+            for name, weights in (("score_before", before), ("score_after", after))
+        ],
     )
-    second = score_areas(indicators, after, columns, keep=["fips"]).select(
-        "fips", F.col("rank_national").alias("rank_after")
+    placed = scores
+    for score, rank in (("score_before", "rank_before"), ("score_after", "rank_after")):
+        placed = number_rows(placed, F.col(score).desc(), F.col("fips").asc(), name=rank)
+    return placed.select(
+        "fips",
+        "rank_before",
+        "rank_after",
+        (F.col("rank_before") - F.col("rank_after")).alias("rank_shift"),
     )
-    return first.join(second, "fips").withColumn(
-        "rank_shift", F.col("rank_before") - F.col("rank_after")
+
+
+def state_growth(demographics: DataFrame, base_year: int) -> DataFrame:
+    """(state_fips, base_population, annual_rate): a state's areas in the base year, and
+    the growth from the year before. Both years are summed in one aggregate.
+    """
+
+    def total(year: int) -> Column:
+        return F.sum(F.when(F.col("report_year") == year, F.col("population")))
+
+    before = total(base_year - 1)
+    return demographics.groupBy(F.substring("fips", 1, 2).alias("state_fips")).agg(
+        total(base_year).alias("base_population"),
+        ratio(total(base_year) - before, before).alias("annual_rate"),
     )
 
 
-def state_compounding(
-    demographics: DataFrame, rates: DataFrame, base_year: int, years: Sequence[int]
-) -> DataFrame:
-    """State population (sum of its areas) compounded at the state's annual rate.
+def state_compounding(states: DataFrame, base_year: int, years: Sequence[int]) -> DataFrame:
+    """State population compounded at the state's annual rate.
 
-    ``rates`` is (state_fips, annual_rate), one row per state; one row comes out per
-    state and target year.
+    ``states`` is (state_fips, base_population, annual_rate), one row per state, as
+    ``state_growth`` gives it; one row comes out per state and target year.
     """
-    base = demographics.groupBy(F.substring("fips", 1, 2).alias("state_fips")).agg(
-        F.sum("population").alias("base_population")
-    )
     targets = F.explode(F.array(*[F.lit(year) for year in years])).alias("projection_year")
-    grown = base.join(rates, "state_fips").select("*", targets)
+    grown = states.select("*", targets)
     factor = F.pow(F.lit(1.0) + F.col("annual_rate"), F.col("projection_year") - base_year)
     return grown.select(
         "state_fips",

@@ -45,10 +45,21 @@ def source_or_empty(spark: SparkSession, sources: Sources, name: str) -> DataFra
     return spark.createDataFrame([], SILVER_SCHEMAS[f"silver_{name}"])
 
 
+def area_permits(permits: DataFrame) -> DataFrame:
+    """Quarterly permits per area: an area spelled two ways keeps the units of both.
+
+    Its name is the last one in order.
+    """
+    units = ("total_units_permitted", "single_family_units", "multi_family_units")
+    return permits.groupBy("fips", "report_year", "report_quarter").agg(
+        F.max("county_name").alias("county_name"), *[F.sum(c).alias(c) for c in units]
+    )
+
+
 def indicator_base(permits: DataFrame, demographics: DataFrame) -> DataFrame:
     """Latest permits and latest demographics, areas of either side kept."""
     people = latest_per_key(demographics, ["report_year", "population", "median_income"])
-    return latest_per_key(permits, PERMIT_COLUMNS).join(
+    return latest_per_key(area_permits(permits), PERMIT_COLUMNS).join(
         people.withColumnRenamed("report_year", "acs_year"), "fips", "full"
     )
 

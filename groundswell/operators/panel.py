@@ -7,13 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from groundswell.functions.values import ratio
-from groundswell.operators.ordering import number_rows
 
 PERIOD = ("report_year", "report_quarter")
 
-# Above this many rows one key is too much for one task; see previous_value.
-GROUP_ROWS = 1_000_000
-
 
 def latest_per_key(
     df: DataFrame,
@@ -41,9 +37,14 @@ def latest_per_key(
 
 
 def drop_reloads(df: DataFrame, grain: Sequence[str], stamp: str = "ingested_at") -> DataFrame:
-    """One row per ``grain``: the last one taken in. Undoes repeated downloads."""
+    """One row per ``grain``: the last one taken in. Undoes repeated downloads.
+
+    Rows of one load, and all rows of a table without a stamp, are told apart by their
+    values, so the choice does not depend on row order.
+    """
+    newest = [F.col(stamp).desc()] if stamp in df.columns else []
     ties = [F.col(c).asc() for c in df.columns if c not in grain and c != stamp]
-    order = Window.partitionBy(*grain).orderBy(F.col(stamp).desc(), *ties)
+    order = Window.partitionBy(*grain).orderBy(*newest, *(ties or [F.lit(0)]))
     return df.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 
 
@@ -51,59 +52,28 @@ def last_load(df: DataFrame, grain: Sequence[str], stamp: str = "ingested_at") -
     """All rows of each grain's last load, for sources with several rows per grain.
 
     The newest stamp per grain is a small aggregate; the join back spreads a hot grain.
+    A table without a stamp is one load.
     """
+    if stamp not in df.columns:
+        return df
     newest = df.groupBy(*grain).agg(F.max(stamp).alias(stamp))
     return df.join(newest, [*grain, stamp], "left_semi")
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the most frequent key (counted before and after the shuffle)."""
-    found = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return (found[0] or 0) if found else 0
-
-
 def previous_value(
     df: DataFrame,
     value: str,
     name: str,
     keys: Sequence[str] = ("fips",),
     order: Sequence[str] = PERIOD,
-    one_row_per_period: bool = False,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add ``name``: ``value`` of the key's previous row (null on its first).
 
-    A window sorts each key in one task. That is right when a key has one row per
-    period (``one_row_per_period``, true after aggregating or ``drop_reloads`` on the
-    period), because the calendar then bounds the group. Otherwise group sizes are
-    counted first; if one exceeds ``group_rows`` the rows are numbered in key order
-    instead and joined to their predecessor's number, which no key can skew.
+    ``df`` has one row per key and period, as after aggregating or ``drop_reloads`` on
+    the period. The calendar then bounds a key's rows, so one window per key is small
+    whatever the data's size, and the order is total.
     """
-    ties = [c for c in df.columns if c not in keys and c not in order]
-    if one_row_per_period or largest_group(df, keys) <= group_rows:
-        ordered = [*order] if one_row_per_period else [*order, *ties]
-        return df.withColumn(
-            name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*ordered))
-        )
-    # Equal rows are interchangeable; the random column lets copies split up.
-    salted = df.withColumn("_salt", F.rand(7))
-    numbered = number_rows(
-        salted, *[F.col(c).asc() for c in (*keys, *order, *ties, "_salt")], name="_n"
-    ).drop("_n_total", "_salt")
-    before = numbered.select(
-        *[F.col(k).alias(f"_prev_{k}") for k in keys],
-        (F.col("_n") + 1).alias("_n"),
-        F.col(value).alias(name),
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_prev_{k}")) for k in keys]
-    matched = same[0]
-    for condition in same[1:]:
-        matched = matched & condition
-    return (
-        numbered.join(before, "_n", "left")
-        .withColumn(name, F.when(matched, F.col(name)))
-        .drop("_n", *[f"_prev_{k}" for k in keys])
-    )
+    return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 def growth(value: str, base: str):
@@ -116,9 +86,7 @@ def with_base_value(
 ) -> DataFrame:
     """Add ``name``: ``value`` in the key's first period.
 
-    The base is an aggregate (combined before the shuffle) joined back on the key, so
-    a hot key is spread by the join instead of sorted in one window task.
+    One window over one row per key and period, which the calendar bounds.
     """
-    base = df.groupBy(*keys).agg(F.min(F.struct(order, value)).alias("_first"))
-    base = base.select(*keys, F.col(f"_first.{value}").alias(name))
-    return df.join(base, list(keys), "left")
+    first = Window.partitionBy(*keys).orderBy(order, value)
+    return df.withColumn(name, F.first(value).over(first))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundswell.functions.display import component_value, state_label, tier_label
 from groundswell.functions.keys import STATE_ABBR, abbreviation
 from groundswell.functions.values import is_finite, ratio
+from groundswell.operators.ordering import number_rows
 from groundswell.operators.panel import latest_per_key
+from groundswell.operators.scoring import TIES
 from groundswell.schemas import COMPONENTS, GOLD_SCHEMAS
 
 SCORE_COLUMNS = GOLD_SCHEMAS["gold_county_growth_score"].fieldNames()
@@ -69,9 +71,19 @@ def component_long(scores: DataFrame, key: str = "fips") -> DataFrame:
 
 
 def list_areas(scores: DataFrame, state: str | None = None) -> DataFrame:
-    """Areas, best first; ``state`` must match exactly."""
+    """Areas, best first, equal scores by code; ``state`` must match exactly."""
     chosen = scores if state is None else scores.filter(F.col("state") == state)
-    return chosen.orderBy(F.col("composite_score").desc(), F.col("fips"))
+    return chosen.orderBy(*_best_first())
+
+
+def listed_areas(scores: DataFrame, state: str | None = None) -> DataFrame:
+    """``list_areas`` with each area's ``position`` in the list, from 1."""
+    chosen = scores if state is None else scores.filter(F.col("state") == state)
+    return number_rows(chosen, *_best_first(), name="position").drop("position_total")
+
+
+def _best_first() -> list[Column]:
+    return [F.round("composite_score", TIES).desc(), F.col("fips").asc()]
 
 
 def top_areas(scores: DataFrame, n: int = 25, state: str | None = None) -> DataFrame:
@@ -220,20 +232,27 @@ def sort_key(name: str) -> Column:
 
 
 def sorted_results(features: DataFrame, by: str = "score", descending: bool = True) -> DataFrame:
-    """Features in display order, ties by key."""
+    """Features with their ``position`` in display order, from 1; ties by key.
+
+    Pass the features that match (``filter_areas``), as the results list shows them.
+    """
     key = sort_key(by)
-    return features.orderBy(key.desc() if descending else key.asc(), F.col("GEOID").asc())
+    order = key.desc() if descending else key.asc()
+    return number_rows(features, order, F.col("GEOID").asc(), name="position").drop(
+        "position_total"
+    )
 
 
 def state_list(features: DataFrame) -> DataFrame:
-    """Distinct known states, by abbreviation."""
-    return (
+    """Distinct known states and their ``position`` by abbreviation, from 1."""
+    known = (
         features.filter(F.col("STATE").isin(*STATE_ABBR))
         .select(F.col("STATE").alias("state_code"))
         .distinct()
         .withColumn("state", abbreviation(F.col("state_code")))
-        .orderBy("state")
     )
+    # At most one row per entry of the fixed table of states.
+    return known.withColumn("position", F.row_number().over(Window.orderBy("state")))
 
 
 def area_trends(

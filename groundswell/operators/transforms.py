@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from groundswell.functions.values import ratio, strip
 from groundswell.operators.panel import growth, previous_value, with_base_value
@@ -43,7 +43,7 @@ def migration_rate(bronze: DataFrame, population: DataFrame) -> DataFrame:
     )
 
 
-def vacancy_change(bronze: DataFrame, one_row_per_period: bool = False) -> DataFrame:
+def vacancy_change(bronze: DataFrame) -> DataFrame:
     """Vacancy rate and its change from the area's previous row."""
     rated = bronze.select(
         "fips",
@@ -51,21 +51,17 @@ def vacancy_change(bronze: DataFrame, one_row_per_period: bool = False) -> DataF
         "report_quarter",
         ratio(F.col("vacant_addresses"), F.col("total_addresses")).alias("vacancy_rate"),
     )
-    lagged = previous_value(
-        rated, "vacancy_rate", "_previous", one_row_per_period=one_row_per_period
-    )
+    lagged = previous_value(rated, "vacancy_rate", "_previous")
     change = F.col("vacancy_rate") - F.col("_previous")
     return lagged.withColumn("vacancy_rate_yoy_change", change).drop("_previous")
 
 
-def employment_growth(bronze: DataFrame, one_row_per_period: bool = False) -> DataFrame:
+def employment_growth(bronze: DataFrame) -> DataFrame:
     """Employment growth from the previous row, and the average weekly wage."""
     picked = bronze.select(
         "fips", "report_year", "report_quarter", "total_employment", "total_wages"
     )
-    lagged = previous_value(
-        picked, "total_employment", "_previous", one_row_per_period=one_row_per_period
-    )
+    lagged = previous_value(picked, "total_employment", "_previous")
     return lagged.select(
         "fips",
         "report_year",
@@ -81,9 +77,7 @@ def enrollment_growth(bronze: DataFrame) -> DataFrame:
     yearly = bronze.groupBy("fips", "report_year").agg(
         F.sum("total_enrollment").alias("total_enrollment")
     )
-    lagged = previous_value(
-        yearly, "total_enrollment", "_previous", order=["report_year"], one_row_per_period=True
-    )
+    lagged = previous_value(yearly, "total_enrollment", "_previous", order=["report_year"])
     return lagged.select(
         "fips",
         "report_year",
@@ -128,12 +122,10 @@ def business_density(
     )
 
 
-def construction_growth(bronze: DataFrame, one_row_per_period: bool = False) -> DataFrame:
+def construction_growth(bronze: DataFrame) -> DataFrame:
     """Growth of permitted units from the area's previous row."""
     picked = bronze.select("fips", "report_year", "report_quarter", "permitted_units")
-    lagged = previous_value(
-        picked, "permitted_units", "_previous", one_row_per_period=one_row_per_period
-    )
+    lagged = previous_value(picked, "permitted_units", "_previous")
     rate = growth("permitted_units", "_previous")
     return lagged.withColumn("construction_growth_rate", rate).drop("_previous")
 
@@ -162,37 +154,34 @@ def state_projections(bronze: DataFrame) -> DataFrame:
     )
 
 
+def _area_of(state: Column, county: Column) -> Column:
+    """Area code of a flow's side, null for summary rows and malformed codes.
+
+    Parts are padded first, so that 1 and 1 is 01001 and county 0 is the state total.
+    """
+    usable = state.rlike("^[0-9]{1,2}$") & county.rlike("^[0-9]{1,3}$")
+    state, county = F.lpad(state, 2, "0"), F.lpad(county, 3, "0")
+    return F.when(
+        usable & ~state.isin(*SUMMARY_STATES) & (county != STATE_TOTAL), F.concat(state, county)
+    )
+
+
 def flow_rows(flows: DataFrame, **areas: str) -> DataFrame:
     """Usable flows: one area column per ``name=side``, and ``people``.
 
     A side is ``y1`` (origin) or ``y2`` (destination). Summary states, state totals,
-    blank or malformed codes and bad numbers are left out. Code parts are padded
-    before they are put together, so that 1 and 1 is 01001. Stripping, filtering and
-    padding are separate steps so that each text is stripped once.
+    blank or malformed codes and bad numbers are left out.
     """
-    texts = flows.select(
+    found = flows.select(
         *[
-            strip(F.col(f"{side}_{part}fips")).alias(f"{name}_{part}")
+            _area_of(strip(F.col(f"{side}_statefips")), strip(F.col(f"{side}_countyfips"))).alias(
+                name
+            )
             for name, side in areas.items()
-            for part in ("state", "county")
         ],
         flow_counts(F.col("n2")).alias("people"),
     )
-    usable = texts.filter("people IS NOT NULL")
-    for name in areas:
-        usable = usable.filter(
-            ~F.col(f"{name}_state").isin(*SUMMARY_STATES)
-            & (F.col(f"{name}_county") != STATE_TOTAL)
-            & F.col(f"{name}_state").rlike("^[0-9]{1,2}$")
-            & F.col(f"{name}_county").rlike("^[0-9]{1,3}$")
-        )
-    return usable.select(
-        *[
-            F.concat(F.lpad(f"{name}_state", 2, "0"), F.lpad(f"{name}_county", 3, "0")).alias(name)
-            for name in areas
-        ],
-        "people",
-    )
+    return found.dropna()
 
 
 def flow_totals(flows: DataFrame, side: str) -> DataFrame:
@@ -200,22 +189,42 @@ def flow_totals(flows: DataFrame, side: str) -> DataFrame:
     return flow_rows(flows, fips=side).groupBy("fips").agg(F.sum("people").alias("people"))
 
 
+def _sided(flows: DataFrame, *sides: str) -> DataFrame:
+    """(side, fips, people) of usable flows; with two sides, each flow counts on both."""
+    each = [
+        F.struct(
+            F.lit(side).alias("side"),
+            strip(F.col(f"{side}_statefips")).alias("state"),
+            strip(F.col(f"{side}_countyfips")).alias("county"),
+        )
+        for side in sides
+    ]
+    rows = flows.select(F.explode(F.array(*each)).alias("s"), flow_counts(F.col("n2")).alias("people"))
+    area = _area_of(F.col("s.state"), F.col("s.county")).alias("fips")
+    return rows.select(F.col("s.side").alias("side"), area, "people").dropna()
+
+
 def net_migration(inflows: DataFrame, outflows: DataFrame, year: int, quarter: int) -> DataFrame:
     """Inflow, outflow and their difference for every area on either side.
 
-    ``inflows`` is read by destination and ``outflows`` by origin; each is summed
-    before the join, so the join sees one row per area.
+    ``inflows`` is read by destination and ``outflows`` by origin, and both sides are
+    summed in one aggregate. A frame passed for both is read once.
     """
-    into = flow_totals(inflows, "y2").withColumnRenamed("people", "inflow")
-    out_of = flow_totals(outflows, "y1").withColumnRenamed("people", "outflow")
-    zero = F.lit(0).cast("bigint")
-    both = into.join(out_of, "fips", "full").select(
+    if inflows is outflows:
+        rows = _sided(inflows, "y2", "y1")
+    else:
+        rows = _sided(inflows, "y2").unionByName(_sided(outflows, "y1"))
+
+    def total(side: str) -> Column:
+        return F.sum(F.when(F.col("side") == side, F.col("people")).otherwise(0))
+
+    both = rows.groupBy("fips").agg(total("y2").alias("inflow"), total("y1").alias("outflow"))
+    return both.select(
         "fips",
         F.lit(year).alias("report_year"),
         F.lit(quarter).alias("report_quarter"),
-        F.coalesce("inflow", zero).alias("inflow"),
-        F.coalesce("outflow", zero).alias("outflow"),
-    )
-    return both.withColumn("net_migration", F.col("inflow") - F.col("outflow")).withColumn(
-        "data_source", F.lit("irs_soi")
+        "inflow",
+        "outflow",
+        (F.col("inflow") - F.col("outflow")).alias("net_migration"),
+        F.lit("irs_soi").alias("data_source"),
     )

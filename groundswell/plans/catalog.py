@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from groundswell.config import INDICATOR_COLUMNS, SEVEN_COLUMNS
 from groundswell.functions.keys import area_code, is_valid_area, state_abbr, state_code
-from groundswell.functions.values import rounded
+from groundswell.functions.values import rounded, zfill
 from groundswell.operators import extras, indicators, scoring, serving, transforms
 from groundswell.operators.panel import drop_reloads, latest_per_key
 from groundswell.plans.settings import (
@@ -20,11 +20,11 @@ from groundswell.plans.settings import (
     WEIGHT_UPDATES,
 )
 from groundswell.plans.views import Views
-from groundswell.schemas import GOLD_SCHEMAS
+from groundswell.schemas import BRONZE_SCHEMAS, GOLD_SCHEMAS
 from groundswell.session import checkpointed
 from groundswell.sources import files
 from groundswell.sources.run_log import load_counts
-from groundswell.sources.tables import conform
+from groundswell.sources.tables import conform, quarter_stamp, stamped
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -106,6 +106,39 @@ def load_employment(v: Views) -> DataFrame:
     return _loaded(v, "employment")
 
 
+@_query
+def load_migration(v: Views) -> DataFrame:
+    """Net flows of one year from a flows file read for both sides."""
+    return conform(v.net_flows(), BRONZE_SCHEMAS["migration"]).drop("source_date", "ingested_at")
+
+
+@_query
+def bronze_vacancy(v: Views) -> DataFrame:
+    """Rows as a load appends them, with the period's date (without the time taken in)."""
+    rows = stamped(_loaded(v, "vacancy"), source_date=quarter_stamp(2001, 4))
+    rows = conform(rows, BRONZE_SCHEMAS["vacancy"]).drop("ingested_at")
+    return rows.withColumn("source_date", F.col("source_date").cast("string"))
+
+
+@_query
+def traffic_classes(v: Views) -> DataFrame:
+    """Traffic score of each part, whose container word stands for a road class."""
+    roads = list(extras.TRAFFIC_CLASS)
+    kind = F.element_at(F.array(*map(F.lit, [*roads, "track"])), F.col("p_size") % 6 + 1)
+    parts = v.table("part").select("p_partkey", kind.alias("road_class"))
+    score = extras.traffic_class(F.col("road_class"))
+    return parts.withColumn("traffic_score", score)
+
+
+@_query
+def places_of_kind(v: Views) -> DataFrame:
+    """Suppliers as places, by the categories of quick service."""
+    kinds = F.array(*map(F.lit, [*extras.QSR_CATEGORIES, "bank", "school"]))
+    category = F.element_at(kinds, (F.col("s_nationkey") % 4 + 1).cast("int"))
+    places = v.table("supplier").select("s_suppkey", category.alias("category"))
+    return extras.places_in(places)
+
+
 @_query
 def boundary_keys(v: Views) -> DataFrame:
     return files.boundary_keys(v.boundaries_raw())
@@ -153,14 +186,14 @@ def optional_source(v: Views) -> DataFrame:
 
 def _raw_codes(v: Views) -> DataFrame:
     """Codes as dirty files hold them: unpadded, blank-padded, no number, too long."""
-    number = ((F.col("c_custkey") * 37) % 100000).cast("string")
+    number = (F.col("c_custkey") * 37).cast("string")
     segment = F.col("c_mktsegment")
     raw = (
         F.when(segment == "AUTOMOBILE", number)
         .when(segment == "BUILDING", F.concat(F.lit("  "), number, F.lit(" ")))
         .when(segment == "FURNITURE", F.col("c_name"))
         .when(segment == "HOUSEHOLD", F.concat(F.lit("000"), number))
-        .otherwise(F.lpad(number, 5, "0"))
+        .otherwise(zfill(number, 5))
     )
     return v.table("customer").select(raw.alias("raw"))
 
@@ -180,7 +213,7 @@ def validate_code(v: Views) -> DataFrame:
 
 @_query
 def state_abbreviation(v: Views) -> DataFrame:
-    return v.geo().select("fips", state_abbr(F.col("fips")).alias("state"))
+    return v.areas().select("fips", state_abbr(F.col("fips")).alias("state"))
 
 
 _REGISTRY["state_abbr"] = _REGISTRY.pop("state_abbreviation")
@@ -272,6 +305,7 @@ def dedup_bronze(v: Views) -> DataFrame:
 
 
 def _indicators(v: Views, **options) -> DataFrame:
+    v.share_items()
     return indicators.build_indicator_table(v.spark, v.sources(), **options)
 
 
@@ -297,7 +331,7 @@ def gold_details(v: Views) -> DataFrame:
 @_query
 def state_projection_join(v: Views) -> DataFrame:
     outlook = indicators.latest_projection(v.projections())
-    return indicators.with_state_projection(v.geo().select("fips"), outlook)
+    return indicators.with_state_projection(v.areas().select("fips"), outlook)
 
 
 @_query
@@ -491,7 +525,7 @@ _SUMMARY = [
 
 @_query
 def list_areas(v: Views) -> DataFrame:
-    return serving.list_areas(_gold(v)[0]).select(*_SUMMARY)
+    return serving.listed_areas(_gold(v)[0]).select("position", *_SUMMARY)
 
 
 @_query
@@ -549,8 +583,10 @@ def highlight_areas(v: Views) -> DataFrame:
 
 @_query
 def sorted_results(v: Views) -> DataFrame:
-    ordered = serving.sorted_results(_features(v), "population")
-    return ordered.select("GEOID", "NAME", "STATE", "population")
+    """The matching features, as the results list shows them."""
+    matching = serving.filter_areas(_features(v), _criteria())
+    ordered = serving.sorted_results(matching, "population")
+    return ordered.select("position", "GEOID", "NAME", "STATE", "population")
 
 
 @_query
@@ -560,6 +596,7 @@ def state_list(v: Views) -> DataFrame:
 
 @_query
 def area_trends(v: Views) -> DataFrame:
+    v.share_items()
     return serving.area_trends(
         v.permits(), v.migration(), v.vacancy(), v.employment(), v.demographics()
     )
@@ -571,7 +608,7 @@ def area_trends(v: Views) -> DataFrame:
 @_query
 def crosswalk_rollup(v: Views) -> DataFrame:
     spending = v.table("orders").select(
-        F.lpad((F.col("o_custkey") % 400).cast("string"), 5, "0").alias("zip"),
+        F.col("o_custkey").cast("string").alias("zip"),
         F.floor("o_totalprice").alias("spending"),
     )
     return extras.crosswalk_rollup(spending, v.crosswalk_b(), "spending")
@@ -613,17 +650,8 @@ def seven_indicator_score(v: Views) -> DataFrame:
 @_query
 def state_compounding(v: Views) -> DataFrame:
     """Rates come from the two survey years; projections to 2005, 2010 and 2015."""
-    people = v.demographics()
-    state = F.substring("fips", 1, 2).alias("state_fips")
-
-    def total(year: int) -> Column:
-        return F.sum(F.when(F.col("report_year") == year, F.col("population")))
-
-    rates = people.groupBy(state).agg(
-        F.try_divide(total(2000) - total(1999), total(1999)).alias("annual_rate")
-    )
-    latest = people.filter("report_year = 2000")
-    grown = extras.state_compounding(latest, rates, 2000, [2005, 2010, 2015])
+    states = extras.state_growth(v.demographics(), 2000)
+    grown = extras.state_compounding(states, 2000, [2005, 2010, 2015])
     return rounded(grown, 2)
 
 

@@ -9,30 +9,104 @@ from __future__ import annotations
 
 import re
 
-from groundswell.config import (
-    DEFAULT_WEIGHTS,
-    INDICATOR_COLUMNS,
-    SEVEN_COLUMNS,
-    SEVEN_INVERTED,
-    SEVEN_WEIGHTS,
-)
-from groundswell.functions.display import TIER_LABELS
-from groundswell.functions.keys import STATE_ABBR
-from groundswell.operators.extras import COVERAGE_COLUMNS
-from groundswell.operators.serving import METRICS
 from groundswell.plans.settings import (
     CUSTOM_WEIGHTS,
     FILTER_METRICS,
     FILTER_STATES,
     FILTER_TIERS,
     HIGHLIGHT,
-    UPDATED_WEIGHTS,
 )
 
+# Fixed values, written out here again so that the SQL does not lean on the code it checks.
+STATE_ABBR = {
+    "01": "AL", "02": "AK", "04": "AZ", "05": "AR", "06": "CA", "08": "CO",
+    "09": "CT", "10": "DE", "11": "DC", "12": "FL", "13": "GA", "15": "HI",
+    "16": "ID", "17": "IL", "18": "IN", "19": "IA", "20": "KS", "21": "KY",
+    "22": "LA", "23": "ME", "24": "MD", "25": "MA", "26": "MI", "27": "MN",
+    "28": "MS", "29": "MO", "30": "MT", "31": "NE", "32": "NV", "33": "NH",
+    "34": "NJ", "35": "NM", "36": "NY", "37": "NC", "38": "ND", "39": "OH",
+    "40": "OK", "41": "OR", "42": "PA", "44": "RI", "45": "SC", "46": "SD",
+    "47": "TN", "48": "TX", "49": "UT", "50": "VT", "51": "VA", "53": "WA",
+    "54": "WV", "55": "WI", "56": "WY",
+}
+DEFAULT_WEIGHTS = {
+    "building_permits": 0.25,
+    "net_migration": 0.2,
+    "vacancy_change": 0.15,
+    "employment_growth": 0.15,
+    "school_enrollment_growth": 0.1,
+    "ssp_projected_growth": 0.15,
+}
+UPDATED_WEIGHTS = {
+    "building_permits": 0.4,
+    "net_migration": 0.2,
+    "vacancy_change": 0.15,
+    "employment_growth": 0.15,
+    "school_enrollment_growth": 0.1,
+    "ssp_projected_growth": 0.15,
+}
+INDICATOR_COLUMNS = {
+    "building_permits": "permits_per_1k_pop",
+    "net_migration": "net_migration_rate",
+    "vacancy_change": "occupancy_rate",
+    "employment_growth": "employment_per_capita",
+    "school_enrollment_growth": "enrollment_per_capita",
+    "ssp_projected_growth": "ssp_growth_rate",
+}
+SEVEN_COLUMNS = {
+    "building_permits": "permits_per_1k_pop",
+    "net_migration": "net_migration_rate",
+    "vacancy_change": "vacancy_rate_yoy_change",
+    "employment_growth": "employment_growth_rate",
+    "school_enrollment_growth": "enrollment_growth_rate",
+    "ssp_projected_growth": "ssp_projected_pop",
+    "qsr_density_inv": "qsr_establishments",
+}
+SEVEN_WEIGHTS = {
+    "building_permits": 0.25,
+    "net_migration": 0.2,
+    "vacancy_change": 0.15,
+    "employment_growth": 0.15,
+    "school_enrollment_growth": 0.1,
+    "ssp_projected_growth": 0.1,
+    "qsr_density_inv": 0.05,
+}
+SEVEN_INVERTED = frozenset(["qsr_density_inv", "vacancy_change"])
+TIER_LABELS = {
+    "A": "Top 10%",
+    "B": "Top 30%",
+    "C": "Top 60%",
+    "D": "Top 85%",
+    "F": "Bottom 15%",
+}
+COVERAGE_COLUMNS = {
+    "building_permits": "total_units_permitted",
+    "acs_demographics": "population",
+    "migration": "net_migration",
+    "vacancy": "vacancy_rate",
+    "employment": "total_employment",
+    "school_enrollment": "total_enrollment",
+    "business_patterns": "retail_density",
+    "ssp_projections": "ssp_projection_year",
+}
+METRICS = (
+    "population",
+    "median_income",
+    "permits_per_1k_pop",
+    "net_migration_rate",
+    "occupancy_rate",
+    "employment_per_capita",
+    "ssp_growth_rate",
+)
 _STATES = ", ".join(f"('{code}', '{abbr}')" for code, abbr in STATE_ABBR.items())
 _ITEMS = """FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey
-  JOIN geo g ON c_custkey = o_custkey"""
+  JOIN homes g ON c_custkey = o_custkey"""
+
+
+def _area(key: str, odd: int = 0) -> str:
+    """Area code of a customer's key (even) or a supplier's (odd)."""
+    return f"lpad(cast((({key} * 37) % 50000) * 2 + {odd} AS varchar), 5, '0')"
 
 
 def _code(raw: str) -> str:
@@ -45,13 +119,18 @@ def _code(raw: str) -> str:
 
 def _flow(side: str) -> str:
     """Area of one side of a flow, null when unusable."""
-    state, county = f"trim({side}_statefips)", f"trim({side}_countyfips)"
+    state = f"lpad(trim({side}_statefips), 2, '0')"
+    county = f"lpad(trim({side}_countyfips), 3, '0')"
     return (
         f"CASE WHEN {state} NOT IN ('96', '97', '98') AND {county} <> '000' "
-        f"THEN lpad({state}, 2, '0') || lpad({county}, 3, '0') END"
+        f"THEN {state} || {county} END"
     )
 
 
+# People of a flow, null when the text is no decimal number.
+_PEOPLE = "cast(trunc(CASE WHEN regexp_full_match(n2, '[0-9]+') THEN cast(n2 AS double) END) AS bigint)"
+
+
 def _latest(table: str, columns: str, order: str, ties: str) -> str:
     picked = ", ".join(f"{t} ASC NULLS FIRST" for t in ties.split(", ") if t)
     by = order + (", " + picked if picked else "")
@@ -65,36 +144,39 @@ YQ = "report_year DESC, report_quarter DESC"
 
 SHARED: dict[str, str] = {
     # --- source-shaped views ---
-    "geo": """SELECT c_custkey,
-  lpad(cast((c_custkey * 37) % 100000 AS varchar), 5, '0') AS fips,
-  c_name AS county_name, c_acctbal, c_nationkey, c_mktsegment
+    "homes": f"""SELECT c_custkey, {_area("c_custkey")} AS fips, c_name AS county_name
 FROM customer""",
+    "geo": f"""SELECT c_custkey AS owner, fips, county_name, c_acctbal AS acctbal
+FROM homes JOIN customer USING (c_custkey)
+UNION ALL SELECT s_suppkey, {_area("s_suppkey", 1)}, s_name, s_acctbal FROM supplier""",
+    "areas": """SELECT fips, max(owner) AS owner,
+  cast(sum(CASE WHEN owner % 97 = 0 THEN 0 ELSE cast(floor(abs(acctbal)) AS bigint) + 100 END)
+    AS bigint) AS people
+FROM geo GROUP BY 1""",
     "acs_b": """SELECT g.fips, y.report_year,
-  CASE WHEN c_custkey % 97 = 0 THEN 0
-    ELSE cast(floor(abs(c_acctbal)) AS bigint) + 100 + (y.report_year - 1999) * (c_custkey % 7)
-  END AS population,
-  CASE WHEN c_custkey % 11 = 0 THEN NULL
-    ELSE cast(30000 + (c_custkey * 131) % 50000 AS double) END AS median_income,
-  cast(20 + c_custkey % 45 AS double) AS median_age,
-  c_custkey % 3000 AS households
-FROM geo g CROSS JOIN (SELECT 1999 AS report_year UNION ALL SELECT 2000) y""",
+  CASE WHEN people = 0 THEN 0 ELSE people + (y.report_year - 1999) * (owner % 7) END AS population,
+  CASE WHEN owner % 11 = 0 THEN NULL
+    ELSE cast(30000 + (owner * 131) % 50000 AS double) END AS median_income,
+  cast(20 + owner % 45 AS double) AS median_age,
+  owner % 3000 AS households
+FROM areas g CROSS JOIN (SELECT 1999 AS report_year UNION ALL SELECT 2000) y""",
     "permits_b": f"""SELECT g.fips, g.county_name,
   cast(extract(year FROM o_orderdate) * 100 + extract(month FROM o_orderdate) AS varchar)
     AS survey_date,
-  sum(CASE WHEN l_returnflag = 'N' THEN cast(l_quantity AS bigint) ELSE 0 END)
+  cast(sum(CASE WHEN l_returnflag = 'N' THEN cast(l_quantity AS bigint) ELSE 0 END) AS bigint)
     AS single_family_units,
-  sum(CASE WHEN l_returnflag <> 'N' THEN cast(l_quantity AS bigint) ELSE 0 END)
+  cast(sum(CASE WHEN l_returnflag <> 'N' THEN cast(l_quantity AS bigint) ELSE 0 END) AS bigint)
     AS multi_family_units,
-  sum(cast(l_quantity AS bigint)) AS total_units
+  cast(sum(cast(l_quantity AS bigint)) AS bigint) AS total_units
 {_ITEMS}
-WHERE c_mktsegment <> 'MACHINERY'
-GROUP BY o_orderkey, g.fips, g.county_name, o_orderdate""",
+GROUP BY 1, 2, 3""",
     "flows_raw": f"""SELECT
-  substr(lpad(cast((l_suppkey * 37) % 100000 AS varchar), 5, '0'), 1, 2) AS y1_statefips,
-  substr(lpad(cast((l_suppkey * 37) % 100000 AS varchar), 5, '0'), 3, 3) AS y1_countyfips,
+  substr({_area("l_suppkey", 1)}, 1, 2) AS y1_statefips,
+  substr({_area("l_suppkey", 1)}, 3, 3) AS y1_countyfips,
   CASE WHEN l_discount = 0.1 THEN '96' ELSE substr(g.fips, 1, 2) END AS y2_statefips,
   CASE WHEN l_discount = 0 THEN '000' ELSE substr(g.fips, 3, 3) END AS y2_countyfips,
-  CASE WHEN l_tax = 0 THEN 'd' ELSE cast(cast(l_quantity AS bigint) AS varchar) END AS n2
+  CASE WHEN l_tax = 0 THEN 'd' WHEN l_linenumber = 7 THEN cast(cast(l_quantity AS bigint) AS varchar) || 'd'
+    ELSE cast(cast(l_quantity AS bigint) AS varchar) END AS n2
 {_ITEMS}""",
     "vacancy_b": f"""SELECT g.fips,
   cast(extract(year FROM l_shipdate) AS int) AS report_year,
@@ -103,7 +185,6 @@ GROUP BY o_orderkey, g.fips, g.county_name, o_orderdate""",
   sum(CASE WHEN l_returnflag = 'R' THEN cast(l_quantity AS bigint) ELSE 0 END)
     AS vacant_addresses
 {_ITEMS}
-WHERE c_nationkey >= 4
 GROUP BY 1, 2, 3""",
     "qcew_raw": """SELECT g.fips AS area_fips,
   CASE WHEN o_orderstatus = 'F' THEN '5' ELSE '0' END AS own_code,
@@ -117,11 +198,10 @@ GROUP BY 1, 2, 3""",
     AS month3_emplvl,
   cast(cast(floor(o_totalprice) AS bigint) AS varchar) AS total_qtrly_wages,
   cast(1 + o_orderkey % 40 AS varchar) AS qtrly_estabs
-FROM orders JOIN geo g ON c_custkey = o_custkey""",
+FROM orders JOIN homes g ON c_custkey = o_custkey""",
     "enrollment_b": """SELECT g.fips, cast(extract(year FROM o_orderdate) AS int) AS report_year,
   o_orderpriority AS district_id, o_orderkey % 1000 AS total_enrollment
-FROM orders JOIN geo g ON c_custkey = o_custkey
-WHERE c_acctbal >= 0""",
+FROM orders JOIN homes g ON c_custkey = o_custkey""",
     "business_b": f"""SELECT g.fips, cast(extract(year FROM o_orderdate) AS int) AS report_year,
   CASE WHEN p_size % 10 = 0 THEN '7222' ELSE cast(1100 + p_size AS varchar) END AS naics_code,
   cast(l_quantity AS bigint) AS establishments, cast(l_quantity AS bigint) * 12 AS employees
@@ -129,10 +209,9 @@ WHERE c_acctbal >= 0""",
   JOIN part ON p_partkey = l_partkey""",
     "ssp_b": """SELECT s.fips, y.projection_year, c.scenario,
   cast(1000000 + cast(s.fips AS int) * 10007
-    + (y.projection_year - 2025) * (cast(s.fips AS int) % 7 - 3) * c.k AS bigint)
+    + (y.projection_year - 2025) * (cast(s.fips AS int) % 7 * 2 - 7) * c.k AS bigint)
     AS projected_population
-FROM (SELECT DISTINCT substr(fips, 1, 2) AS fips FROM geo
-      WHERE c_mktsegment = 'AUTOMOBILE' AND c_acctbal > 5000) s
+FROM (SELECT DISTINCT substr(fips, 1, 2) AS fips FROM geo) s
   CROSS JOIN (SELECT 2030 AS projection_year UNION ALL SELECT 2035 UNION ALL SELECT 2040) y
   CROSS JOIN (SELECT 'SSP1' AS scenario, 900 AS k UNION ALL SELECT 'SSP2', 1700) c""",
     "popproj_raw": """SELECT
@@ -166,14 +245,14 @@ UNION ALL SELECT '202001', '01', '001', 'Short row', NULL, NULL, NULL, NULL, NUL
   '7222' AS naics, 'Area ' || fips || ', State' AS name,
   substr(fips, 1, 2) AS state, substr(fips, 3, 3) AS county
 FROM acs_b WHERE report_year = 2000""",
-    "boundaries_raw": """SELECT CASE WHEN c_custkey % 2 = 0 THEN fips END AS GEOID,
-  '0500000US' || fips AS GEO_ID, substr(fips, 1, 2) AS STATE, county_name AS NAME
-FROM geo WHERE c_mktsegment <> 'HOUSEHOLD'
+    "boundaries_raw": """SELECT CASE WHEN max(c_custkey) % 2 = 0 THEN fips END AS GEOID,
+  '0500000US' || fips AS GEO_ID, substr(fips, 1, 2) AS STATE, max(county_name) AS NAME
+FROM homes GROUP BY fips
 UNION ALL SELECT NULL, '0500000US99999', '99', 'Unscored area'""",
-    "crosswalk_b": """SELECT lpad(cast((c_custkey + k.k * 7) % 400 AS varchar), 5, '0') AS zip,
-  fips, k.ratio
-FROM geo CROSS JOIN (SELECT 0 AS k, cast(0.25 AS double) AS ratio
-                     UNION ALL SELECT 1, cast(0.75 AS double)) k""",
+    "crosswalk_b": f"""SELECT cast(c_custkey AS varchar) AS zip,
+  {_area("(c_custkey + k.k)")} AS fips, k.ratio
+FROM customer CROSS JOIN (SELECT 0 AS k, cast(0.25 AS double) AS ratio
+                          UNION ALL SELECT 1, cast(0.75 AS double)) k""",
     # --- parsed sources ---
     "permit_rows": """SELECT trim(c1) || lpad(trim(c2), 3, '0') AS fips,
   trim(c5) AS county_name, trim(c0) AS survey_date,
@@ -206,10 +285,10 @@ WHERE own_code = '0' AND industry_code = '10' AND agglvl_code = '70'
   cast(sum(multi_family_units) AS bigint) AS multi_family_units
 FROM permits_b GROUP BY 1, 2, 3, 4""",
     "inflows": f"""SELECT fips, cast(sum(people) AS bigint) AS people FROM (
-  SELECT {_flow("y2")} AS fips, cast(trunc(try_cast(n2 AS double)) AS bigint) AS people
+  SELECT {_flow("y2")} AS fips, {_PEOPLE} AS people
   FROM flows_raw) WHERE fips IS NOT NULL AND people IS NOT NULL GROUP BY 1""",
     "outflows": f"""SELECT fips, cast(sum(people) AS bigint) AS people FROM (
-  SELECT {_flow("y1")} AS fips, cast(trunc(try_cast(n2 AS double)) AS bigint) AS people
+  SELECT {_flow("y1")} AS fips, {_PEOPLE} AS people
   FROM flows_raw) WHERE fips IS NOT NULL AND people IS NOT NULL GROUP BY 1""",
     "net": """SELECT coalesce(i.fips, o.fips) AS fips, 2000 AS report_year, 4 AS report_quarter,
   coalesce(i.people, 0) AS inflow, coalesce(o.people, 0) AS outflow,
@@ -264,6 +343,18 @@ FROM (SELECT *, first_value(projected_population) OVER (PARTITION BY fips, scena
         YQ,
         "county_name, total_units_permitted, single_family_units, multi_family_units",
     ),
+    "area_permits": """SELECT fips, report_year, report_quarter, max(county_name) AS county_name,
+  cast(sum(total_units_permitted) AS bigint) AS total_units_permitted,
+  cast(sum(single_family_units) AS bigint) AS single_family_units,
+  cast(sum(multi_family_units) AS bigint) AS multi_family_units
+FROM permits_q GROUP BY 1, 2, 3""",
+    "area_permits_latest": _latest(
+        "area_permits",
+        "county_name, report_year, report_quarter, total_units_permitted, "
+        "single_family_units, multi_family_units",
+        YQ,
+        "county_name",
+    ),
     "demog_latest": _latest(
         "demog",
         "report_year AS acs_year, population, median_income",
@@ -273,7 +364,7 @@ FROM (SELECT *, first_value(projected_population) OVER (PARTITION BY fips, scena
     "base": """SELECT coalesce(p.fips, d.fips) AS fips, county_name, report_year, report_quarter,
   total_units_permitted, single_family_units, multi_family_units, acs_year, population,
   median_income
-FROM permits_latest p FULL JOIN demog_latest d ON p.fips = d.fips""",
+FROM area_permits_latest p FULL JOIN demog_latest d ON p.fips = d.fips""",
     "migration_latest": _latest(
         "migration", "net_migration, net_migration_rate", YQ, "net_migration, net_migration_rate"
     ),
@@ -512,13 +603,12 @@ FROM census_raw WHERE enrolled NOT IN ('', '-')""",
 }
 
 _RAW_CODES = """SELECT CASE c_mktsegment
-    WHEN 'AUTOMOBILE' THEN cast((c_custkey * 37) % 100000 AS varchar)
-    WHEN 'BUILDING' THEN '  ' || cast((c_custkey * 37) % 100000 AS varchar) || ' '
+    WHEN 'AUTOMOBILE' THEN number
+    WHEN 'BUILDING' THEN '  ' || number || ' '
     WHEN 'FURNITURE' THEN c_name
-    WHEN 'HOUSEHOLD' THEN '000' || cast((c_custkey * 37) % 100000 AS varchar)
-    ELSE fips_text END AS raw
-  FROM (SELECT *, lpad(cast((c_custkey * 37) % 100000 AS varchar), 5, '0') AS fips_text
-        FROM customer)"""
+    WHEN 'HOUSEHOLD' THEN '000' || number
+    ELSE CASE WHEN length(number) < 5 THEN lpad(number, 5, '0') ELSE number END END AS raw
+  FROM (SELECT *, cast(c_custkey * 37 AS varchar) AS number FROM customer)"""
 
 _LABELS = " ".join(f"WHEN '{t}' THEN '{label}'" for t, label in TIER_LABELS.items())
 _LONG = " UNION ALL ".join(
@@ -544,6 +634,17 @@ FROM (SELECT fips, {_adaptive(weights)} AS composite_score FROM normalized)"""
 
 _QUERIES: dict[str, str] = {
     **_LOADS,
+    "load_migration": "SELECT * FROM net",
+    "bronze_vacancy": f"SELECT *, '2001-12-01' AS source_date FROM ({_LOADS['load_vacancy']})",
+    "traffic_classes": """SELECT p_partkey, road_class, CASE road_class WHEN 'motorway' THEN 5
+  WHEN 'trunk' THEN 4 WHEN 'primary' THEN 3 WHEN 'secondary' THEN 2 WHEN 'residential' THEN 1
+  END AS traffic_score
+FROM (SELECT p_partkey, ['motorway', 'trunk', 'primary', 'secondary', 'residential', 'track']
+        [p_size % 6 + 1] AS road_class FROM part)""",
+    "places_of_kind": """SELECT s_suppkey, category
+FROM (SELECT s_suppkey, ['restaurant', 'fast_food', 'bank', 'school']
+        [s_nationkey % 4 + 1] AS category FROM supplier)
+WHERE category IN ('restaurant', 'fast_food')""",
     "boundary_keys": """SELECT coalesce(GEOID, string_split(GEO_ID, 'US')[-1]) AS GEOID, GEO_ID,
   STATE, NAME FROM boundaries_raw""",
     "run_log_summary": " UNION ALL ".join(
@@ -578,7 +679,7 @@ FROM joined""",
   AND substr(raw, 1, 2) IN ({", ".join(f"'{c}'" for c in STATE_ABBR)}), false) AS valid
 FROM ({_RAW_CODES})""",
     "state_abbr": """SELECT fips, coalesce(state, '??') AS state
-FROM geo LEFT JOIN state_names ON state_code = substr(fips, 1, 2)""",
+FROM areas LEFT JOIN state_names ON state_code = substr(fips, 1, 2)""",
     # --- Silver ---
     "permits_quarterly": "SELECT * FROM permits_q",
     "demographics": f"""SELECT fips, report_year, population, {_r("median_income")},
@@ -611,7 +712,7 @@ FROM (SELECT fips, cast(extract(year FROM o_orderdate) AS int) AS report_year,
         o_orderkey AS reading, o_orderdate AS ingested_at,
         row_number() OVER (PARTITION BY fips, extract(year FROM o_orderdate),
           extract(quarter FROM o_orderdate) ORDER BY o_orderdate DESC, o_orderkey) AS rn
-      FROM orders JOIN geo ON c_custkey = o_custkey) WHERE rn = 1""",
+      FROM orders JOIN homes ON c_custkey = o_custkey) WHERE rn = 1""",
     # --- indicators ---
     "indicator_base": f"""SELECT fips, county_name, report_year, report_quarter,
   total_units_permitted, single_family_units, multi_family_units, acs_year, population,
@@ -619,7 +720,7 @@ FROM (SELECT fips, cast(extract(year FROM o_orderdate) AS int) AS report_year,
     "indicator_table": f"SELECT {_DETAILS} FROM indicators",
     "gold_details": f"SELECT {_DETAILS} FROM indicators",
     "state_projection_join": f"""SELECT fips, ssp_projection_year, {_r("state_growth_rate")}
-FROM geo LEFT JOIN outlook ON state_code = substr(fips, 1, 2)""",
+FROM areas LEFT JOIN outlook ON state_code = substr(fips, 1, 2)""",
     "permits_per_1k": """SELECT fips,
   round(coalesce(total_units_permitted, 0) / nullif(population, 0) * 1000, 6)
     AS permits_per_1k_pop,
@@ -667,7 +768,7 @@ FROM (SELECT fips, ({_sum_of(DEFAULT_WEIGHTS)}) * 100 AS composite_score FROM no
   {str(abs(sum(UPDATED_WEIGHTS.values()) - 1) < 0.01).lower()} AS weights_valid
 FROM normalized""",
     # --- serving ---
-    "list_areas": f"SELECT {_SUMMARY} FROM ranked",
+    "list_areas": f"SELECT rank_national AS position, {_SUMMARY} FROM ranked",
     "top_areas": f"""SELECT {_SUMMARY} FROM ranked
 ORDER BY ranked.composite_score DESC, fips LIMIT 25""",
     "area_detail": f"""SELECT {_DETAILS}, {_r("composite_score")}, score_tier, rank_national,
@@ -686,9 +787,12 @@ WHERE {_default_matches()}""",
     AND coalesce(score_tier, 'F') = '{HIGHLIGHT["tier"]}'
     AND coalesce(composite_score, 0) >= {HIGHLIGHT["min_score"]} AS highlighted
 FROM features""",
-    "sorted_results": "SELECT GEOID, NAME, STATE, population FROM features",
-    "state_list": """SELECT DISTINCT n.state_code, n.state
-FROM features f JOIN state_names n ON n.state_code = f.STATE""",
+    "sorted_results": f"""SELECT row_number() OVER (ORDER BY coalesce(population, 0) DESC, GEOID)
+  AS position, GEOID, NAME, STATE, population FROM features WHERE {_matches()}""",
+    "state_list": """SELECT state_code, state, cast(row_number() OVER (ORDER BY state) AS int)
+  AS position
+FROM (SELECT DISTINCT n.state_code, n.state
+      FROM features f JOIN state_names n ON n.state_code = f.STATE)""",
     "area_trends": f"""SELECT * FROM (
   SELECT fips, report_year, report_quarter,
     round(units / nullif(population, 0) * 1000, 6) AS permits_per_1k_pop
@@ -702,7 +806,7 @@ FULL JOIN (SELECT fips, report_year, report_quarter, {_r("employment_growth_rate
            FROM employment) e USING (fips, report_year, report_quarter)""",
     # --- design documents ---
     "crosswalk_rollup": """SELECT fips, round(sum(v * ratio), 6) AS spending
-FROM crosswalk_b JOIN (SELECT lpad(cast(o_custkey % 400 AS varchar), 5, '0') AS zip,
+FROM crosswalk_b JOIN (SELECT cast(o_custkey AS varchar) AS zip,
     cast(sum(cast(floor(o_totalprice) AS bigint)) AS bigint) AS v FROM orders GROUP BY 1)
   USING (zip) GROUP BY 1""",
     "data_coverage": f"""SELECT fips, {_COVERAGE} AS sources_present,
@@ -741,8 +845,8 @@ FROM (SELECT substr(fips, 1, 2) AS state_fips,
 FROM (SELECT *, cast(row_number() OVER (PARTITION BY fips ORDER BY people DESC, origin) AS int)
         AS feeder_rank
       FROM (SELECT {_flow("y2")} AS fips, {_flow("y1")} AS origin,
-              cast(sum(trunc(try_cast(n2 AS double))) AS bigint) AS people
-            FROM flows_raw WHERE try_cast(n2 AS double) IS NOT NULL
+              cast(sum({_PEOPLE}) AS bigint) AS people
+            FROM flows_raw WHERE {_PEOPLE} IS NOT NULL
               AND ({_flow("y2")}) IS NOT NULL AND ({_flow("y1")}) IS NOT NULL
             GROUP BY 1, 2)) WHERE feeder_rank <= 3""",
     "scenario_range": """SELECT fips, projection_year, min(projected_population) AS min_population,

@@ -65,11 +65,9 @@ RELOADS: Mapping[str, Callable[[DataFrame], DataFrame]] = {
 TRANSFORMS: Mapping[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "building_permits": lambda bronze, _: transforms.permits_quarterly(bronze),
     "migration": transforms.migration_rate,
-    "vacancy": lambda bronze, _: transforms.vacancy_change(bronze, one_row_per_period=True),
-    "hud_construction": lambda bronze, _: transforms.construction_growth(
-        bronze, one_row_per_period=True
-    ),
-    "employment": lambda bronze, _: transforms.employment_growth(bronze, one_row_per_period=True),
+    "vacancy": lambda bronze, _: transforms.vacancy_change(bronze),
+    "hud_construction": lambda bronze, _: transforms.construction_growth(bronze),
+    "employment": lambda bronze, _: transforms.employment_growth(bronze),
     "school_enrollment": lambda bronze, _: transforms.enrollment_growth(bronze),
     "business_patterns": transforms.business_density,
     "ssp_projections": lambda bronze, _: transforms.projection_growth(bronze),
@@ -106,8 +104,7 @@ def run_silver(spark: SparkSession, catalog: str | None = None) -> list[str]:
         return silver
 
     def clean(name: str) -> DataFrame:
-        bronze = read_bronze(spark, name, catalog)
-        return RELOADS[name](bronze) if "ingested_at" in bronze.columns else bronze
+        return RELOADS[name](read_bronze(spark, name, catalog))
 
     written = [write("acs_demographics", transforms.demographics(clean("acs_demographics")))]
     people = read_required(spark, table_name(SILVER, "silver_acs_demographics", catalog))

@@ -1,9 +1,12 @@
 """Source-shaped views of the driver's tables.
 
-The driver's star-schema tables stand in for the public datasets: one customer is one
-area, line items are permits, flows and business counts. Each view has the columns of
-the source it stands for, so every operator runs over whole tables. Fan-out over a
-fixed list (two survey years, a few scenarios) is an ``explode`` of literals.
+The driver's star-schema tables stand in for the public datasets: customers and
+suppliers live in areas, line items are permits, flows and business counts. Each view
+has the columns of the source it stands for and reads its tables whole. Customers' areas
+have even codes and suppliers' odd ones; suppliers have no orders, so what a source lacks
+comes from joins that find nothing. Where several customers share an area, they are
+summed. Fan-out over a fixed list (two survey years, a few scenarios) is an ``explode``
+of literals.
 """
 
 from __future__ import annotations
@@ -15,13 +18,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundswell.operators import transforms
 from groundswell.operators.panel import latest_per_key
+from groundswell.session import checkpointed
 from groundswell.sources.files import accepted, parse_employment
 
 FLOW_YEAR, FLOW_QUARTER = 2000, 4
+_INDUSTRY = "CASE WHEN p_size % 10 = 0 THEN '7222' ELSE cast(1100 + p_size AS string) END"
 
 
-# Area code of a numeric key.
-AREA = "lpad(cast(({0} * 37) % 100000 AS string), 5, '0')"
+# Area codes of the keys of customers (even) and suppliers (odd).
+AREA = "lpad(cast((({0} * 37) % 50000) * 2 AS string), 5, '0')"
+SUPPLIER_AREA = "lpad(cast((({0} * 37) % 50000) * 2 + 1 AS string), 5, '0')"
 
 
 def _once(view: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -53,20 +59,40 @@ class Views:
 
     @_once
     def geo(self) -> DataFrame:
-        return self.table("customer").selectExpr(
-            "c_custkey",
+        """Customers and suppliers with their area."""
+        customers = self.table("customer").selectExpr(
+            "c_custkey AS owner",
+            "true AS is_customer",
             f"{AREA.format('c_custkey')} AS fips",
             "c_name AS county_name",
-            "c_acctbal",
-            "c_nationkey",
-            "c_mktsegment",
+            "c_acctbal AS acctbal",
         )
+        suppliers = self.table("supplier").selectExpr(
+            "s_suppkey AS owner",
+            "false AS is_customer",
+            f"{SUPPLIER_AREA.format('s_suppkey')} AS fips",
+            "s_name AS county_name",
+            "s_acctbal AS acctbal",
+        )
+        return customers.unionByName(suppliers)
+
+    @_once
+    def areas(self) -> DataFrame:
+        """One row per area."""
+        return self.geo().groupBy("fips").agg(
+            F.max("county_name").alias("county_name"),
+            F.max("owner").alias("owner"),
+            F.bool_or("is_customer").alias("is_customer"),
+            F.expr("cast(sum(CASE WHEN owner % 97 = 0 THEN 0 ELSE floor(abs(acctbal)) + 100 END)"
+                   " AS bigint) AS people"),
+        )
 
     @_once
     def orders(self) -> DataFrame:
-        """Orders with their area."""
-        orders, areas = self.table("orders"), self.geo()
-        return orders.join(areas, orders["o_custkey"] == areas["c_custkey"])
+        """Orders with their area, which follows from the customer's key."""
+        customers = self.table("customer").select("c_custkey", F.col("c_name").alias("county_name"))
+        orders = self.table("orders").withColumn("fips", F.expr(AREA.format("o_custkey")))
+        return orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
 
     @_once
     def items(self) -> DataFrame:
@@ -75,60 +101,145 @@ class Views:
         joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
         return joined.withColumn("units", F.col("l_quantity").cast("bigint"))
 
+    def share_items(self) -> None:
+        """Read the line items once for every source made of them (but flows).
+
+        One aggregate sums them for all sources, tagged by source, and is written out;
+        the sources' views then read that small table. Queries on one source do not need it.
+        """
+        if ("permits_b",) in self.built:
+            return
+        parts = self.table("part").select("p_partkey", "p_size")
+        items = self.items().join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        zero = F.lit(0).cast("bigint")
+        units = F.col("units")
+
+        def entry(source, name, year, part, first, second):
+            return F.struct(
+                F.lit(source).alias("source"),
+                name.alias("name"),
+                year.alias("year"),
+                part.alias("part"),
+                first.alias("first"),
+                second.alias("second"),
+            )
+
+        text = F.lit(None).cast("string")
+        entries = F.array(
+            entry(
+                "permits",
+                F.col("county_name"),
+                F.year("o_orderdate"),
+                F.month("o_orderdate").cast("string"),
+                F.when(F.col("l_returnflag") == "N", units).otherwise(zero),
+                F.when(F.col("l_returnflag") != "N", units).otherwise(zero),
+            ),
+            entry(
+                "vacancy",
+                text,
+                F.year("l_shipdate"),
+                F.quarter("l_shipdate").cast("string"),
+                units,
+                F.when(F.col("l_returnflag") == "R", units).otherwise(zero),
+            ),
+            entry(
+                "business",
+                text,
+                F.year("o_orderdate"),
+                F.expr(_INDUSTRY),
+                units,
+                units * 12,
+            ),
+        )
+        summed = (
+            items.select("fips", F.inline(entries))
+            .groupBy("source", "fips", "name", "year", "part")
+            .agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
+        )
+        facts = checkpointed(summed)
+
+        def of(source: str, *columns: str) -> DataFrame:
+            return facts.filter(F.col("source") == source).selectExpr("fips", *columns)
+
+        self.built[("permits_b",)] = of(
+            "permits",
+            "name AS county_name",
+            "cast(year * 100 + cast(part AS int) AS string) AS survey_date",
+            "first AS single_family_units",
+            "second AS multi_family_units",
+            "first + second AS total_units",
+        )
+        self.built[("vacancy_b",)] = of(
+            "vacancy",
+            "year AS report_year",
+            "cast(part AS int) AS report_quarter",
+            "first AS total_addresses",
+            "second AS vacant_addresses",
+        )
+        self.built[("business_b",)] = of(
+            "business",
+            "year AS report_year",
+            "part AS naics_code",
+            "first AS establishments",
+            "second AS employees",
+        )
+
     @_once
     def acs_b(self) -> DataFrame:
-        years = self.geo().selectExpr("*", "explode(array(1999, 2000)) AS report_year")
+        years = self.areas().selectExpr("*", "explode(array(1999, 2000)) AS report_year")
         return years.selectExpr(
             "fips",
             "report_year",
-            """CASE WHEN c_custkey % 97 = 0 THEN 0
-              ELSE floor(abs(c_acctbal)) + 100 + (report_year - 1999) * (c_custkey % 7)
-            END AS population""",
-            """CASE WHEN c_custkey % 11 <> 0
-              THEN cast(30000 + (c_custkey * 131) % 50000 AS double) END AS median_income""",
-            "cast(20 + c_custkey % 45 AS double) AS median_age",
-            "c_custkey % 3000 AS households",
+            """CASE WHEN people = 0 THEN 0 ELSE people + (report_year - 1999) * (owner % 7) END
+              AS population""",
+            """CASE WHEN owner % 11 <> 0
+              THEN cast(30000 + (owner * 131) % 50000 AS double) END AS median_income""",
+            "cast(20 + owner % 45 AS double) AS median_age",
+            "owner % 3000 AS households",
         )
 
     # --- raw sources ---
 
     @_once
     def permits_b(self) -> DataFrame:
-        summed = (
-            self.items()
-            .filter("c_mktsegment <> 'MACHINERY'")
-            .groupBy("o_orderkey", "fips", "county_name", "o_orderdate")
+        """Permits per area and month, as the survey counts them."""
+        by_order = (
+            self.table("lineitem")
+            .withColumn("units", F.col("l_quantity").cast("bigint"))
+            .groupBy("l_orderkey")
             .agg(
                 F.expr("sum(CASE WHEN l_returnflag = 'N' THEN units ELSE 0 END) AS single"),
                 F.expr("sum(CASE WHEN l_returnflag <> 'N' THEN units ELSE 0 END) AS multi"),
-                F.expr("sum(units) AS total"),
             )
         )
-        return summed.selectExpr(
-            "fips",
-            "county_name",
-            "cast(year(o_orderdate) * 100 + month(o_orderdate) AS string) AS survey_date",
-            "single AS single_family_units",
-            "multi AS multi_family_units",
-            "total AS total_units",
+        orders = self.orders()
+        return (
+            orders.join(by_order, orders["o_orderkey"] == by_order["l_orderkey"])
+            .withColumn("survey_date", F.date_format("o_orderdate", "yyyyMM"))
+            .groupBy("fips", "county_name", "survey_date")
+            .agg(
+                F.sum("single").alias("single_family_units"),
+                F.sum("multi").alias("multi_family_units"),
+                F.expr("sum(single + multi) AS total_units"),
+            )
         )
 
     @_once
     def flows_raw(self) -> DataFrame:
-        origin = AREA.format("l_suppkey")
+        origin = SUPPLIER_AREA.format("l_suppkey")
         return self.items().selectExpr(
             f"substr({origin}, 1, 2) AS y1_statefips",
             f"substr({origin}, 3, 3) AS y1_countyfips",
             "CASE WHEN l_discount = 0.1D THEN '96' ELSE substr(fips, 1, 2) END AS y2_statefips",
             "CASE WHEN l_discount = 0 THEN '000' ELSE substr(fips, 3, 3) END AS y2_countyfips",
-            "CASE WHEN l_tax = 0 THEN 'd' ELSE cast(units AS string) END AS n2",
+            """CASE WHEN l_tax = 0 THEN 'd' WHEN l_linenumber = 7 THEN concat(units, 'd')
+              ELSE cast(units AS string) END AS n2""",
         )
 
     @_once
     def vacancy_b(self) -> DataFrame:
         return (
             self.items()
-            .filter("c_nationkey >= 4")
             .groupBy(
                 "fips",
                 F.year("l_shipdate").alias("report_year"),
@@ -159,7 +270,7 @@ class Views:
 
     @_once
     def enrollment_b(self) -> DataFrame:
-        return self.orders().filter("c_acctbal >= 0").selectExpr(
+        return self.orders().selectExpr(
             "fips",
             "year(o_orderdate) AS report_year",
             "o_orderpriority AS district_id",
@@ -172,27 +283,21 @@ class Views:
         return items.join(parts, items["l_partkey"] == parts["p_partkey"]).selectExpr(
             "fips",
             "year(o_orderdate) AS report_year",
-            """CASE WHEN p_size % 10 = 0 THEN '7222'
-              ELSE cast(1100 + p_size AS string) END AS naics_code""",
+            f"{_INDUSTRY} AS naics_code",
             "units AS establishments",
             "units * 12 AS employees",
         )
 
     @_once
     def ssp_b(self) -> DataFrame:
-        states = (
-            self.geo()
-            .filter("c_mktsegment = 'AUTOMOBILE' AND c_acctbal > 5000")
-            .selectExpr("substr(fips, 1, 2) AS fips")
-            .distinct()
-        )
+        states = self.geo().selectExpr("substr(fips, 1, 2) AS fips").distinct()
         return (
             states.selectExpr("*", "explode(array(2030, 2035, 2040)) AS projection_year")
             .selectExpr("*", "explode(array('SSP1', 'SSP2')) AS scenario")
             .selectExpr(
                 "*",
                 """cast(1000000 + cast(fips AS int) * 10007
-                  + (projection_year - 2025) * (cast(fips AS int) % 7 - 3)
+                  + (projection_year - 2025) * (cast(fips AS int) % 7 * 2 - 7)
                     * CASE WHEN scenario = 'SSP1' THEN 900 ELSE 1700 END
                 AS bigint) AS projected_population""",
             )
@@ -268,11 +373,17 @@ class Views:
 
     @_once
     def boundaries_raw(self) -> DataFrame:
-        rows = self.geo().filter("c_mktsegment <> 'HOUSEHOLD'").selectExpr(
-            "CASE WHEN c_custkey % 2 = 0 THEN fips END AS GEOID",
+        """Areas of customers; those of suppliers alone have no boundary."""
+        rows = self.table("customer").selectExpr(
+            f"{AREA.format('c_custkey')} AS fips", "c_name", "c_custkey"
+        )
+        rows = rows.groupBy("fips").agg(
+            F.max("c_name").alias("NAME"), F.max("c_custkey").alias("owner")
+        ).selectExpr(
+            "CASE WHEN owner % 2 = 0 THEN fips END AS GEOID",
             "concat('0500000US', fips) AS GEO_ID",
             "substr(fips, 1, 2) AS STATE",
-            "county_name AS NAME",
+            "NAME",
         )
         extra = [(None, "0500000US99999", "99", "Unscored area")]
         schema = "GEOID string, GEO_ID string, STATE string, NAME string"
@@ -280,12 +391,13 @@ class Views:
 
     @_once
     def crosswalk_b(self) -> DataFrame:
+        """Finer area (one per customer) to areas: a quarter its own, the rest the next one."""
         return (
-            self.geo()
-            .selectExpr("*", "explode(array(0, 1)) AS step")
+            self.table("customer")
+            .selectExpr("c_custkey", "explode(array(0, 1)) AS step")
             .selectExpr(
-                "lpad(cast((c_custkey + step * 7) % 400 AS string), 5, '0') AS zip",
-                "fips",
+                "cast(c_custkey AS string) AS zip",
+                f"{AREA.format('(c_custkey + step)')} AS fips",
                 "CASE WHEN step = 0 THEN 0.25D ELSE 0.75D END AS ratio",
             )
         )
@@ -328,7 +440,7 @@ class Views:
     @_once
     def vacancy(self) -> DataFrame:
         # the view groups by area and quarter
-        return transforms.vacancy_change(self.vacancy_b(), one_row_per_period=True)
+        return transforms.vacancy_change(self.vacancy_b())
 
     @_once
     def wages(self) -> DataFrame:
@@ -341,7 +453,7 @@ class Views:
 
     @_once
     def employment(self) -> DataFrame:
-        return transforms.employment_growth(self.wages(), one_row_per_period=True)
+        return transforms.employment_growth(self.wages())
 
     @_once
     def enrollment(self) -> DataFrame:
@@ -356,7 +468,7 @@ class Views:
         units = self.permits().groupBy("fips", "report_year", "report_quarter").agg(
             F.sum("total_units_permitted").alias("permitted_units")
         )
-        return transforms.construction_growth(units, one_row_per_period=True)
+        return transforms.construction_growth(units)
 
     @_once
     def projections(self) -> DataFrame:

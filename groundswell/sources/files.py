@@ -25,10 +25,10 @@ from groundswell.functions.values import (
 REJECT = "reject_reason"
 
 PERMIT_FIELDS = 17
-PAYLOAD_BYTES = 64 << 20  # a larger payload file is read by line
 _RECORDS = "array<array<string>>"
-# A comma outside double quotes.
-_FIELD_BREAK = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+BAD_PAYLOAD = "bad payload"
+# A decimal number as files write it; a cast alone also takes 5d, 7f and 0x1p3.
+_DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 # Codes of the county total over all owners and industries.
 OWNERSHIP_ALL, INDUSTRY_ALL, LEVEL_COUNTY = "0", "10", "70"
@@ -44,6 +44,11 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col(REJECT).isNotNull())
 
 
+def to_decimal(text: Column) -> Column:
+    """Decimal number, or null when the text is not one."""
+    return F.when(text.rlike(_DECIMAL), text).try_cast("double")
+
+
 def _reject(required: list[str], extra: Column | None = None) -> Column:
     """First failed check: a missing required column, then the extra condition."""
     reason = F.lit(None).cast("string")
@@ -65,27 +70,38 @@ def read_permits(spark: SparkSession, path: str) -> DataFrame:
 def split_permits(lines: DataFrame) -> DataFrame:
     """Text lines (column ``value``) as string fields ``c0`` … ``c16``.
 
-    The line is split by expression, not by the CSV reader, because a blank field
-    (counts as 0) must stay apart from an absent one (row is too short).
+    The CSV parser of Spark splits the line, in one pass. It gives null both for a blank
+    field (counts as 0) and for an absent one (the row is too short), so the commas
+    outside quotes are counted and a blank field that is there becomes an empty text.
     """
-    fields = F.split("value", _FIELD_BREAK)
-    return lines.select(
-        *[_csv_text(F.get(fields, F.lit(i))).alias(f"c{i}") for i in range(PERMIT_FIELDS)]
-    )
-
-
-def _csv_text(field: Column) -> Column:
-    """Field without its surrounding quotes; a doubled quote inside is one quote."""
-    inner = F.regexp_extract(field, '^"(.*)"$', 1)
-    return F.when(field.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(
-        field
+    names = [f"c{i}" for i in range(PERMIT_FIELDS)]
+    schema = ", ".join(f"{n} string" for n in names)
+    # With an escape equal to the quote a doubled quote inside quotes is one quote.
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    unquoted = F.regexp_replace("value", '"[^"]*"', "")
+    commas = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
+    parsed = lines.select(F.from_csv("value", schema, options).alias("f"), commas.alias("commas"))
+    return parsed.select(
+        *[
+            F.when(F.col("commas") >= i, F.coalesce(f"f.{n}", F.lit(""))).alias(n)
+            for i, n in enumerate(names)
+        ]
     )
 
 
 def _permit_rows(fields: DataFrame) -> DataFrame:
-    """Data rows: a ``yyyyMM`` first field and no missing field. Drops both headers."""
+    """Data rows: a first field that begins with a digit, and no missing field.
+
+    Drops both headers, blank lines and lines that are too short.
+    """
     last = f"c{PERMIT_FIELDS - 1}"
-    return fields.filter(strip(F.col("c0")).rlike("^[0-9]{6}$") & F.col(last).isNotNull())
+    return fields.filter(strip(F.col("c0")).rlike("^[0-9]") & F.col(last).isNotNull())
+
+
+def _survey_month() -> Column:
+    """The ``yyyyMM`` of a data row, null when it is malformed."""
+    date = strip(F.col("c0"))
+    return F.when(date.rlike("^[0-9]{4}(0[1-9]|1[0-2])$"), date)
 
 
 def _permit_code() -> Column:
@@ -104,13 +120,13 @@ def parse_permits(fields: DataFrame) -> DataFrame:
     rows = _permit_rows(fields).select(
         _permit_code().alias("fips"),
         strip(F.col("c5")).alias("county_name"),
-        strip(F.col("c0")).alias("survey_date"),
+        _survey_month().alias("survey_date"),
         _units(7).alias("single_family_units"),
         _units(10, 13, 16).alias("multi_family_units"),
         _units(7, 10, 13, 16).alias("total_units"),
         _units(6).alias("single_family_bldgs"),
     )
-    return rows.select("*", _reject(["fips", "total_units", "single_family_bldgs"]))
+    return rows.select("*", _reject(["survey_date", "fips", "total_units", "single_family_bldgs"]))
 
 
 def parse_construction(fields: DataFrame, year: int, quarter: int) -> DataFrame:
@@ -122,26 +138,28 @@ def parse_construction(fields: DataFrame, year: int, quarter: int) -> DataFrame:
         F.lit(quarter).alias("report_quarter"),
         _units(7, 10, 13, 16).alias("permitted_units"),
         F.lit("census_bps").alias("data_source"),
+        _survey_month().alias("survey_date"),
     )
-    return rows.select("*", _reject(["fips", "permitted_units"]))
+    checked = rows.select("*", _reject(["survey_date", "fips", "permitted_units"]))
+    return checked.drop("survey_date")
 
 
 # --- census tables (JSON array of arrays, first row is the header) -------------------
 
 
-def read_census(
-    spark: SparkSession, path: str, payload_bytes: int = PAYLOAD_BYTES
-) -> DataFrame:
+def read_census(spark: SparkSession, path: str, layout: str = "whole") -> DataFrame:
     """Staged payloads as rows ``value``: JSON arrays whose first row is the header.
 
-    A file is one payload and is read whole while every file is small (sizes come from
-    the file listing, no content is read). With a larger file the payloads are read by
-    line, one record each as the service writes them, and their file's header is put
-    back in front, so that one big file still splits over many tasks.
+    ``layout`` says how the files were written. With ``whole`` a file is one payload,
+    in any formatting, read in one task. With ``lines`` each record has a line of its
+    own, as the service writes them, the first line opening with the header; such a
+    file splits over many tasks and its header is put in front of each record again.
+    A line that cannot be read stays as it is and is rejected by ``census_rows``.
     """
-    sizes = spark.read.format("binaryFile").load(path).agg(F.max("length").alias("largest"))
-    if (sizes.first()["largest"] or 0) <= payload_bytes:
+    if layout == "whole":
         return spark.read.text(path, wholetext=True)
+    if layout != "lines":
+        raise ValueError("layout is whole or lines")
     line = strip(F.col("value"))
     inner = F.regexp_replace(line, r"^\[\s*(?=\[)", "")
     inner = F.regexp_replace(inner, r"((?<=\])\s*\]|,)$", "")
@@ -149,18 +167,21 @@ def read_census(
         spark.read.text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
+            line.alias("line"),
             line.rlike(r"^\[\s*\[").alias("opens"),
             F.from_json(F.concat(F.lit("["), inner, F.lit("]")), _RECORDS).alias("rows"),
         )
-        .filter(F.size("rows") > 0)
+        .filter(~F.col("line").isin("", "[", "]"))
+    )
+    headers = lines.filter("opens").groupBy("file").agg(
+        F.min(F.get("rows", F.lit(0))).alias("header")
     )
-    headers = lines.filter("opens").select("file", F.get("rows", F.lit(0)).alias("header"))
     records = F.when(F.col("opens"), _after_first("rows")).otherwise(F.col("rows"))
+    whole = F.to_json(F.concat(F.array("header"), records))
     return (
-        lines.select("file", records.alias("records"))
-        .filter(F.size("records") > 0)
-        .join(headers, "file")
-        .select(F.to_json(F.concat(F.array("header"), "records")).alias("value"))
+        lines.join(headers, "file", "left")
+        .filter(records.isNull() | (F.size(records) > 0))
+        .select(F.coalesce(whole, "line").alias("value"))
     )
 
 
@@ -172,19 +193,31 @@ def census_rows(payloads: DataFrame, *names: str) -> DataFrame:
     """Records of JSON payloads with the named header columns as strings.
 
     Header positions are found once per payload, so exploded records carry a few
-    integers and not the header; a column the payload lacks comes out null.
+    integers and not the header; a column the payload lacks comes out null. A payload
+    that is no array of records under a header with one of the names gives one row,
+    with ``readable`` false.
     """
     tables = payloads.select(F.from_json("value", _RECORDS).alias("rows"))
     header = F.get("rows", F.lit(0))
+    readable = F.coalesce(F.arrays_overlap(header, F.array(*map(F.lit, names))), F.lit(False))
+    no_record = F.array(F.array().cast("array<string>"))
     located = tables.select(
         *[(F.array_position(header, n).cast("int") - 1).alias(f"at_{n}") for n in names],
-        F.explode(_after_first("rows")).alias("r"),
+        readable.alias("readable"),
+        F.explode(F.when(readable, _after_first("rows")).otherwise(no_record)).alias("r"),
     )
     return located.select(
-        *[F.when(F.col(f"at_{n}") >= 0, F.get("r", F.col(f"at_{n}"))).alias(n) for n in names]
+        *[F.when(F.col(f"at_{n}") >= 0, F.get("r", F.col(f"at_{n}"))).alias(n) for n in names],
+        "readable",
     )
 
 
+def _checked(rows: DataFrame, required: list[str], extra: Column | None = None) -> DataFrame:
+    """Rows of a payload with their reject reason; an unreadable payload is one reject."""
+    reason = F.when(~F.col("readable"), F.lit(BAD_PAYLOAD)).otherwise(_reject(required, extra))
+    return rows.select("*", reason.alias(REJECT)).drop("readable")
+
+
 def _census_code() -> Column:
     return area_code(F.concat("state", "county"))
 
@@ -198,13 +231,13 @@ def parse_demographics(payloads: DataFrame, year: int) -> DataFrame:
     """Population is required; income, age and households may be unknown."""
     pop, income, age, homes = "B01003_001E", "B19013_001E", "B01002_001E", "B11001_001E"
     raw = census_rows(payloads, pop, income, age, homes, "NAME", "state", "county")
-    age_value = strip(known(F.col(age))).try_cast("double")
+    age_value = to_decimal(strip(known(F.col(age))))
     bad = (
         _bad_long(income)
         | _bad_long(homes)
         | (~is_null_token(F.col(age)) & age_value.isNull())
     )
-    return raw.select(
+    rows = raw.select(
         _census_code().alias("fips"),
         F.lit(year).alias("report_year"),
         F.coalesce("NAME", F.lit("")).alias("county_name"),
@@ -213,8 +246,10 @@ def parse_demographics(payloads: DataFrame, year: int) -> DataFrame:
         age_value.alias("median_age"),
         to_long(known(F.col(homes))).alias("households"),
         F.lit("census_acs").alias("data_source"),
+        "readable",
         bad.alias("_bad"),
-    ).select("*", _reject(["fips", "population"], F.col("_bad"))).drop("_bad")
+    )
+    return _checked(rows, ["fips", "population"], F.col("_bad")).drop("_bad")
 
 
 def parse_vacancy(payloads: DataFrame, year: int, quarter: int) -> DataFrame:
@@ -228,21 +263,23 @@ def parse_vacancy(payloads: DataFrame, year: int, quarter: int) -> DataFrame:
         to_long(F.col(total)).alias("total_addresses"),
         to_long(F.col(vacant)).alias("vacant_addresses"),
         F.lit("census_acs").alias("data_source"),
+        "readable",
     )
-    return rows.select("*", _reject(["fips", "total_addresses", "vacant_addresses"]))
+    return _checked(rows, ["fips", "total_addresses", "vacant_addresses"])
 
 
 def parse_enrollment(payloads: DataFrame, year: int) -> DataFrame:
     """Enrollment per area; rows with a null token are skipped."""
     enrolled = "B14001_002E"
     raw = census_rows(payloads, enrolled, "state", "county")
-    rows = raw.filter(~is_null_token(F.col(enrolled))).select(
+    rows = raw.filter(~F.col("readable") | ~is_null_token(F.col(enrolled))).select(
         _census_code().alias("fips"),
         F.lit(year).alias("report_year"),
         to_long(F.col(enrolled)).alias("total_enrollment"),
         F.lit("census_acs").alias("data_source"),
+        "readable",
     )
-    return rows.select("*", _reject(["fips", "total_enrollment"]))
+    return _checked(rows, ["fips", "total_enrollment"])
 
 
 def parse_business(payloads: DataFrame, year: int) -> DataFrame:
@@ -261,8 +298,9 @@ def parse_business(payloads: DataFrame, year: int) -> DataFrame:
         count("ESTAB").alias("establishments"),
         count("EMP").alias("employees"),
         F.lit("census_cbp").alias("data_source"),
+        "readable",
     )
-    return rows.select("*", _reject(["fips", "establishments", "employees"]))
+    return _checked(rows, ["fips", "establishments", "employees"])
 
 
 def state_projection_rows(payloads: DataFrame) -> DataFrame:
@@ -272,15 +310,17 @@ def state_projection_rows(payloads: DataFrame) -> DataFrame:
 
 def parse_state_projections(rows: DataFrame) -> DataFrame:
     """Both sexes together (an absent ``SEX`` counts as total); blank states skipped."""
-    kept = rows.filter(
-        (F.coalesce("SEX", F.lit("0")) == "0") & (F.coalesce("state", F.lit("")) != "")
-    ).select(
+    if "readable" not in rows.columns:
+        rows = rows.withColumn("readable", F.lit(True))
+    total = (F.coalesce("SEX", F.lit("0")) == "0") & (F.coalesce("state", F.lit("")) != "")
+    kept = rows.filter(~F.col("readable") | total).select(
         zfill(F.col("state"), 2).alias("state_fips"),
         to_long(F.col("YEAR")).try_cast("int").alias("projection_year"),
         to_long(F.col("POP")).alias("projected_population"),
         F.lit("census_popproj").alias("data_source"),
+        "readable",
     )
-    return kept.select("*", _reject(["projection_year", "projected_population"]))
+    return _checked(kept, ["projection_year", "projected_population"])
 
 
 # --- quarterly wages file -----------------------------------------------------------
@@ -358,10 +398,5 @@ def boundary_keys(boundaries: DataFrame) -> DataFrame:
 
 
 def flow_counts(n: Column) -> Column:
-    """Number of people in a flow: decimal text cut to a whole number, absent is 0.
-
-    Text without a digit is no number; sorting it out first spares a costly failed cast.
-    """
-    text = F.coalesce(n, F.lit("0"))
-    return F.when(text.rlike("[0-9]"), text).try_cast("double").try_cast("bigint")
-
+    """Number of people in a flow: decimal text cut to a whole number, absent is 0."""
+    return to_decimal(F.coalesce(n, F.lit("0"))).try_cast("bigint")

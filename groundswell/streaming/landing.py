@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from groundswell.config import BRONZE, landed, table_name
 from groundswell.schemas import BRONZE_SCHEMAS
@@ -21,25 +21,32 @@ def load_new_files(
     checkpoint: str,
     parse: Callable[[DataFrame], DataFrame],
     catalog: str | None = None,
+    source_date: Column | None = None,
 ) -> int:
     """Load the files that arrived in ``landing`` since the last run; returns batches.
 
     The query's checkpoint (on storage all executors share) remembers the files it has
     read. Each batch replaces its own ``batch_id`` partition of ``bronze.<source>_landed``,
     so a batch that is repeated after a failure overwrites its first try and rows
-    never double. ``parse`` turns text lines (column ``value``) into parsed rows.
+    never double. ``parse`` turns text lines (column ``value``) into parsed rows;
+    ``source_date`` is a parsed row's period. A batch that fails is logged as a failure
+    and raised.
     """
     batches = 0
 
     def write_batch(lines: DataFrame, batch_id: int) -> None:
         nonlocal batches
         started = dt.datetime.now(dt.timezone.utc)
-        counts = Observation(f"{source}_{batch_id}")
-        rows = accepted(parse(lines).observe(counts, *load_counts()))
-        table = conform(stamped(rows), BRONZE_SCHEMAS[source])
-        target = table_name(BRONZE, landed(source), catalog)
-        replace_partition(table, target, "batch_id", batch_id)
-        found = counts.get
+        try:
+            counts = Observation(f"{source}_{batch_id}")
+            rows = accepted(parse(lines).observe(counts, *load_counts()))
+            table = conform(stamped(rows, source_date), BRONZE_SCHEMAS[source])
+            target = table_name(BRONZE, landed(source), catalog)
+            replace_partition(table, target, "batch_id", batch_id)
+            found = counts.get
+        except Exception as error:
+            log_run(spark, source, "failure", started, error=str(error), catalog=catalog)
+            raise
         log_run(
             spark,
             source,
@@ -73,4 +80,5 @@ def load_new_permits(
         checkpoint,
         lambda lines: parse_permits(split_permits(lines)),
         catalog,
+        F.try_to_date("survey_date", "yyyyMM"),
     )

@@ -64,11 +64,14 @@ def test_rank_shift(frame):
 
 
 def test_state_compounding(frame):
-    people = frame([("12086", 100), ("12001", 50), ("06037", 7)], "fips string, population int")
-    rates = frame([("12", 0.1)], "state_fips string, annual_rate double")
-    found = rows(
-        extras.state_compounding(people, rates, 2020, [2021, 2022]), "projection_year"
+    people = frame(
+        [("12086", 2020, 100), ("12001", 2020, 65), ("12086", 2019, 150), ("06037", 2020, 7)],
+        "fips string, report_year int, population int",
     )
+    states = extras.state_growth(people, 2020)
+    assert [r["annual_rate"] for r in rows(states, "state_fips")] == [None, pytest.approx(0.1)]
+    grown = extras.state_compounding(states.filter("state_fips = '12'"), 2020, [2020, 2021])
+    found = rows(grown, "projection_year")
     assert [r["projected_population"] for r in found] == [
         pytest.approx(165.0),
         pytest.approx(181.5),

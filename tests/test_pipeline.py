@@ -193,6 +193,7 @@ def test_landing_loads_each_file_once(spark, tmp_path, landing_table):
     write(drop, "two.txt", permit_lines(("202402", "12", "086", "A", 6)))
     assert landing.load_new_permits(spark, str(drop), state) == 1
     found = rows(spark.table(landing_table), "survey_date")
+    assert [str(r["source_date"]) for r in found] == ["2024-01-01", "2024-02-01"]
     assert [(r["survey_date"], r["total_units"], r["batch_id"]) for r in found] == [
         ("202401", 8, 0),
         ("202402", 9, 1),
@@ -201,6 +202,22 @@ def test_landing_loads_each_file_once(spark, tmp_path, landing_table):
     assert [(r["rows_loaded"], r["rows_rejected"]) for r in runs] == [(1, 1), (1, 0)]
 
 
+def test_failed_landing_batch_is_logged_and_raised(spark, tmp_path, landing_table):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    write(drop, "one.txt", permit_lines(("202401", "12", "086", "A", 5)))
+
+    def parse(lines):
+        raise ValueError("no such layout")
+
+    with pytest.raises(Exception, match="no such layout"):
+        landing.load_new_files(
+            spark, "building_permits", str(drop), str(tmp_path / "state"), parse
+        )
+    last = log(spark, "building_permits")[-1]
+    assert last["status"] == "failure" and "no such layout" in last["error_msg"]
+
+
 def test_landing_batch_retry_does_not_double(spark, tmp_path, landing_table):
     """Without the checkpoint the same batch number is written again, over itself."""
     drop = tmp_path / "drop"

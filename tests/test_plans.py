@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from groundswell.operators import ordering, panel, scoring
+from groundswell.operators import ordering, panel, scoring, serving
 from groundswell.plans import catalog
 from groundswell.plans.views import Views
 
@@ -21,7 +21,7 @@ def lines(df, word):
 
 
 def test_latest_row_is_limited_before_the_shuffle(spark):
-    text = plan(panel.latest_per_key(Views(spark, SMALL).demographics(), ["population"]))
+    text = plan(panel.latest_per_key(Views(spark, SMALL).readings(), ["reading"]))
     assert re.search(r"Final.*Exchange hashpartitioning\(fips.*Partial", text, re.DOTALL)
 
 
@@ -61,9 +61,69 @@ def test_scans_read_only_needed_columns(spark):
     ]
 
 
-def test_filters_reach_the_scan(spark):
-    scans = lines(Views(spark, SMALL).vacancy_b(), "PushedFilters")
-    assert any("GreaterThanOrEqual(c_nationkey,4)" in scan for scan in scans)
+def test_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    scores = spark.createDataFrame([("01001", "AL", 1.0)], "fips string, state string, composite_score double")
+    scores.write.parquet(path)
+    scans = lines(serving.list_areas(spark.read.parquet(path), "AL"), "PushedFilters")
+    assert any("EqualTo(state,AL)" in scan for scan in scans)
+
+
+def fact_scans(df):
+    return len([line for line in lines(df, "FileScan") if "lineitem.parquet" in line])
+
+
+@pytest.mark.parametrize(
+    ("name", "most"),
+    [("indicator_table", 1), ("area_trends", 1), ("net_migration", 1), ("permit_trend", 1)],
+)
+def test_facts_are_read_once(spark, name, most):
+    """Besides the one pass that is written out for all sources made of line items."""
+    assert fact_scans(catalog.queries()[name](spark, SMALL)) <= most
+
+
+def test_other_sources_are_read_once(spark):
+    for name, table in (("projection_growth", "supplier"), ("state_compounding", "customer")):
+        scans = lines(catalog.queries()[name](spark, SMALL), "FileScan")
+        assert len([line for line in scans if f"{table}.parquet" in line]) == 1
+
+
+def test_views_read_every_row(spark):
+    """Totals of the views equal those of the tables."""
+    v = Views(spark, SMALL)
+    units = v.table("lineitem").agg(F.sum(F.col("l_quantity").cast("bigint"))).first()[0]
+    total = lambda df, c: df.agg(F.sum(c)).first()[0]
+    v.share_items()
+    assert total(v.permits_b(), "total_units") == total(v.vacancy_b(), "total_addresses") == units
+    assert total(v.business_b(), "establishments") == units
+    direct = Views(spark, SMALL)
+    assert total(direct.permits_b(), "total_units") == units
+    assert direct.enrollment_b().count() == v.table("orders").count()
+    spent = v.table("orders").agg(F.sum(F.floor("o_totalprice"))).first()[0]
+    shared = rows_of(catalog.queries()["crosswalk_rollup"](spark, SMALL))
+    assert abs(sum(r["spending"] for r in shared) - spent) < 1
+
+
+def rows_of(df):
+    return df.collect()
+
+
+def test_more_customers_than_codes_keep_their_people(spark, tmp_path):
+    """150,001 customers share 50,000 codes; an area's people are summed."""
+    people = spark.range(150_001).selectExpr(
+        "id AS c_custkey", "concat('c', id) AS c_name", "10.0D AS c_acctbal",
+        "cast(id % 25 AS int) AS c_nationkey", "'BUILDING' AS c_mktsegment",
+    )
+    people.write.parquet(str(tmp_path / "customer.parquet"))
+    spark.read.parquet(f"{SMALL}/supplier.parquet").write.parquet(str(tmp_path / "supplier.parquet"))
+    v = Views(spark, str(tmp_path))
+    suppliers = v.table("supplier").filter("s_suppkey % 97 <> 0")
+    theirs = suppliers.agg(F.sum(F.floor(F.abs("s_acctbal")) + 100)).first()[0]
+    customers = people.filter("c_custkey % 97 <> 0").count() * 110
+    areas = v.areas()
+    assert areas.agg(F.sum("people")).first()[0] == customers + theirs
+    assert areas.count() == areas.select("fips").distinct().count()
+    assert v.acs_b().filter("report_year = 1999").count() == areas.count()
 
 
 @pytest.mark.parametrize(

@@ -58,11 +58,10 @@ def test_vacancy_change(frame):
         "fips string, report_year int, report_quarter int, total_addresses bigint, "
         "vacant_addresses bigint",
     )
-    for unique in (True, False):
-        found = rows(transforms.vacancy_change(bronze, unique), "fips", "report_quarter")
-        assert [r["vacancy_rate"] for r in found] == [0.05, 0.045, None, 0.5]
-        assert found[1]["vacancy_rate_yoy_change"] == pytest.approx(-0.005)
-        assert [found[i]["vacancy_rate_yoy_change"] for i in (0, 2, 3)] == [None] * 3
+    found = rows(transforms.vacancy_change(bronze), "fips", "report_quarter")
+    assert [r["vacancy_rate"] for r in found] == [0.05, 0.045, None, 0.5]
+    assert found[1]["vacancy_rate_yoy_change"] == pytest.approx(-0.005)
+    assert [found[i]["vacancy_rate_yoy_change"] for i in (0, 2, 3)] == [None] * 3
 
 
 def test_employment_growth(frame):
@@ -198,3 +197,40 @@ def test_net_migration_keeps_both_sides(frame):
     }
     assert found["12086"]["data_source"] == "irs_soi"
     assert found["12086"]["report_year"] == 2023
+
+
+FLOWS = """y1_statefips string, y1_countyfips string, y2_statefips string, y2_countyfips string,
+    n2 string"""
+
+
+def test_short_totals_and_odd_numbers_are_no_flows(frame):
+    """A state total is one however it is padded, and 5d is a mark, not five people."""
+    flows = frame(
+        [("1", "0", "12", "086", "1"), ("2", "00", "12", "086", "2"), ("12", "00", "1", "1", "4"),
+         ("1", "1", "12", "086", "5d"), ("1", "1", "12", "086", "7f"),
+         ("1", "1", "12", "086", "0x1p3"), ("1", "1", "12", "86", "8.9"),
+         ("1", "3", "12", "086", "1e1"), ("1", "5", "12", "086", None)],
+        FLOWS,
+    )
+    both = rows(transforms.flow_rows(flows, origin="y1", fips="y2"), "origin")
+    assert [(r["origin"], r["fips"], r["people"]) for r in both] == [
+        ("01001", "12086", 8), ("01003", "12086", 10), ("01005", "12086", 0)
+    ]
+    out = {r["fips"]: r["people"] for r in rows(transforms.flow_totals(flows, "y1"))}
+    assert out == {"01001": 8, "01003": 10, "01005": 0}
+
+
+def test_one_file_for_both_sides_is_read_once(frame):
+    flows = frame(
+        [("36", "061", "12", "086", "5"), ("12", "086", "36", "061", "2"),
+         ("97", "000", "12", "086", "9"), ("06", "037", "96", "000", "4")],
+        FLOWS,
+    )
+    once, twice = (
+        rows(transforms.net_migration(flows, other, 2023, 1), "fips")
+        for other in (flows, flows.select("*"))
+    )
+    assert once == twice
+    assert [(r["fips"], r["inflow"], r["outflow"], r["net_migration"]) for r in once] == [
+        ("06037", 0, 4, -4), ("12086", 14, 2, 12), ("36061", 2, 5, -3)
+    ]
