@@ -596,7 +596,7 @@ def state_list(v: Views) -> DataFrame:
 
 @_query
 def area_trends(v: Views) -> DataFrame:
-    v.share_items()
+    v.share_items(business=False)
     return serving.area_trends(
         v.permits(), v.migration(), v.vacancy(), v.employment(), v.demographics()
     )

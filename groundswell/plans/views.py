@@ -22,6 +22,7 @@ from groundswell.session import checkpointed
 from groundswell.sources.files import accepted, parse_employment
 
 FLOW_YEAR, FLOW_QUARTER = 2000, 4
+_PERMITS, _VACANCY, _BUSINESS = range(3)
 _INDUSTRY = "CASE WHEN p_size % 10 = 0 THEN '7222' ELSE cast(1100 + p_size AS string) END"
 
 
@@ -101,85 +102,103 @@ class Views:
         joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
         return joined.withColumn("units", F.col("l_quantity").cast("bigint"))
 
-    def share_items(self) -> None:
+    def share_items(self, business: bool = True) -> None:
         """Read the line items once for every source made of them (but flows).
 
         One aggregate sums them for all sources, tagged by source, and is written out;
-        the sources' views then read that small table. Queries on one source do not need it.
+        the sources' views then read that small table. Queries on one source do not need
+        it, and those that count no businesses leave them out.
         """
         if ("permits_b",) in self.built:
             return
-        parts = self.table("part").select("p_partkey", "p_size")
-        items = self.items().join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        zero = F.lit(0).cast("bigint")
-        units = F.col("units")
+        lines = self.table("lineitem").select(
+            "l_orderkey", "l_partkey", "l_returnflag", "l_shipdate",
+            F.col("l_quantity").cast("bigint").alias("units"),
+        )
+        orders = self.table("orders").select(
+            "o_orderkey",
+            F.col("o_custkey").cast("bigint").alias("customer"),
+            F.expr(f"cast({AREA.format('o_custkey')} AS bigint)").alias("area"),
+            "o_orderdate",
+        )
+        parts = self.table("part").select("p_partkey", F.expr(_INDUSTRY).cast("int").alias("kind"))
+        items = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        if business:
+            items = items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        units, zero = F.col("units"), F.lit(0).cast("bigint")
 
-        def entry(source, name, year, part, first, second):
+        def entry(source, owner, year, part, first, second):
             return F.struct(
                 F.lit(source).alias("source"),
-                name.alias("name"),
-                year.alias("year"),
+                F.col(owner).alias("owner"),
+                F.year(year).alias("year"),
                 part.alias("part"),
                 first.alias("first"),
                 second.alias("second"),
             )
 
-        text = F.lit(None).cast("string")
-        entries = F.array(
+        new, back = F.col("l_returnflag") == "N", F.col("l_returnflag") == "R"
+        entries = [
             entry(
-                "permits",
-                F.col("county_name"),
-                F.year("o_orderdate"),
-                F.month("o_orderdate").cast("string"),
-                F.when(F.col("l_returnflag") == "N", units).otherwise(zero),
-                F.when(F.col("l_returnflag") != "N", units).otherwise(zero),
-            ),
-            entry(
-                "vacancy",
-                text,
-                F.year("l_shipdate"),
-                F.quarter("l_shipdate").cast("string"),
-                units,
-                F.when(F.col("l_returnflag") == "R", units).otherwise(zero),
+                _PERMITS,
+                "customer",
+                "o_orderdate",
+                F.month("o_orderdate"),
+                F.when(new, units).otherwise(zero),
+                F.when(new, zero).otherwise(units),
             ),
             entry(
-                "business",
-                text,
-                F.year("o_orderdate"),
-                F.expr(_INDUSTRY),
+                _VACANCY,
+                "area",
+                "l_shipdate",
+                F.quarter("l_shipdate"),
                 units,
-                units * 12,
+                F.when(back, units).otherwise(zero),
             ),
-        )
+        ]
+        if business:
+            entries += [entry(_BUSINESS, "area", "o_orderdate", F.col("kind"), units, units * 12)]
         summed = (
-            items.select("fips", F.inline(entries))
-            .groupBy("source", "fips", "name", "year", "part")
+            items.select(F.inline(F.array(*entries)))
+            .groupBy("source", "owner", "year", "part")
             .agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
         )
         facts = checkpointed(summed)
 
-        def of(source: str, *columns: str) -> DataFrame:
-            return facts.filter(F.col("source") == source).selectExpr("fips", *columns)
+        def of(source: int, *columns: str) -> DataFrame:
+            return facts.filter(F.col("source") == source).selectExpr(*columns)
 
-        self.built[("permits_b",)] = of(
-            "permits",
-            "name AS county_name",
-            "cast(year * 100 + cast(part AS int) AS string) AS survey_date",
-            "first AS single_family_units",
-            "second AS multi_family_units",
-            "first + second AS total_units",
+        names = self.table("customer").selectExpr(
+            "c_custkey AS owner", "c_name AS county_name", f"{AREA.format('c_custkey')} AS fips"
         )
+        self.built[("permits_b",)] = (
+            of(
+                _PERMITS,
+                "owner",
+                "cast(year * 100 + part AS string) AS survey_date",
+                "first AS single_family_units",
+                "second AS multi_family_units",
+                "first + second AS total_units",
+            )
+            .join(names, "owner")
+            .drop("owner")
+        )
+        area = "lpad(cast(owner AS string), 5, '0') AS fips"
         self.built[("vacancy_b",)] = of(
-            "vacancy",
+            _VACANCY,
+            area,
             "year AS report_year",
-            "cast(part AS int) AS report_quarter",
+            "part AS report_quarter",
             "first AS total_addresses",
             "second AS vacant_addresses",
         )
+        if not business:
+            return
         self.built[("business_b",)] = of(
-            "business",
+            _BUSINESS,
+            area,
             "year AS report_year",
-            "part AS naics_code",
+            "cast(part AS string) AS naics_code",
             "first AS establishments",
             "second AS employees",
         )
