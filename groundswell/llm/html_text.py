@@ -47,17 +47,30 @@ MARKS = frozenset(
     aside footer header masthead topbar cookie cookies consent gdpr notice notices alert popup
     modal overlay newsletter subscribe subscription signup login search share sharing social
     related recommended recommendations comment comments commentlist disqus respond reply replies
-    widget widgets toolbar skip hidden""".split()
+    widget widgets toolbar skip hidden responses discussion feedback disclaimer copyright""".split()
 )
+# Words that, with a mark of layout, name a part of the page's frame: "has-sidebar".
+FRAME = frozenset("header footer sidebar nav menu banner".split())
+NEGATIONS = frozenset("has with no without not".split())
+WHOLE = frozenset("content main page layout post entry article".split())
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _mark(word: str) -> bool:
+    """Whether one class or id names something beside the article."""
+    tokens = [token.lower() for token in _TOKENS.findall(word)]
+    found = MARKS.intersection(tokens)
+    if not found or tokens[0] in NEGATIONS:
+        return False
+    return not (found <= FRAME and WHOLE.intersection(tokens))
+
+
 def _marked(attributes: list[tuple[str, str | None]]) -> bool:
     """Whether class, id or role say that an element is not part of the article."""
     for name, value in attributes:
         if name in ("class", "id") and value:
-            if any(token.lower() in MARKS for token in _TOKENS.findall(value)):
+            if any(map(_mark, value.split())):
                 return True
         elif name == "role" and value and value.strip().lower() in ROLES:
             return True

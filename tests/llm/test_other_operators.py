@@ -156,6 +156,15 @@ def test_page_without_article():
     )
 
 
+def test_classes_that_name_the_frame():
+    page = """<body class="no-sidebar"><div class="page has-sidebar"><div class="entry-header">
+    <h1>Title</h1></div><div class="post-content"><p>The text of the article stays here.</p>
+    <div class="ad-container">Advert</div><div class="cookieNotice">We use cookies</div>
+    <div class="share_buttons">Share this</div></div><div id="rightSidebar">Side</div>
+    <div class="comment-body">A reader says</div></div>"""
+    assert main_text(page) == "Title\n\nThe text of the article stays here."
+
+
 def test_odd_pages(spark):
     rows = [
         (1, "u", None, "x"),
