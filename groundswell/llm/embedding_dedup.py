@@ -38,16 +38,27 @@ def signs(vectors: np.ndarray) -> np.ndarray:
     return np.packbits(vectors @ planes > 0, axis=1)
 
 
-def _prepare(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(vec_id, label, unit, codes); rows that can link with nothing have no unit vector."""
-    units: list[bytes | None] = [None] * batch.num_rows
-    codes: list[bytes | None] = [None] * batch.num_rows
-    for rows, matrix in matrices(batch.column(2)).values():
-        scaled = unit(matrix)
-        for row, u, c in zip(rows.tolist(), scaled, signs(scaled)):
-            units[row], codes[row] = u.tobytes(), c.tobytes()
-    columns = [batch.column(0), batch.column(1), pa.array(units, pa.binary()), pa.array(codes, pa.binary())]
-    return pa.record_batch(columns, names=["vec_id", "label", "unit", "codes"])
+def _prepare(kind: type):
+    """(vec_id, label, vector, codes); rows that can link with nothing have no vector.
+
+    A vector is its components as ``kind``, as the column holds them: no digit is lost.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        vectors: list[bytes | None] = [None] * batch.num_rows
+        codes: list[bytes | None] = [None] * batch.num_rows
+        for rows, matrix in matrices(batch.column(2)).values():
+            for row, v, c in zip(rows.tolist(), matrix.astype(kind), signs(unit(matrix))):
+                vectors[row], codes[row] = v.tobytes(), c.tobytes()
+        columns = [
+            batch.column(0),
+            batch.column(1),
+            pa.array(vectors, pa.binary()),
+            pa.array(codes, pa.binary()),
+        ]
+        return pa.record_batch(columns, names=["vec_id", "label", "vector", "codes"])
+
+    return per_batch(run)
 
 
 def _roots(near: np.ndarray) -> np.ndarray:
@@ -84,39 +95,44 @@ def _compare(part: dict[str, np.ndarray], units: np.ndarray, codes: np.ndarray):
 NAMES = ["key", "rep", "weight", "tab", "side", "i", "j"]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(kind: type):
     """Compare each run of rows with one key; a run can go over several batches."""
-    rest: pa.Table | None = None
 
     def done(rows: pa.Table) -> pa.RecordBatch | None:
         rows = rows.combine_chunks()
         get = {n: rows.column(n).to_numpy() for n in NAMES}
-        width = [len(x) for x in rows.column("unit").to_pylist()]
         cuts = np.flatnonzero(get["key"][1:] != get["key"][:-1]) + 1
-        units, codes = (rows.column(n).to_pylist() for n in ("unit", "codes"))
+        vectors, codes = (rows.column(n).to_pylist() for n in ("vector", "codes"))
         out = []
-        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(width)]):
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(vectors)]):
             if end - begin < 2:
                 continue
             part = {n: v[begin:end] for n, v in get.items()}
-            u = np.frombuffer(b"".join(units[begin:end]), np.float64).reshape(end - begin, -1)
+            v = np.frombuffer(b"".join(vectors[begin:end]), kind).reshape(end - begin, -1)
             c = np.frombuffer(b"".join(codes[begin:end]), np.uint8).reshape(end - begin, -1)
-            out.append(_compare(part, u, c))
+            out.append(_compare(part, unit(v.astype(np.float64)), c))
         if not out:
             return None
         columns = [pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(3)]
         return pa.record_batch(columns, names=["rep", "n", "root"])
 
-    for batch in batches:
-        new = pa.Table.from_batches([batch])
-        rows = new if rest is None else pa.concat_tables([rest, new])
-        keys = rows.column("key").to_numpy()
-        full = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
-        if full and (found := done(rows.slice(0, full))) is not None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            rows = new if rest is None else pa.concat_tables([rest, new])
+            keys = rows.column("key").to_numpy()
+            before = np.flatnonzero(keys != keys[-1])
+            full = int(before[-1]) + 1 if len(before) else 0
+            if full and (found := done(rows.slice(0, full))) is not None:
+                yield found
+            rest = rows.slice(full)
+        if rest is not None and (found := done(rest)) is not None:
             yield found
-        rest = rows.slice(full)
-    if rest is not None and rest.num_rows and (found := done(rest)) is not None:
-        yield found
+
+    return run
 
 
 def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
@@ -130,14 +146,16 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
     vectors = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding"
     )
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = np.float32 if element == "float" else np.float64
     prepared = checkpointed(
         vectors.mapInArrow(
-            per_batch(_prepare), "vec_id long, label string, unit binary, codes binary"
+            _prepare(kind), "vec_id long, label string, vector binary, codes binary"
         )
     )
-    usable = prepared.where("unit is not null and label is not null and vec_id is not null")
+    usable = prepared.where("vector is not null and label is not null and vec_id is not null")
     classes = checkpointed(
-        usable.groupBy("label", "unit", "codes").agg(
+        usable.groupBy("label", "vector", "codes").agg(
             F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")
         )
     )
@@ -148,11 +166,11 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
         ),
     )
     keyed = classes.select("*", F.explode(tables).alias("t")).select(
-        F.xxhash64("label", F.length("unit"), "t.tab", "t.code").alias("bucket"),
+        F.xxhash64("label", F.length("vector"), "t.tab", "t.code").alias("bucket"),
         F.col("t.tab").alias("tab"),
         "rep",
         "weight",
-        "unit",
+        "vector",
         "codes",
     )
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -171,13 +189,13 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
         "side",
         low.alias("i"),
         high.alias("j"),
-        "unit",
+        "vector",
         "codes",
     )
     found = checkpointed(
         rows.repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(_groups, "rep long, n long, root long")
+        .mapInArrow(_groups(kind), "rep long, n long, root long")
     )
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     links = found.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b"))
@@ -187,15 +205,15 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
         .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
         .select(
             "label",
-            "unit",
+            "vector",
             (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
             F.coalesce("component", "rep").alias("component_id"),
         )
     )
     linkable = F.col("vec_id").isNotNull()
     result = prepared.select(
-        "vec_id", F.when(linkable, F.col("label")).alias("label"), F.when(linkable, F.col("unit")).alias("unit")
-    ).join(named, ["label", "unit"], "left")
+        "vec_id", F.when(linkable, F.col("label")).alias("label"), F.when(linkable, F.col("vector")).alias("vector")
+    ).join(named, ["label", "vector"], "left")
     component = F.coalesce("component_id", "vec_id")
     return result.select(
         "vec_id",
