@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,20 +15,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from groundswell.session import checkpointed, ensure_checkpoint_dir
 
 __all__ = [
+    "Prefixes",
+    "Recent",
     "binary",
     "checkpointed",
     "digest_words",
     "documents",
     "fold",
+    "give_back",
     "mix",
     "per_batch",
     "release",
     "shared_folder",
     "shingles",
+    "slices",
     "table",
 ]
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
 
@@ -45,6 +52,51 @@ def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.names.index(name)).cast(pa.binary()).to_pylist()
 
 
+SLICE_BYTES = 8 << 20
+
+
+def slices(raws: list[bytes | None]) -> Iterator[range]:
+    """Row ranges of a batch that hold about ``SLICE_BYTES`` of text each.
+
+    The words of a text take some ten times its bytes as Python objects, so they are
+    made for a slice at a time.
+    """
+    begin, size = 0, 0
+    for row, raw in enumerate(raws):
+        size += len(raw or b"")
+        if size >= SLICE_BYTES:
+            yield range(begin, row + 1)
+            begin, size = row + 1, 0
+    if begin < len(raws):
+        yield range(begin, len(raws))
+
+
+class Recent:
+    """Values of the keys met lately, in bounded memory.
+
+    A full generation becomes the one before, and the one before that is forgotten;
+    keys that come again move on, so common keys are computed once.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """The keys without a value. All others, and what is stored next, are in ``now``."""
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
+        new = []
+        for key in keys.difference(self.now):
+            value = self.before.get(key)
+            if value is None:
+                new.append(key)
+            else:
+                self.now[key] = value
+        return new
+
+
 def per_batch(fn):
     """An Arrow function over an iterator of batches, from one over a single batch."""
 
@@ -52,10 +104,25 @@ def per_batch(fn):
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return a finished task's free memory to the system.
+
+    Python workers live on between tasks; without this an idle one keeps the pages of
+    its largest task, which count against the executor.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; it has ways of its own
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = (x ^ (x >> _HALF)) * _MUL
@@ -68,15 +135,40 @@ def digest_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
 
 
+class Prefixes:
+    """Hashes of any run of words of one text, each from two prefix sums.
+
+    A run's hash is the sum of word hash * ODD^position, shifted to its own start and
+    mixed with its length; arithmetic is modulo 2^64, where an odd number has an inverse.
+    """
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        steps = np.full(max(n, 1), _ODD)
+        steps[0] = 1
+        powers = np.multiply.accumulate(steps)
+        steps[1:] = _INVERSE
+        self.back = np.multiply.accumulate(steps)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * powers[:n], out=self.sums[1:])
+
+    def runs(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of the runs of ``length`` (above 0) words at ``start``."""
+        value = (self.sums[start + length] - self.sums[start]) * self.back[start]
+        return mix(value + length.astype(np.uint64))
+
+    def every(self, length: int) -> np.ndarray:
+        """Of all runs of ``length`` words, in order."""
+        count = len(self.sums) - length
+        if count < 1:
+            return np.empty(0, np.uint64)
+        value = (self.sums[length:] - self.sums[:count]) * self.back[:count]
+        return mix(value + np.uint64(length))
+
+
 def fold(hashes: np.ndarray, size: int) -> np.ndarray:
     """One 64-bit hash per run of ``size`` consecutive words."""
-    runs = len(hashes) - size + 1
-    if runs < 1:
-        return np.empty(0, np.uint64)
-    value = np.full(runs, size, np.uint64)
-    for j in range(size):
-        value = mix(value * _ODD + hashes[j : j + runs])
-    return value
+    return Prefixes(hashes).every(size)
 
 
 def shingles(raw: bytes | None, size: int) -> np.ndarray:
@@ -96,10 +188,13 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 
     Call it after a checkpoint. Spark deletes them when the driver's garbage collector
-    finds their owners gone, which on an idle driver heap can take the whole job.
+    finds their owners gone, which on an idle driver heap can take the whole job. An
+    owner goes only after what refers to it, hence the rounds.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 from groundswell.llm.common import binary, checkpointed, documents, per_batch
 
 TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
-TRAIN_ROWS = 4_000  # labelled documents learned from, lowest hashes of their ids
+TRAIN_ROWS = 2_000  # labelled documents learned from, lowest hashes of their ids
 TRAIN_BYTES = 100_000  # documents longer than this are mixed, but not learned from
-DIMENSION = 2_048
+DIMENSION = 1_024
 EPOCHS, RATE, DECAY = 150, 0.5, 1e-5
 STEPS, CLOSE = 40, 1e-4  # of the fit: at most, and the share of tokens it may be off
 GROWTH = 4.0  # most that all rates together are raised by
@@ -41,7 +41,7 @@ def trigrams(raw: bytes | None) -> np.ndarray:
     a = np.frombuffer((raw or b"").lower(), np.uint8).astype(np.uint32)
     if len(a) >= 3:
         codes = (a[:-2] << np.uint32(16) | a[1:-1] << np.uint32(8) | a[2:]) * np.uint32(2654435761)
-        found = np.sqrt(np.bincount(codes >> np.uint32(21), minlength=DIMENSION)).astype(np.float32)
+        found = np.sqrt(np.bincount(codes >> np.uint32(22), minlength=DIMENSION)).astype(np.float32)
         found /= np.sqrt((found * found).sum())
     return found
 

@@ -14,6 +14,8 @@ Only bins (id and size) move between tasks; token ids never do.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,56 +25,84 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from groundswell.llm.common import binary, checkpointed, documents
+from groundswell.llm.common import Recent, binary, checkpointed, documents, give_back, slices
 
 LENGTH = 2048
 SLACK = 1
 ROUND_ITEMS = 20_000
-STORED = 400_000  # words whose ids a task holds at a time
-CHUNK = 2_000  # new words tokenized in one call
+STORED = 400_000  # words in each of the two generations whose ids a task holds
+CHUNK = 100  # new words tokenized in one call
 END = (0).to_bytes(4, "little")
+_SPECIAL = b"<|"  # begins the special tokens, whose case matters
 _SHIFT = 33  # a bin's id: round and task above, number in the task below
 
 
 class WordTokens:
     """Token ids of texts, by the ids of their words.
 
-    The tokenizer drops white space and never joins tokens across it, so a text's ids
-    are its words' ids one after the other; each distinct word is tokenized once. Words
-    are tokenized many at a time with a special token between them.
+    The tokenizer lower-cases, drops white space and never joins tokens across it, or
+    across the border of a letter and an ASCII sign other than the apostrophe. So a
+    text's ids are its words' ids one after the other, a word's are those of its base
+    and of the signs at its end, and each is tokenized once. Words are tokenized many
+    at a time with a special token between them.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.stored: dict[bytes, bytes] = {}
+        self.signs = re.compile(rb"(.*[A-Za-z])([^A-Za-z0-9'\x80-\xff]+)", re.DOTALL)
+        self.recent = Recent(STORED)
+
+    @staticmethod
+    def words(raw: bytes | None) -> list[bytes]:
+        if not raw:
+            return []
+        return (raw if _SPECIAL in raw else raw.lower()).split()
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.stored))
-        if len(self.stored) + len(new) > STORED:
-            self.stored, new = {}, list(words)
-        odd = [w for w in new if b"<|" in w or b"|>" in w]
-        plain = [w for w in new if not (b"<|" in w or b"|>" in w)]
-        for word in odd:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            self.stored[word] = np.array(ids, "<u4").tobytes()
-        for at in range(0, len(plain), CHUNK):
-            some = plain[at : at + CHUNK]
-            text = self.mark.join(w.decode() for w in some)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            assert len(ends) == len(some)
-            begin, raw = 0, ids.tobytes()
-            for word, end in zip(some, ends.tolist()):
-                self.stored[word] = raw[4 * begin : 4 * end]
-                begin = end + 1
+        missing = self.recent.missing(words)
+        known, before = self.recent.now, self.recent.before
+        new, joined = set(), []
+        for word in missing:
+            last = word[-1]
+            # Most words end in a letter and need no closer look.
+            signs = not (97 <= last <= 122 or last > 127) and _SPECIAL not in word
+            match = self.signs.fullmatch(word) if signs else None
+            if not match:
+                new.add(word)
+                continue
+            joined.append((word, *match.groups()))
+            for part in match.groups():
+                if part not in known:
+                    value = before.get(part)
+                    if value is None:
+                        new.add(part)
+                    else:
+                        known[part] = value
+        plain = [w for w in new if _SPECIAL not in w]
+        groups = [plain[at : at + CHUNK] for at in range(0, len(plain), CHUNK)]
+        groups += [[w] for w in new if _SPECIAL in w]
+        texts = [self.mark.join(w.decode() for w in some) for some in groups]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for some, found in zip(groups, encoded):
+            ids = np.array(found.ids, "<u4")
+            raw = ids.tobytes()
+            if len(some) == 1:
+                known[some[0]] = raw
+                continue
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            for word, begin, end in zip(some, [-1, *ends], ends, strict=False):
+                known[word] = raw[4 * begin + 4 : 4 * end]
+        for word, base, end in joined:
+            known[word] = known[base] + known[end]
 
     def encode(self, words: list[bytes]) -> bytes:
-        """Little-endian 32-bit ids; all words must have been learned."""
-        return b"".join(map(self.stored.__getitem__, words))
+        """Little-endian 32-bit ids; all words must have been learned with the last call."""
+        return b"".join(map(self.recent.now.__getitem__, words))
 
 
 def best_fit(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,17 +143,19 @@ def _local(path: str):
         known = WordTokens(path)
         ids, pieces, starts, lengths, crcs = [], [], [], [], []
         for batch in batches:
-            texts = [raw.split() if raw else [] for raw in binary(batch, "text")]
-            known.learn(set().union(*texts))
-            for key, words in zip(batch.column(0).to_pylist(), texts):
-                tokens = known.encode(words) + END
-                for piece, at in enumerate(range(0, len(tokens), 4 * LENGTH)):
-                    part = tokens[at : at + 4 * LENGTH]
-                    ids.append(key)
-                    pieces.append(piece)
-                    starts.append(at // 4)
-                    lengths.append(len(part) // 4)
-                    crcs.append(zlib.crc32(part))
+            raws, keys = binary(batch, "text"), batch.column(0).to_pylist()
+            for rows in slices(raws):
+                texts = [known.words(raws[row]) for row in rows]
+                known.learn(set().union(*texts))
+                for row, words in zip(rows, texts):
+                    tokens = known.encode(words) + END
+                    for piece, at in enumerate(range(0, len(tokens), 4 * LENGTH)):
+                        part = tokens[at : at + 4 * LENGTH]
+                        ids.append(keys[row])
+                        pieces.append(piece)
+                        starts.append(at // 4)
+                        lengths.append(len(part) // 4)
+                        crcs.append(zlib.crc32(part))
         own = TaskContext.get().partitionId() << _SHIFT
         bins, offsets, sizes = best_fit(np.array(lengths, np.int64))
         yield pa.record_batch(
@@ -139,6 +171,8 @@ def _local(path: str):
             ],
             names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "size"],
         )
+        del known, ids, pieces, starts, lengths, crcs
+        give_back()
 
     return run
 

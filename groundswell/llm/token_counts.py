@@ -1,6 +1,6 @@
 """Token counts under a unigram model, by dynamic programming over a trie.
 
-The distinct pre-tokens of a batch of documents are walked in sorted order, which is a
+The distinct pre-tokens of a slice of documents are walked in sorted order, which is a
 depth-first walk of their trie: the forward scores of a prefix are computed once and
 serve every word below it. The count at a word's end is stored and looked up for every
 occurrence. Tasks need nothing from each other, so no row is shuffled.
@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from groundswell.llm.common import binary, documents
+from groundswell.llm.common import Recent, binary, documents, give_back, slices
 
 SMOOTH = 10.0
 BYTE_SCORE = -20.0  # of each byte of a character that no piece covers
-STORED = 400_000  # words whose counts a task holds at a time
+STORED = 250_000  # words in each of the two generations whose counts a task holds
 START = "▁"  # stands before each word
 
 
@@ -73,22 +73,26 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(path)
         longest = max(map(len, pieces), default=1)
-        stored: dict[bytes, int] = {}
+        recent = Recent(STORED)
         for batch in batches:
-            texts = [raw.split() if raw else [] for raw in binary(batch, "text")]
-            new = set().union(*texts).difference(stored)
-            if len(stored) + len(new) > STORED:
-                stored = {}
-                new = set().union(*texts)
-            names = {w.decode("utf-8", "replace"): w for w in new}
-            for name, n in count_words(list(names), pieces, longest).items():
-                stored[names[name]] = n
+            raws = binary(batch, "text")
+            n_words, n_tokens = [], []
+            for rows in slices(raws):
+                texts = [raws[row].split() if raws[row] else [] for row in rows]
+                names = {w.decode(): w for w in recent.missing(set().union(*texts))}
+                stored = recent.now
+                for name, n in count_words(list(names), pieces, longest).items():
+                    stored[names[name]] = n
+                n_words += map(len, texts)
+                n_tokens += [sum(map(stored.__getitem__, words)) for words in texts]
             columns = [
                 batch.column(0),
-                pa.array([len(words) for words in texts], pa.int64()),
-                pa.array([sum(map(stored.__getitem__, words)) for words in texts], pa.int64()),
+                pa.array(n_words, pa.int64()),
+                pa.array(n_tokens, pa.int64()),
             ]
             yield pa.record_batch(columns, names=["doc_id", "n_words", "n_tokens"])
+        del recent, pieces
+        give_back()
 
     return run
 
