@@ -3,16 +3,18 @@
 The reference of a document is every document with a smaller id. A factor is a longest
 run of words that is copied, word by word, from one place of the reference; the parse
 is greedy, from left to right, and a factor counts when it is at least ``WINDOW`` words
-long. Windows that straddle two factors are looked up like all others, so a passage
-put together from two references is found whole.
+long.
 
 1. Every window of ``WINDOW`` words owns one anchor: the smallest of the hashes of its
    runs of ``GRAM`` words (winnowing, Schleimer et al.). Equal windows own equal
-   anchors, and a text has about one anchor in five words.
-2. Anchors found in one document only are dropped: count per anchor, map-side combined.
-3. The windows that own a remaining anchor are the reference blocks: Spark deals them
-   by hash, and each block is an index from a window to its first place (smallest
-   doc_id, then position). Every window is looked up in the block it can be in.
+   anchors, and a text has about one anchor in five words. Anchors found in one document
+   only are dropped: a count per anchor, combined before the shuffle.
+2. Consecutive windows of one anchor are a stretch. The stretches are the reference
+   blocks: Spark deals them by hash, and each block is an index from a stretch to its
+   first place (smallest doc_id, then position). Every stretch is looked up in the block
+   it can be in; a stretch found in a smaller document is copied whole.
+3. Where stretches of one anchor differ, a factor begins or ends inside them. There, and
+   only there, single windows of the stretches' first places are looked up in the same way.
 4. The places found are put together to factors, per document.
 
 Counts and lookups are aggregates and joins; a passage in a third of all documents is
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from groundswell.llm.common import (
+    Prefixes,
     binary,
     checkpointed,
     digest_words,
     documents,
-    fold,
     per_batch,
     release,
 )
@@ -41,20 +43,33 @@ WINDOW = 13
 GRAM = 5
 
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """The anchor of each window, from the hashes of a text's words."""
-    grams = fold(hashes, GRAM)
-    span = WINDOW - GRAM + 1
-    if len(grams) < span:
+def anchors(text: Prefixes) -> np.ndarray:
+    """The anchor of each window of a text."""
+    grams = text.every(GRAM)
+    windows = len(grams) - (WINDOW - GRAM)
+    if windows < 1:
         return np.empty(0, np.uint64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, span)
-    return views.min(axis=1)
+    # The smallest of 9 neighbours, by doubling: of 2, of 4, of 8, of 9.
+    pairs = np.minimum(grams[:-1], grams[1:])
+    fours = np.minimum(pairs[:-2], pairs[2:])
+    eights = np.minimum(fours[:-4], fours[4:])
+    return np.minimum(eights[:-1], grams[WINDOW - GRAM :])
+
+
+def stretches(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, number of windows) of each run of equal anchors."""
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, int)
+    return first, np.diff(np.append(first, len(own)))
 
 
 def _words(raw: bytes | None) -> list[bytes]:
     return raw.split() if raw else []
 
 
+def _prefixes(raw: bytes | None) -> Prefixes:
+    return Prefixes(digest_words(_words(raw)))
+
+
 def _lists(parts: list[np.ndarray], kind) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     values = np.concatenate(parts) if parts else np.empty(0, np.int64)
@@ -62,46 +77,76 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
 
 
 def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = [np.unique(anchors(digest_words(_words(raw)))).view(np.int64) for raw in binary(batch, "text")]
+    found = []
+    for raw in binary(batch, "text"):
+        own = anchors(_prefixes(raw))
+        found.append(np.unique(own[stretches(own)[0]]).view(np.int64))
     return pa.record_batch([batch.column(0), _lists(found, pa.int64())], names=["doc_id", "anchors"])
 
 
-def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Windows that own one of the document's remaining anchors."""
-    starts, hashes = [], []
-    shared = batch.column(batch.schema.names.index("shared")).to_pylist()
-    for raw, keep in zip(binary(batch, "text"), shared):
-        words = digest_words(_words(raw))
-        own = anchors(words).view(np.int64)
-        at = np.flatnonzero(np.isin(own, np.array(keep, np.int64)))
-        starts.append(at)
-        hashes.append(fold(words, WINDOW)[at].view(np.int64))
-    ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in starts])
-    columns = [
-        pa.array(ids, pa.int64()),
-        pa.array(np.concatenate(starts), pa.int32()),
-        pa.array(np.concatenate(hashes), pa.int64()),
+def _listed(batch: pa.RecordBatch, name: str):
+    """(row, prefixes, anchors, listed anchors) of the documents that have a list."""
+    lists = batch.column(batch.schema.names.index(name)).to_pylist()
+    for row, (raw, listed) in enumerate(zip(binary(batch, "text"), lists)):
+        if listed:
+            text = _prefixes(raw)
+            yield row, text, anchors(text), np.array(listed, np.int64).view(np.uint64)
+
+
+def _rows(batch: pa.RecordBatch, found: list, names: list[str], kinds: list) -> pa.RecordBatch:
+    """One row per element of the arrays found, with the document's id in front."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    keys = [np.full(len(parts[0]), ids[row], np.int64) for row, *parts in found]
+    columns = [keys, *([parts[k] for _, *parts in found] for k in range(len(names)))]
+    arrays = [
+        pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, [pa.int64(), *kinds])
     ]
-    return pa.record_batch(columns, names=["doc_id", "start", "window"])
+    return pa.record_batch(arrays, names=["doc_id", *names])
+
+
+def _stretches(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The stretches of each document's remaining anchors."""
+    found = []
+    for row, text, own, listed in _listed(batch, "shared"):
+        first, count = stretches(own)
+        keep = np.isin(own[first], listed)
+        first, count = first[keep], count[keep]
+        hashes = text.runs(first, count + WINDOW - 1).view(np.int64)
+        found.append((row, first, count, own[first].view(np.int64), hashes))
+    names = ["start", "windows", "anchor", "stretch"]
+    return _rows(batch, found, names, [pa.int32(), pa.int32(), pa.int64(), pa.int64()])
+
+
+def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The single windows of each document's anchors with differing stretches."""
+    found = []
+    for row, text, own, listed in _listed(batch, "open"):
+        at = np.flatnonzero(np.isin(own, listed))
+        found.append((row, at, text.every(WINDOW)[at].view(np.int64)))
+    return _rows(batch, found, ["start", "window"], [pa.int32(), pa.int64()])
 
 
 def parse(places: list) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, length, ref_doc, ref_start) from (start, doc, place) of windows."""
+    """Greedy factors (start, length, ref_doc, ref_start) from copied stretches.
+
+    A stretch is (first window, number of windows, document, first window there).
+    """
     factors: list[tuple[int, int, int, int]] = []
-    for start, doc, place in sorted(places):
+    for start, windows, doc, place in sorted(places):
+        length = windows + WINDOW - 1
         if factors:
-            begin, length, ref, at = factors[-1]
-            if doc == ref and start - begin == place - at and start == begin + length - WINDOW + 1:
-                factors[-1] = (begin, length + 1, ref, at)
+            begin, so_far, ref, at = factors[-1]
+            if doc == ref and start - begin == place - at and start <= begin + so_far - WINDOW + 1:
+                factors[-1] = (begin, max(so_far, start - begin + length), ref, at)
                 continue
-        factors.append((start, WINDOW, doc, place))
+        factors.append((start, length, doc, place))
     return factors
 
 
 def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
     names = ["start", "length", "ref_doc_id", "ref_start"]
     found = [
-        [dict(zip(names, f)) for f in parse([(p["start"], p["doc"], p["place"]) for p in places])]
+        [dict(zip(names, f)) for f in parse([tuple(p.values()) for p in places])]
         for places in batch.column(1).to_pylist()
     ]
     kind = pa.list_(
@@ -110,6 +155,14 @@ def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([batch.column(0), pa.array(found, kind)], names=["doc_id", "factors"])
 
 
+def _first_places(rows: DataFrame, key: str, *others: str) -> DataFrame:
+    """(key, doc, place, last, others) of the smallest (doc_id, start) with each key."""
+    place = F.struct(F.col("doc_id").alias("doc"), F.col("start").alias("place"), *others)
+    found = rows.groupBy(key).agg(F.min(place).alias("ref"), F.max("doc_id").alias("last"))
+    # Always true; it keeps all uses of the aggregate alike, so that it is shuffled once.
+    return found.select(key, "ref.*", "last").where("doc <= last")
+
+
 def duplicate_factors(docs: DataFrame) -> DataFrame:
     """(doc_id, factors) of the documents that hold words copied from smaller ids.
 
@@ -118,8 +171,10 @@ def duplicate_factors(docs: DataFrame) -> DataFrame:
     and a null doc_id have none. Rows that repeat a doc_id are one document and do not
     make each other's words duplicates; they should hold the same text.
     """
-    docs = documents(docs).where("doc_id is not null and text is not null")
-    owned = docs.mapInArrow(per_batch(_anchors), "doc_id long, anchors array<long>")
+    docs = documents(docs)
+    owned = docs.where("doc_id is not null and text is not null").mapInArrow(
+        per_batch(_anchors), "doc_id long, anchors array<long>"
+    )
     owned = owned.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = owned.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     suspects = (
@@ -130,31 +185,42 @@ def duplicate_factors(docs: DataFrame) -> DataFrame:
     suspects = checkpointed(suspects)
     release(docs.sparkSession)
 
-    windows = docs.join(suspects, "doc_id").mapInArrow(
+    # All joins of the texts are left joins on doc_id, so Spark shuffles the texts once
+    # and reads that exchange again.
+    found = docs.join(suspects, "doc_id", "left").mapInArrow(
+        per_batch(_stretches),
+        "doc_id long, start int, windows int, anchor long, stretch long",
+    )
+    first = _first_places(found, "stretch", "anchor")
+    copied = (
+        found.join(first.where("doc < last").select("stretch", "doc", "place"), "stretch")
+        .where("doc < doc_id")
+        .select("doc_id", "start", "windows", "doc", "place")
+    )
+    differing = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    opened = (
+        first.join(differing.select("anchor"), "anchor")
+        .groupBy(F.col("doc").alias("doc_id"))
+        .agg(F.collect_set("anchor").alias("open"))
+    )
+    windows = docs.join(opened, "doc_id", "left").mapInArrow(
         per_batch(_windows), "doc_id long, start int, window long"
     )
-    first = (
-        windows.groupBy("window")
-        .agg(
-            F.min(F.struct(F.col("doc_id").alias("doc"), F.col("start").alias("place"))).alias("ref"),
-            F.max("doc_id").alias("last"),
-        )
-        .where("ref.doc < last")
-        .select("window", "ref.doc", "ref.place")
+    earlier = _first_places(windows, "window").where("doc < last").drop("last")
+    single = (
+        windows.join(earlier, "window")
+        .where("doc < doc_id")
+        .select("doc_id", "start", F.lit(1).alias("windows"), "doc", "place")
     )
     places = (
-        windows.join(first, "window")
-        .where("doc < doc_id")
+        copied.unionByName(single)
         .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("start", "doc", "place")).alias("places"))
+        .agg(F.collect_list(F.struct("start", "windows", "doc", "place")).alias("places"))
     )
-    factors = places.mapInArrow(
+    return places.mapInArrow(
         per_batch(_parse),
         "doc_id long, factors array<struct<start:int,length:int,ref_doc_id:long,ref_start:int>>",
     )
-    factors = checkpointed(factors)
-    release(docs.sparkSession)
-    return factors
 
 
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
