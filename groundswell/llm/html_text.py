@@ -5,8 +5,9 @@
    role, class or id), link lists and scripts keep their place but count as length 0.
 2. Over windows of ``WINDOW`` lines the text lengths are summed (Chen, "cx-extractor").
 3. A surge is where the sum leaves 0, a dive where it falls back to 0. Text between
-   them is kept if its highest sum reaches ``SHARE`` of the page's highest; on a page
-   with an article element only lines inside one have a length, and all of them stay.
+   them is kept if its highest sum reaches ``SHARE`` of the page's highest.
+4. Article and main elements are a signal beside that: where their lines make up most of
+   the page's highest sum and of the text kept, all their lines stay and no others.
 """
 
 from __future__ import annotations
@@ -80,11 +81,11 @@ def _marked(attributes: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """The lines of a page: text, its length outside links, and whether it is inside an article."""
+    """The lines of a page: text, its length, whether it is inside an article, and whether it is links."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, bool, bool]] = []
         self.stack: list[tuple[str, bool, bool, bool]] = []  # element, silent, aside, article
         self.parts: list[str] = []
         self.linked = 0
@@ -98,10 +99,9 @@ class _Lines(HTMLParser):
             silent, aside, article = self._state()
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             length = 0 if aside else len(text)
-            if self.linked and self.linked >= 0.8 * max(len(text), 1) and not article:
-                length = 0
+            links = self.linked > 0 and self.linked >= 0.8 * max(len(text), 1)
             if text and not silent:
-                self.lines.append((text, length, article))
+                self.lines.append((text, length, article, links))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -152,7 +152,7 @@ class _Lines(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
+def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
@@ -160,12 +160,17 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return parser.lines
 
 
+def window_sums(lengths: np.ndarray) -> np.ndarray:
+    """The length of each line and those after it in its window."""
+    return np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
+
+
 def between(lengths: np.ndarray, share: float = SHARE) -> np.ndarray:
     """Which lines lie between a surge and a dive high enough to be the main text."""
     keep = np.zeros(len(lengths), bool)
     if not len(lengths) or not lengths.any():
         return keep
-    sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of each line and those after
+    sums = window_sums(lengths)
     least = share * sums.max()
     surge = None
     for at, value in enumerate([*sums.tolist(), 0]):
@@ -178,13 +183,27 @@ def between(lengths: np.ndarray, share: float = SHARE) -> np.ndarray:
     return keep & (lengths > 0)
 
 
+def main_lines(lines: list[tuple[str, int, bool, bool]]) -> np.ndarray:
+    """Which lines of a page are its main text."""
+    whole = np.array([line[1] for line in lines], np.int64)
+    article = np.array([line[2] for line in lines], bool)
+    lengths = np.where(np.array([line[3] for line in lines], bool), 0, whole)
+    inside = np.where(article, whole, 0)
+    if not lengths.any():
+        return inside > 0  # links only
+    keep = between(lengths)
+    held = np.where(article, lengths, 0)
+    highest = window_sums(lengths).argmax()
+    most = 2 * window_sums(held)[highest] > window_sums(lengths)[highest]
+    if most and 2 * held[keep].sum() > lengths[keep].sum():
+        return inside > 0
+    return keep
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the main text, joined by an empty line; empty if there are none."""
     lines = lines_of(html or "")
-    inside = any(article and length for _, length, article in lines)
-    lengths = np.array([length if article or not inside else 0 for _, length, article in lines], np.int64)
-    # An article element says itself what belongs to it: every surge inside it counts.
-    keep = between(lengths, 0.0 if inside else SHARE)
+    keep = main_lines(lines)
     return "\n\n".join(line[0] for line, good in zip(lines, keep) if good)
 
 

@@ -156,6 +156,27 @@ def test_page_without_article():
     )
 
 
+def test_a_teaser_does_not_stand_for_the_article():
+    """The window sums choose the text; an article element beside it hides nothing."""
+    body = [f"Paragraph {i} of the text, which no article element holds." * 3 for i in range(8)]
+    inner = "".join(f"<p>{p}</p>" for p in body)
+    menu = "<ul>" + "<li><a href=x>Other things</a></li>" * 4 + "</ul>"
+    for part in ("div", "section"):
+        teaser = "<article class='card'><p>A teaser of some other page.</p></article>"
+        got = main_text(f"<body><{part}>{inner}</{part}>{menu}{teaser}</body>").split("\n\n")
+        assert got[:8] == body
+        long = f"<article class='card'><p>{'A long teaser. ' * 60}</p></article>"
+        got = main_text(f"<body><{part}>{inner}</{part}>{long}</body>").split("\n\n")
+        assert got[:8] == body
+
+
+def test_an_article_with_the_highest_surge_hides_the_rest():
+    body = [f"Paragraph {i} of the text in the article element." * 3 for i in range(8)]
+    inner = "".join(f"<p>{p}</p>" for p in body)
+    page = f"<body><p>A line before it.</p><article>{inner}</article><p>A line after it.</p></body>"
+    assert main_text(page).split("\n\n") == body
+
+
 def test_classes_that_name_the_frame():
     page = """<body class="no-sidebar"><div class="page has-sidebar"><div class="entry-header">
     <h1>Title</h1></div><div class="post-content"><p>The text of the article stays here.</p>
