@@ -5,7 +5,8 @@
    role, class or id), link lists and scripts keep their place but count as length 0.
 2. Over windows of ``WINDOW`` lines the text lengths are summed (Chen, "cx-extractor").
 3. A surge is where the sum leaves 0, a dive where it falls back to 0. Text between
-   them is kept if its highest sum reaches ``SHARE`` of the page's highest.
+   them is kept if its highest sum reaches a floor: ``SHARE`` of the page's middle sum,
+   lines clipped so that a long block does not raise it, and ``ENOUGH`` at most.
 4. Article and main elements are a signal beside that: where their lines make up most of
    the page's highest sum and of the text kept, all their lines stay and no others.
 """
@@ -23,6 +24,7 @@ from groundswell.llm.common import per_batch
 
 WINDOW = 3
 SHARE = 0.1
+ENOUGH = 86  # a sum that is text on any page, as in cx-extractor
 
 # HTML element names and the usual class, id and role words.
 BLOCKS = frozenset(
@@ -165,13 +167,19 @@ def window_sums(lengths: np.ndarray) -> np.ndarray:
     return np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
 
 
+def floor_of(lengths: np.ndarray, share: float) -> float:
+    """The sum that text between a surge and a dive must reach, whatever the longest line."""
+    middle = lambda x: np.percentile(x[x > 0], 50, method="lower")
+    return min(ENOUGH, share * middle(window_sums(np.minimum(lengths, WINDOW * middle(lengths)))))
+
+
 def between(lengths: np.ndarray, share: float = SHARE) -> np.ndarray:
     """Which lines lie between a surge and a dive high enough to be the main text."""
     keep = np.zeros(len(lengths), bool)
     if not len(lengths) or not lengths.any():
         return keep
     sums = window_sums(lengths)
-    least = share * sums.max()
+    least = floor_of(lengths, share)
     surge = None
     for at, value in enumerate([*sums.tolist(), 0]):
         if value and surge is None:

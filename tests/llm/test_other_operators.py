@@ -212,6 +212,16 @@ def test_surge_and_dive():
     assert np.flatnonzero(between(lengths, 0.0)).tolist() == [4, 5, 7, 12]
 
 
+def test_a_long_block_drops_no_short_sections():
+    short = [f"Section {i} of the article: a closing paragraph or two lines." for i in range(6)]
+    menu = "<ul>" + "<li><a href=x>Other things</a></li>" * 4 + "</ul>"
+    for size in (2_000, 20_000, 200_000):
+        block = ("word " * size)[: size - 1].strip()
+        parts = [f"<p>{short[0]}</p>", f"<pre>{block}</pre>", *(f"<p>{t}</p>" for t in short[1:])]
+        page = f"<body><div>{menu.join(parts)}</div>{menu}</body>"
+        assert main_text(page).split("\n\n") == [short[0], block, *short[1:]]
+
+
 def test_pages_of_a_table(small):
     """The generated pages mark their text by an article element."""
     for row in extract_text(small("pages")).collect():
