@@ -15,6 +15,9 @@ from groundswell.llm.packing import pack
 from groundswell.llm.quality import keep_quality
 from groundswell.llm.queries import vocabulary
 
+#: Documents whose five-word shingle sets share this much of their union are near-duplicates.
+NEAR_PERCENT = 85
+
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -28,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

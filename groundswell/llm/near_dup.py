@@ -13,8 +13,8 @@
 5. A comparison estimates Jaccard from the registers, corrected for registers that
    agree by chance, and confirms survivors on the full sets.
 
-With 24 bands of 4 registers a pair at the threshold of 0.85 shares a key with
-probability 1 - 2e-8.
+With 24 bands of 4 registers a pair at a threshold of 0.85 shares a key with
+probability 1 - 2e-8, one at 0.8 with 1 - 3e-6.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10  # bits kept after the leading one; with 6 bits of zero count: 16 bits
 WORDS = 5  # words in a shingle
-PERCENT = 85  # a link needs 100 * intersection >= PERCENT * union
+PERCENT = 85  # unless told otherwise, a link needs 100 * intersection >= PERCENT * union
 DEVIATIONS = 6.0  # an estimate this many standard deviations too low ends a comparison
 BLOCK_SHINGLES = 1_000_000  # shingles of one side of a block of comparisons (8 MB)
 
@@ -76,19 +76,24 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum((density * cell * cell * 2**MANTISSA).sum(axis=-1), 0.5)
 
 
-def plausible(same: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def plausible(same: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether ``same`` agreeing registers leave the threshold possible."""
-    need = PERCENT / 100
+    need = percent / 100
     by_chance = chance(n, m)
     jaccard = (same / REGISTERS - by_chance) / (1 - by_chance)
     support = np.minimum(np.minimum(n, m), REGISTERS)
     return jaccard >= need - DEVIATIONS * np.sqrt(need * (1 - need) / support)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def sized(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether sets of n and m elements can overlap enough."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """The exact test on two sorted sets of distinct hashes."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -114,49 +119,55 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch(columns, names=["rep", "sketch", "items"])
 
 
-def _confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
-    get = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-    sketch = [np.frombuffer(b"".join(get[s]), np.uint16).reshape(-1, REGISTERS) for s in ("sa", "sb")]
-    n, m = (np.array([len(x) // 8 for x in get[s]]) for s in ("xa", "xb"))
-    sized = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
-    likely = sized & plausible((sketch[0] == sketch[1]).sum(axis=1), n, m)
-    keep = [
-        i
-        for i in np.flatnonzero(likely)
-        if linked(np.frombuffer(get["xa"][i], np.uint64), np.frombuffer(get["xb"][i], np.uint64))
-    ]
-    return pa.record_batch(
-        [pa.array([get[c][i] for i in keep], pa.int64()) for c in ("a", "b")], names=["a", "b"]
-    )
-
+def _confirm(percent: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        get = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        sketch = [np.frombuffer(b"".join(get[s]), np.uint16).reshape(-1, REGISTERS) for s in ("sa", "sb")]
+        n, m = (np.array([len(x) // 8 for x in get[s]]) for s in ("xa", "xb"))
+        same = (sketch[0] == sketch[1]).sum(axis=1)
+        likely = sized(n, m, percent) & plausible(same, n, m, percent)
+        keep = [
+            i
+            for i in np.flatnonzero(likely)
+            if linked(np.frombuffer(get["xa"][i], np.uint64), np.frombuffer(get["xb"][i], np.uint64), percent)
+        ]
+        return pa.record_batch(
+            [pa.array([get[c][i] for i in keep], pa.int64()) for c in ("a", "b")], names=["a", "b"]
+        )
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that join different components inside one pair of blocks of one key."""
-    pdf = pdf.sort_values(["side", "rep"], ignore_index=True)
-    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, REGISTERS)
-    items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
-    n = np.array([len(x) for x in items])
-    side, rep = pdf["side"].to_numpy(), pdf["rep"].to_numpy()
-    root = pdf["component"].to_numpy().copy()
-    one_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    found = []
-    for i in range(1, len(rep)):
-        near = np.arange(i)[(root[:i] != root[i]) & (one_block | (side[:i] != side[i]))]
-        near = near[100 * np.minimum(n[near], n[i]) >= PERCENT * np.maximum(n[near], n[i])]
-        if not len(near):
-            continue
-        same = (sketch[near] == sketch[i]).sum(axis=1)
-        for k in near[plausible(same, n[near], np.full(len(near), n[i]))]:
-            if root[k] != root[i] and linked(items[k], items[i]):
-                found.append((int(rep[k]), int(rep[i])))
-                root[root == root[k]] = root[i]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+    return per_batch(run)
+
+
+def _across(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links that join different components inside one pair of blocks of one key."""
+        pdf = pdf.sort_values(["side", "rep"], ignore_index=True)
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, REGISTERS)
+        items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+        n = np.array([len(x) for x in items])
+        side, rep = pdf["side"].to_numpy(), pdf["rep"].to_numpy()
+        root = pdf["component"].to_numpy().copy()
+        one_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        found = []
+        for i in range(1, len(rep)):
+            near = np.arange(i)[(root[:i] != root[i]) & (one_block | (side[:i] != side[i]))]
+            near = near[sized(n[near], n[i], percent)]
+            if not len(near):
+                continue
+            same = (sketch[near] == sketch[i]).sum(axis=1)
+            for k in near[plausible(same, n[near], np.full(len(near), n[i]), percent)]:
+                if root[k] != root[i] and linked(items[k], items[i], percent):
+                    found.append((int(rep[k]), int(rep[i])))
+                    root[root == root[k]] = root[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text, ...).
 
-    Documents are linked when their shingle sets overlap enough; a component is what
+    Documents are linked when their shingle sets share ``percent`` of their union; a component is what
     links reach and is named by its smallest id, the one that is kept. Null, empty and
     blank texts have no shingles, link with nothing and are kept. Rows that repeat a
     doc_id count as one document when texts agree; each input row gives one output
@@ -202,7 +213,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     star = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     pairs = star.distinct().join(side("b"), "b").join(side("a"), "a")
-    links = checkpointed(pairs.mapInArrow(per_batch(_confirm), "a long, b long"))
+    links = checkpointed(pairs.mapInArrow(_confirm(percent), "a long, b long"))
     first = connected_components(links)
 
     # Keys of three or more whose members are not yet in one component.
@@ -237,7 +248,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
         .join(sets, "rep")
     )
-    more = blocked.groupBy("key", "i", "j").applyInPandas(_across, "a long, b long")
+    more = blocked.groupBy("key", "i", "j").applyInPandas(_across(percent), "a long, b long")
     more = checkpointed(more.distinct())
     # The first components stand for their links: only they and the new links remain.
     tree = first.where("node <> component").select(
@@ -258,7 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that ``near_duplicates`` does not keep.
 
     Rows that repeat a kept doc_id stay: they are one document, not a copy of another.
@@ -266,6 +277,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     name = "_gone"
     while name in {c.lower() for c in docs.columns}:
         name += "_"
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(name))
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name))
     match = F.col("doc_id").cast("long") == F.col(name)
     return docs.join(gone.distinct(), match, "left_anti")

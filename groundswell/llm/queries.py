@@ -32,7 +32,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents"), 85)
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

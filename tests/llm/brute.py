@@ -40,7 +40,7 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     """{doc_id: (n_shingles, component_id, kept)}"""
     sets = {d: shingle_set(t) for d, t in docs}
     holders = defaultdict(set)
@@ -56,7 +56,7 @@ def near_duplicates(docs):
     links = [
         (a, b)
         for (a, b), n in shared.items()
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)
     ]
     component = components(sets, links)
     return {d: (len(s), component[d], component[d] == d) for d, s in sets.items()}

@@ -34,6 +34,20 @@ def test_near_duplicates_of_a_table(small):
     assert found == brute.near_duplicates(rows)
 
 
+def test_near_duplicates_from_four_fifths(spark):
+    """The threshold is a parameter: pairs of 0.80 to 0.85 link at 80 and not at 85."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(words))]
+    for k, changed in enumerate((10, 18, 20, 21, 22, 30)):  # the last words: one shingle less for each
+        rows.append((k + 1, " ".join(words[:-changed] + [f"x{k}_{i}" for i in range(changed)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_duplicates(rows, 80)
+    assert want != brute.near_duplicates(rows)
+    assert by_id(near_dup.near_duplicates(docs, 80), "n_shingles", "component_id", "kept") == want
+    kept = {r["doc_id"] for r in near_dup.drop_near_duplicates(docs, 80).collect()}
+    assert kept == {d for d, w in want.items() if w[2]}
+
+
 def test_a_chain_of_near_copies_is_one_component(spark):
     """Neighbours link, far ends do not; a star from the smallest id is not enough."""
     rng = random.Random(1)
