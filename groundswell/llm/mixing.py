@@ -8,6 +8,8 @@
    document's posterior times one number per domain, so a document's rate follows from
    its posterior and the short list of steps. Each step is one aggregate over the
    compact table of posteriors; nothing but a number per domain reaches the driver.
+   A domain that (nearly) no document belongs to has no target, and the others share
+   its weight. A fit that does not settle is logged with what it is off.
 3. To apply the rates, a document is repeated by the whole part of its rate and once
    more with the probability of the rest, drawn from a hash of its id and text.
 
@@ -17,6 +19,7 @@ differ, so no classifier can tell them apart.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,9 @@ TRAIN_BYTES = 100_000  # documents longer than this are mixed, but not learned f
 DIMENSION = 1_024
 EPOCHS, RATE, DECAY = 150, 0.5, 1e-5
 STEPS, CLOSE = 40, 1e-4  # of the fit: at most, and the share of tokens it may be off
-GROWTH = 4.0  # most that all rates together are raised by
+PRESENT = 1e-3  # a domain with a smaller share of tokens, by documents likely its own, has no target
+
+_log = logging.getLogger(__name__)
 
 
 def trigrams(raw: bytes | None) -> np.ndarray:
@@ -76,6 +81,11 @@ def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
+def copies(p: np.ndarray, steps: list[np.ndarray], factor: float, at_least: float) -> np.ndarray:
+    """The rates times a common factor, and ``at_least`` for every row."""
+    return np.maximum(at_least, rates(p, steps) * factor)
+
+
 def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     found = [trigrams(raw).tobytes() for raw in binary(batch, "text")]
     return pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["domain", "x"])
@@ -124,64 +134,82 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(1).to_numpy().astype(np.float64), batch.column(2).flatten().to_numpy().reshape(n, -1)
 
 
-def _expected(steps: list[np.ndarray]):
-    """Per task and domain: expected tokens under the rates, and the smallest rate."""
+def _expected(steps: list[np.ndarray], factor: float, at_least: float):
+    """Per task and domain: expected tokens under the rates, and tokens of documents likely its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, least = None, np.inf
+        total, own = None, None
         for batch in batches:
             if batch.num_rows:
                 tokens, p = _rows(batch)
-                r = rates(p, steps)
-                part = (tokens * r) @ p
-                total = part if total is None else total + part
-                least = min(least, r.min())
+                part = (tokens * copies(p, steps, factor, at_least)) @ p
+                likely = tokens @ (p >= 0.5)
+                total, own = (part, likely) if total is None else (total + part, own + likely)
         if total is not None:
             yield pa.record_batch(
-                [
-                    pa.array(np.arange(len(total), dtype=np.int32)),
-                    pa.array(total),
-                    pa.array(np.full(len(total), least)),
-                ],
-                names=["k", "tokens", "least"],
+                [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(own)],
+                names=["k", "tokens", "own"],
             )
 
     return run
 
 
-def _sums(members: DataFrame, steps: list[np.ndarray], domains: int) -> tuple[np.ndarray, float]:
+def _sums(
+    members: DataFrame, steps: list[np.ndarray], domains: int, factor: float = 1.0, at_least: float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
     found = (
-        members.mapInArrow(_expected(steps), "k int, tokens double, least double")
+        members.mapInArrow(_expected(steps, factor, at_least), "k int, tokens double, own double")
         .groupBy("k")
-        .agg(F.sum("tokens").alias("tokens"), F.min("least").alias("least"))
+        .agg(F.sum("tokens").alias("tokens"), F.sum("own").alias("own"))
         .collect()
     )
-    total = np.zeros(domains)
+    total, own = np.zeros(domains), np.zeros(domains)
     for row in found:
-        total[row["k"]] = row["tokens"]
-    return total, min((row["least"] for row in found), default=1.0)
+        total[row["k"]], own[row["k"]] = row["tokens"], row["own"]
+    return total, own
 
 
-def fit_rates(members: DataFrame, targets: list[float]) -> tuple[list[np.ndarray], float]:
-    """The steps of the fit, and the smallest rate of a document after them."""
-    weights = np.array(targets) / sum(targets)
-    now, least = _sums(members, [], len(targets))
+def fit_rates(members: DataFrame, targets: list[float], at_least: float = 0.0) -> tuple[list[np.ndarray], float, float]:
+    """The steps of the fit, the common factor of the rates, and the share of tokens that is off.
+
+    The factor lifts the domain whose rate is lowest to ``at_least``: the inverse of the
+    smallest target is the most it can be. A step of this size never overshoots, as the
+    memberships scaled by the shares have no eigenvalue over 1.
+    """
+    now, own = _sums(members, [], len(targets))
     whole = now.sum()
     steps: list[np.ndarray] = []
-    if not whole:
-        return steps, least
-    share = np.maximum(now / whole, 1e-6)
-    while len(steps) < STEPS and np.abs(now / whole - weights).max() > CLOSE:
-        steps.append((now / whole - weights) / share)
-        now, least = _sums(members, steps, len(targets))
-    return steps, least
+    present = own > PRESENT * whole
+    if not present.any():
+        return steps, max(1.0, at_least), 0.0
+    share = now / whole
+    weights = np.where(present, targets, 0.0)
+    weights *= share[present].sum() / weights.sum()
+    scale = np.maximum(share, PRESENT)
+    off = lambda now, whole: np.where(present, now / whole - weights, 0.0)
+    gap = off(now, whole)
+    while len(steps) < STEPS and np.abs(gap).max() > CLOSE:
+        steps.append(gap / scale)
+        now, _ = _sums(members, steps, len(targets))
+        gap = off(now, whole)
+    residual, factor = np.abs(gap).max(), 1.0
+    if residual > CLOSE:
+        _log.warning("the rates did not settle in %d steps: %.4f of the tokens off", STEPS, residual)
+    if at_least:
+        factor = max(1.0, at_least * (share[present] / weights[present]).max())
+        now, _ = _sums(members, steps, len(targets), factor, at_least)
+        residual = np.abs(off(now, now.sum())).max()
+        if residual > 0.01:
+            _log.warning("with every document kept, %.4f of the tokens are off the targets", residual)
+    return steps, factor, float(residual)
 
 
 class Mix:
     """A fitted mix: the classifier, the steps of the fit, and the common factor of all rates.
 
-    ``at_least`` raises all rates by one factor (``GROWTH`` at most) until the smallest
-    is that number; with 1 every document stays and others are repeated instead.
+    ``at_least`` raises all rates by one factor until the lowest domain has that number, and
+    single documents still below it too; with 1 every document stays and others are
+    repeated instead. ``residual`` is the share of tokens that the result is off.
     """
 
     def __init__(self, docs: DataFrame, targets: dict[str, float], column: str, at_least: float):
@@ -189,11 +217,11 @@ class Mix:
         self.weights = train(docs, self.domains, column)
         schema = "doc_id long, n_tokens long, p array<double>"
         self.members = checkpointed(documents(docs).mapInArrow(_memberships(self.weights), schema))
-        self.steps, least = fit_rates(self.members, list(targets.values()))
-        self.factor = min(GROWTH, max(1.0, at_least / max(least, 1e-9)))
+        self.at_least = at_least
+        self.steps, self.factor, self.residual = fit_rates(self.members, list(targets.values()), at_least)
 
     def report(self) -> DataFrame:
-        domains, steps, factor = self.domains, self.steps, self.factor
+        domains, steps, factor, at_least = self.domains, self.steps, self.factor, self.at_least
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             _, p = _rows(batch)
@@ -203,7 +231,7 @@ class Mix:
                 batch.column(1),
                 pa.array([domains[k] for k in best.tolist()], pa.string()),
                 pa.array(p[np.arange(len(p)), best]),
-                pa.array(rates(p, steps) * factor),
+                pa.array(copies(p, steps, factor, at_least)),
             ]
             return pa.record_batch(columns, names=["doc_id", "n_tokens", "domain", "posterior", "rate"])
 
@@ -213,7 +241,7 @@ class Mix:
         )
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        weights, steps, factor = self.weights, self.steps, self.factor
+        weights, steps, factor, at_least = self.weights, self.steps, self.factor, self.at_least
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             raws = binary(batch, "text")
@@ -223,8 +251,9 @@ class Mix:
                 xxhash.xxh3_64_intdigest(b"%s %s" % (str(key).encode(), raw or b"")) / 2**64
                 for key, raw in zip(ids, raws)
             ]
-            copies = np.floor(rates(p, steps) * factor + 1e-9 + np.array(draw) * (1 - 2e-9)).astype(int)
-            return batch.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
+            rate = copies(p, steps, factor, at_least)
+            times = np.floor(rate + 1e-9 + np.array(draw) * (1 - 2e-9)).astype(int)
+            return batch.take(pa.array(np.repeat(np.arange(len(times)), times)))
 
         return docs.mapInArrow(per_batch(run), docs.schema)
 
@@ -240,7 +269,7 @@ def mixing_rates(
     ``domain`` is the likeliest one and ``posterior`` its probability. Tokens are words,
     runs without ASCII white space. Null and empty texts have no tokens and the posterior
     of the bias; rows whose ``column`` is null or names no target are only not learned
-    from. A domain that no text belongs to cannot reach its target. Repeated rows count
+    from. A domain that no text belongs to has no target. Repeated rows count
     each for itself. An empty table gives an empty result.
     """
     return Mix(docs, targets, column, at_least).report()

@@ -288,6 +288,29 @@ def test_no_document_goes_at_a_least_rate_of_one(small):
     assert out.select("doc_id").distinct().count() == docs.count() < out.count()
 
 
+@pytest.mark.parametrize("case", ["most", "missing", "only"])
+def test_uneven_domains_lose_no_document(small, case):
+    """A domain at 80 % of the tokens, one without a text, and one alone."""
+    docs = small("documents").select("doc_id", "text", "lang")
+    if case == "most":
+        again = docs.where("lang = 'de'").crossJoin(docs.sparkSession.range(1, 27))
+        docs = docs.union(again.selectExpr("doc_id + 100000 * id", "concat(text, ' ', id)", "lang"))
+    docs = docs.where({"most": "true", "missing": "lang <> 'es'", "only": "lang = 'en'"}[case])
+    tokens = {r.doc_id: (r.lang, len((r.text or "").split())) for r in docs.collect()}
+    total = sum(n for _, n in tokens.values())
+    if case == "most":
+        assert sum(n for lang, n in tokens.values() if lang == "de") > 0.75 * total
+    out = mixing.mix_documents(docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in out} == set(tokens) and max(r["count"] for r in out) <= 60
+    shares = dict.fromkeys(mixing.TARGETS, 0)
+    for r in out:
+        shares[tokens[r.doc_id][0]] += r["count"] * tokens[r.doc_id][1]
+    there = {lang for lang, _ in tokens.values()}
+    weights = {k: w for k, w in mixing.TARGETS.items() if k in there}
+    for k, w in weights.items():
+        assert abs(shares[k] / sum(shares.values()) - w / sum(weights.values())) < 0.05
+
+
 def test_targets_without_documents(docs):
     rows = mixing.mixing_rates(docs, {"xx": 1.0, "yy": 1.0}).collect()
     assert len(rows) == 22 and all(np.isfinite(r.rate) and r.rate >= 0 for r in rows)
