@@ -1,9 +1,10 @@
-"""Duplicate word spans across documents, as a relative Lempel-Ziv parse.
+"""Duplicate word spans across documents, by anchored lookups of windows.
 
-The reference of a document is every document with a smaller id. A factor is a longest
-run of words that is copied, word by word, from one place of the reference; the parse
-is greedy, from left to right, and a factor counts when it is at least ``WINDOW`` words
-long.
+This replaces a relative Lempel-Ziv parse. The reference of a document is every document
+with a smaller id, and the words covered are those of the parse: all that lie in a run
+of ``WINDOW`` words or more that the reference holds. The factors are not: each points to
+the first place of its own stretch, so one long copy can come out as several, and they
+can overlap.
 
 1. Every window of ``WINDOW`` words owns one anchor: the smallest of the hashes of its
    runs of ``GRAM`` words (winnowing, Schleimer et al.). Equal windows own equal
@@ -15,7 +16,7 @@ long.
    it can be in; a stretch found in a smaller document is copied whole.
 3. Where stretches of one anchor differ, a factor begins or ends inside them. There, and
    only there, single windows of the stretches' first places are looked up in the same way.
-4. The places found are put together to factors, per document.
+4. Places next to each other that point to one document and distance become one factor.
 
 Counts and lookups are aggregates and joins; a passage in a third of all documents is
 combined before the shuffle, and its lookups are split by adaptive execution.
@@ -127,7 +128,7 @@ def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def parse(places: list) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, length, ref_doc, ref_start) from copied stretches.
+    """Factors (start, length, ref_doc, ref_start) from copied stretches, neighbours merged.
 
     A stretch is (first window, number of windows, document, first window there).
     """
