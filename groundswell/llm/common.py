@@ -19,6 +19,7 @@ __all__ = [
     "Recent",
     "binary",
     "checkpointed",
+    "delete_folder",
     "digest_words",
     "documents",
     "fold",
@@ -30,6 +31,7 @@ __all__ = [
     "shingles",
     "slices",
     "table",
+    "written",
 ]
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -201,3 +203,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as a compressed table and go on from there."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` filled, by the file system it lies in."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

@@ -153,3 +153,61 @@ def nearest(rows, every=20, k=20):
             scores = [(-(good[i] * good[q]).sum(), i) for i in good if i != q]
             out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
     return out
+
+
+def collocations(docs, longest=3, least=10, covered=50, top=2000):
+    """[(lang, rank, phrase, a, l, r, n, score)] of (text, lang)."""
+    counts, totals = Counter(), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    counts[lang, tuple(words[i : i + k])] += 1
+    phrases = {key: a for key, a in counts.items() if len(key[1]) > 1 and a >= least}
+    inside = Counter()
+    for (lang, words), a in phrases.items():
+        for k in range(2, len(words)):
+            for i in range(len(words) - k + 1):
+                part = lang, words[i : i + k]
+                inside[part] = max(inside[part], a)
+    found = defaultdict(list)
+    for (lang, words), a in phrases.items():
+        if 100 * inside[lang, words] >= covered * a:
+            continue
+        cuts = []
+        for k in range(1, len(words)):
+            left, right = counts[lang, words[:k]], counts[lang, words[k:]]
+            cuts.append((1_000_000 * a * a // (left * right), k, left, right))
+        score, _, left, right = min(cuts)
+        found[lang].append((-score, -a, " ".join(words).encode(), left, right))
+    rows = []
+    for lang, every in found.items():
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(every)[:top], 1):
+            rows.append((lang, rank, phrase.decode(), -a, left, right, totals[lang], -score))
+    return sorted(rows)
+
+
+def whitening(rows, components=4):
+    """{vec_id: (deviation, [whitened])}, n, explained: of (vec_id, vector), all of one length."""
+    import numpy as np
+
+    good = {
+        i: [int(np.floor(256 * float(c))) for c in v]
+        for i, v in rows
+        if v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v)
+    }
+    fit = sorted({tuple(x) for x in good.values()})
+    n, dim = len(fit), len(fit[0])
+    sums = [sum(x[d] for x in fit) for d in range(dim)]
+    centred = np.array([[(n * x[d] - sums[d]) / n for d in range(dim)] for x in fit])
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    values, axes = values[::-1][:components], axes[:, ::-1][:, :components]
+    out = {}
+    for i, x in good.items():
+        own = [n * x[d] - sums[d] for d in range(dim)]
+        white = np.array([v / n for v in own]) @ axes / np.sqrt(values)
+        out[i] = sum(v * v for v in own), white.tolist()
+    return out, n, (values / (centred * centred).sum() * n).tolist()
