@@ -29,7 +29,13 @@ from groundswell.operators.scoring import (
 from groundswell.operators.serving import AREA_COLUMNS as SCORE_INPUTS
 from groundswell.operators.serving import export_scores, score_table
 from groundswell.schemas import GOLD_SCHEMAS, SILVER_SCHEMAS
-from groundswell.sources.tables import conform, overwrite, read_optional, read_required
+from groundswell.sources.tables import (
+    conform,
+    overwrite,
+    read_optional,
+    read_required,
+    table_exists,
+)
 
 logger = logging.getLogger(__name__)
 
@@ -142,7 +148,7 @@ def current_weights(spark: SparkSession, catalog: str | None = None) -> dict[str
     The staging table counts when a change was cut off while it replaced the table.
     """
     for name in _config_tables(catalog):
-        if spark.catalog.tableExists(name):
+        if table_exists(spark, name):
             return read_weights(read_required(spark, name))
     return None
 
