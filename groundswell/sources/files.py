@@ -21,6 +21,7 @@ from groundswell.functions.values import (
     unquote,
     zfill,
 )
+from groundswell.sources.records import split_records
 
 REJECT = "reject_reason"
 
@@ -90,12 +91,15 @@ def split_permits(lines: DataFrame) -> DataFrame:
 
 
 def _permit_rows(fields: DataFrame) -> DataFrame:
-    """Data rows: a first field that begins with a digit, and no missing field.
+    """Data rows: a first field, and no missing field.
 
-    Drops both headers, blank lines and lines that are too short.
+    Drops blank lines, lines that are too short, and the two header lines. A file that many
+    tasks read has no line numbers, so a header is known by its fields: where data has five
+    codes (date, state, county, region, division) it has no digit at all.
     """
     last = f"c{PERMIT_FIELDS - 1}"
-    return fields.filter(strip(F.col("c0")).rlike("^[0-9]") & F.col(last).isNotNull())
+    header = ~F.concat_ws("", *[f"c{i}" for i in range(5)]).rlike("[0-9]")
+    return fields.filter((strip(F.col("c0")) != "") & F.col(last).isNotNull() & ~header)
 
 
 def _survey_month() -> Column:
@@ -154,12 +158,16 @@ def read_census(spark: SparkSession, path: str, layout: str = "whole") -> DataFr
     in any formatting, read in one task. With ``lines`` each record has a line of its
     own, as the service writes them, the first line opening with the header; such a
     file splits over many tasks and its header is put in front of each record again.
-    A line that cannot be read stays as it is and is rejected by ``census_rows``.
+    A line that cannot be read stays as it is and is rejected by ``census_rows``. With
+    ``records`` a file may have any formatting and splits over many tasks all the same; of
+    a file that breaks off, the whole records count and its rest is a reject.
     """
     if layout == "whole":
         return spark.read.text(path, wholetext=True)
+    if layout == "records":
+        return _headed_records(split_records(spark, path, "]", braces=0, brackets=1))
     if layout != "lines":
-        raise ValueError("layout is whole or lines")
+        raise ValueError("layout is whole, lines or records")
     line = strip(F.col("value"))
     inner = F.regexp_replace(line, r"^\[\s*(?=\[)", "")
     inner = F.regexp_replace(inner, r"((?<=\])\s*\]|,)$", "")
@@ -185,6 +193,21 @@ def read_census(spark: SparkSession, path: str, layout: str = "whole") -> DataFr
     )
 
 
+def _headed_records(records: DataFrame) -> DataFrame:
+    """A payload of the file's header and one record for each record of the file."""
+    opening = F.regexp_extract("text", r"(?s)^\s*\[\s*(\[.*\])$", 1)
+    headers = records.filter("opens AND complete").select("file", opening.alias("header"))
+    record = F.regexp_extract("text", r"(?s)^\s*,\s*(\[.*\])$", 1)
+    payload = F.concat(F.lit("["), "header", F.lit(","), record, F.lit("]"))
+    sound = F.col("complete") & (record != "") & (F.col("header") != "")
+    return (
+        records.filter("NOT opens OR NOT complete")
+        .join(headers, "file", "left")
+        # what is no record stays as it is, and is no payload
+        .select(F.when(sound, payload).otherwise(F.concat(F.lit("!"), "text")).alias("value"))
+    )
+
+
 def _after_first(rows: str) -> Column:
     return F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
 
@@ -379,15 +402,39 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_FEATURE = (
+    "type string, properties struct<GEOID: string, GEO_ID: string, STATE: string, NAME: string>, "
+    "geometry string"
+)
+
+
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """Feature attributes of GeoJSON files; the geometry stays one opaque text."""
-    feature = (
-        "struct<properties: struct<GEOID: string, GEO_ID: string, STATE: string, "
-        "NAME: string>, geometry: string>"
+    """Feature attributes of GeoJSON files; the geometry stays one opaque text.
+
+    A file's features are read by many tasks. Of a file that breaks off, the whole features
+    count.
+    """
+    return accepted(parse_boundaries(read_features(spark, path)))
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """The text (``value``) of each feature of the collections at ``path``."""
+    records = split_records(spark, path, "}", braces=1, brackets=1)
+    prefix = F.when(F.col("opens"), r'(?s)^.*?"features"\s*:\s*\[\s*').otherwise(r"^[\s,]*")
+    return records.select(F.regexp_replace(F.col("text"), prefix, F.lit("")).alias("value"))
+
+
+def parse_boundaries(features: DataFrame) -> DataFrame:
+    """Attributes of features; a text that is no feature is a reject."""
+    read = features.select(F.from_json("value", _FEATURE).alias("f"))
+    is_feature = F.coalesce(F.col("f.type"), F.lit("Feature")) == "Feature"
+    found = is_feature & (F.col("f.properties").isNotNull() | F.col("f.geometry").isNotNull())
+    bad = ~F.coalesce(found, F.lit(False))
+    return read.select(
+        "f.properties.*",
+        F.col("f.geometry").alias("geometry"),
+        F.when(bad, F.lit("bad feature")).alias(REJECT),
     )
-    files = spark.read.json(path, schema=f"features array<{feature}>", multiLine=True)
-    one = files.select(F.explode("features").alias("f"))
-    return one.select("f.properties.*", F.col("f.geometry").alias("geometry"))
 
 
 def boundary_keys(boundaries: DataFrame) -> DataFrame:
