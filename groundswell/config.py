@@ -12,7 +12,7 @@ DEFAULT_WEIGHTS = {
     "ssp_projected_growth": 0.15,
 }
 
-# Indicator -> column of the indicator table it is read from.
+# Indicator -> column of the indicator table it is read from.
 INDICATOR_COLUMNS = {
     "building_permits": "permits_per_1k_pop",
     "net_migration": "net_migration_rate",
@@ -22,10 +22,10 @@ INDICATOR_COLUMNS = {
     "ssp_projected_growth": "ssp_growth_rate",
 }
 
-# Percentile tiers: upper ntile(100) bound of each letter; the rest is F.
+# Percentile tiers, upper ntile(100) bound of each letter; the rest is F.
 PERCENTILE_TIERS = {"A": 10, "B": 30, "C": 60, "D": 85}
 
-# Threshold tiers: inclusive score range of each letter, tried in this order.
+# Threshold tiers, inclusive score range of each letter, tried in this order.
 SCORE_TIERS = {
     "A": (80, 100),
     "B": (60, 80),
@@ -34,7 +34,7 @@ SCORE_TIERS = {
     "F": (0, 20),
 }
 
-# The older seven-indicator variant: weights, columns, and inverted indicators.
+# The older seven-indicator variant, weights, columns, and inverted indicators.
 SEVEN_WEIGHTS = {
     "building_permits": 0.25,
     "net_migration": 0.20,
@@ -72,3 +72,8 @@ def table_name(layer: str, table: str, catalog: str | None = None) -> str:
 def landed(source: str) -> str:
     """Bronze table that a source's landing stream fills."""
     return f"{source}_landed"
+
+
+def landed_files(source: str) -> str:
+    """Bronze table with a row per file that the landing stream took in."""
+    return f"{source}_landed_files"

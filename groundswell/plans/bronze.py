@@ -1,4 +1,8 @@
-"""Bronze jobs: one staged source to its Bronze table, with a run log entry."""
+"""Bronze jobs: one staged source to its Bronze table, with a run log entry.
+
+``layout`` says how census payloads were written (``files.read_census``); ``lines`` and
+``records`` let many tasks read one payload.
+"""
 
 from __future__ import annotations
 
@@ -49,60 +53,79 @@ def load_hud_construction(
 
 
 def load_acs_demographics(
-    spark: SparkSession, path: str, year: int, catalog: str | None = None
+    spark: SparkSession,
+    path: str,
+    year: int,
+    catalog: str | None = None,
+    layout: str = "whole",
 ) -> None:
     load_bronze(
         spark,
         "acs_demographics",
-        lambda: files.parse_demographics(files.read_census(spark, path), year),
+        lambda: files.parse_demographics(files.read_census(spark, path, layout), year),
         _by_year(year),
         catalog,
     )
 
 
 def load_vacancy(
-    spark: SparkSession, path: str, year: int, quarter: int, catalog: str | None = None
+    spark: SparkSession,
+    path: str,
+    year: int,
+    quarter: int,
+    catalog: str | None = None,
+    layout: str = "whole",
 ) -> None:
     load_bronze(
         spark,
         "vacancy",
-        lambda: files.parse_vacancy(files.read_census(spark, path), year, quarter),
+        lambda: files.parse_vacancy(files.read_census(spark, path, layout), year, quarter),
         _by_quarter(year, quarter),
         catalog,
     )
 
 
 def load_school_enrollment(
-    spark: SparkSession, path: str, year: int, catalog: str | None = None
+    spark: SparkSession,
+    path: str,
+    year: int,
+    catalog: str | None = None,
+    layout: str = "whole",
 ) -> None:
     day = dt.date(year, 1, 1)
     load_bronze(
         spark,
         "school_enrollment",
-        lambda: files.parse_enrollment(files.read_census(spark, path), year),
+        lambda: files.parse_enrollment(files.read_census(spark, path, layout), year),
         lambda df: stamped(df, source_date=day),
         catalog,
     )
 
 
 def load_business_patterns(
-    spark: SparkSession, path: str, year: int, catalog: str | None = None
+    spark: SparkSession,
+    path: str,
+    year: int,
+    catalog: str | None = None,
+    layout: str = "whole",
 ) -> None:
     load_bronze(
         spark,
         "business_patterns",
-        lambda: files.parse_business(files.read_census(spark, path), year),
+        lambda: files.parse_business(files.read_census(spark, path, layout), year),
         _by_year(year),
         catalog,
     )
 
 
-def load_national_projections(spark: SparkSession, path: str, catalog: str | None = None) -> None:
+def load_national_projections(
+    spark: SparkSession, path: str, catalog: str | None = None, layout: str = "whole"
+) -> None:
     load_bronze(
         spark,
         "national_projections",
         lambda: files.parse_state_projections(
-            files.state_projection_rows(files.read_census(spark, path))
+            files.state_projection_rows(files.read_census(spark, path, layout))
         ),
         stamped,
         catalog,

@@ -83,6 +83,11 @@ _LOG = (
     "error_msg string, started_at timestamp, completed_at timestamp"
 )
 
+_LANDED = (
+    "file string, period string, status string, rows_loaded bigint, rows_rejected bigint, "
+    "error_msg string, started_at timestamp, completed_at timestamp"
+)
+
 
 _TYPES: dict[str, T.DataType] = {
     "string": T.StringType(),
@@ -107,3 +112,4 @@ BRONZE_SCHEMAS = {name: _schema(columns) for name, columns in _BRONZE.items()}
 SILVER_SCHEMAS = {name: _schema(columns) for name, columns in _SILVER.items()}
 GOLD_SCHEMAS = {name: _schema(columns) for name, columns in _GOLD.items()}
 LOG_SCHEMA = _schema(_LOG)
+LANDED_SCHEMA = _schema(_LANDED)

@@ -23,6 +23,7 @@ from groundswell.functions.values import (
 )
 from groundswell.sources.records import split_records
 
+Paths = str | list[str]
 REJECT = "reject_reason"
 
 PERMIT_FIELDS = 17
@@ -63,7 +64,7 @@ def _reject(required: list[str], extra: Column | None = None) -> Column:
 # --- permits files -----------------------------------------------------------------
 
 
-def read_permits(spark: SparkSession, path: str) -> DataFrame:
+def read_permits(spark: SparkSession, path: Paths) -> DataFrame:
     """Lines of permits files as string fields ``c0`` … ``c16``."""
     return split_permits(spark.read.text(path))
 
@@ -151,7 +152,7 @@ def parse_construction(fields: DataFrame, year: int, quarter: int) -> DataFrame:
 # --- census tables (JSON array of arrays, first row is the header) -------------------
 
 
-def read_census(spark: SparkSession, path: str, layout: str = "whole") -> DataFrame:
+def read_census(spark: SparkSession, path: Paths, layout: str = "whole") -> DataFrame:
     """Staged payloads as rows ``value``: JSON arrays whose first row is the header.
 
     ``layout`` says how the files were written. With ``whole`` a file is one payload,
@@ -349,7 +350,7 @@ def parse_state_projections(rows: DataFrame) -> DataFrame:
 # --- quarterly wages file -----------------------------------------------------------
 
 
-def read_wages(spark: SparkSession, path: str) -> DataFrame:
+def read_wages(spark: SparkSession, path: Paths) -> DataFrame:
     """Wages file with its own header, all strings; unused columns are pruned."""
     return spark.read.csv(path, header=True, quote='"')
 
@@ -394,7 +395,7 @@ def parse_employment(rows: DataFrame, quarter: int | None = None) -> DataFrame:
 # --- flows and boundaries ------------------------------------------------------------
 
 
-def read_flows(spark: SparkSession, path: str) -> DataFrame:
+def read_flows(spark: SparkSession, path: Paths) -> DataFrame:
     """Origin-destination file: header lowercased and stripped, values stripped."""
     raw = spark.read.csv(path, header=True)
     return raw.select(

@@ -27,7 +27,7 @@ def _opened(text: Column, closer: str, quoted: Column) -> tuple[Column, Column]:
     return (braces - closes, brackets) if closer == "}" else (braces, brackets - closes)
 
 
-def _pieces(spark: SparkSession, path: str, closer: str) -> DataFrame:
+def _pieces(spark: SparkSession, path: str | list[str], closer: str) -> DataFrame:
     """Pieces between closers, with what each opens if it starts outside (0) or inside (1) a text."""
     lines = spark.read.text(path, lineSep=closer).select(
         F.col("_metadata.file_path").alias("file"),
@@ -46,7 +46,7 @@ def _pieces(spark: SparkSession, path: str, closer: str) -> DataFrame:
 
 
 def split_records(
-    spark: SparkSession, path: str, closer: str, braces: int, brackets: int
+    spark: SparkSession, path: str | list[str], closer: str, braces: int, brackets: int
 ) -> DataFrame:
     """(file, text, opens, complete) per record of the files at ``path``.
 
