@@ -37,7 +37,7 @@ from groundswell.llm.common import (
     written,
 )
 
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 22
 BLOCK = 4 << 20  # bytes of one text whose words are held as objects at a time
 UNKNOWN = "und"
 ROW_BITS, SERIAL_BITS = 28, 13  # of a phrase's number: row in the shard; shard of the task
@@ -107,7 +107,7 @@ def _squeeze(values: np.ndarray) -> bytes:
 
 def _unsqueeze(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,21 +164,28 @@ class Index:
     def __init__(self, places: np.ndarray, depth: int, mirrored: bool = False):
         if mirrored:
             places = places[::-1]
-        ended = places.max() + 1
-        places = np.where(places == 0, ended, places)
+        ended = int(places.max()) + 1
+        places = np.where(places == 0, np.int32(ended), places)
         keys = [places]
         for step in range(1, depth):  # beyond the end of a piece nothing counts
-            later = np.append(places[step:], np.full(min(step, len(places)), ended))[: len(places)]
-            keys.append(np.where(keys[-1] == ended, ended, later))
-        order = np.lexsort(keys[::-1])
+            later = np.full(len(places), ended, np.int32)
+            later[:-step] = places[step:]
+            later[keys[-1] == ended] = ended
+            keys.append(later)
+        if depth > 2:
+            order = np.lexsort(keys[::-1])
+        else:
+            key = places if depth == 1 else places * np.int64(ended + 1) + keys[1]
+            order = np.argsort(key, kind="stable")
+            del key
         self.ended = ended
         self.symbols = np.roll(places, 1)[order]
         self.counts = np.bincount(places, minlength=ended + 1)
 
     def steps(self) -> np.ndarray:
         """For each row, the row of its place moved one back over its symbol."""
-        to = np.empty(len(self.symbols), np.int64)
-        to[np.argsort(self.symbols, kind="stable")] = np.arange(len(self.symbols))
+        to = np.empty(len(self.symbols), np.int32)
+        to[np.argsort(self.symbols, kind="stable")] = np.arange(len(to), dtype=np.int32)
         return to
 
     def extend(self, begins: np.ndarray, sizes: np.ndarray):
@@ -187,17 +194,17 @@ class Index:
         ``smaller``: how many of the parent's rows have a smaller symbol, which is where
         the extension begins within its parent in the other index; ``row``: its first row here.
         """
-        parents = np.repeat(np.arange(len(sizes)), sizes)
         before = np.cumsum(sizes) - sizes
-        rows = np.arange(len(parents)) - before[parents] + begins[parents]
-        symbols = self.symbols[rows]
-        order = np.argsort(parents * (self.ended + 1) + symbols, kind="stable")
-        parents, symbols, rows = parents[order], symbols[order], rows[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (parents[1:] != parents[:-1]) | (symbols[1:] != symbols[:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(rows)))
-        parent, symbol, row = parents[first], symbols[first], rows[first]
+        parents = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        rows = np.repeat((begins - before).astype(np.int32), sizes)
+        rows += np.arange(len(rows), dtype=np.int32)
+        key = parents * np.int64(self.ended + 1) + self.symbols[rows]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, int)
+        size = np.diff(np.append(first, len(key)))
+        parent, symbol = np.divmod(key[first], self.ended + 1)
+        row = rows[order[first]]
         word = symbol != self.ended
         return tuple(x[word] for x in (parent, symbol, first - before[parent], size, row))
 
@@ -222,8 +229,7 @@ def _grow(words: int, shards: pa.Table, kept: pa.Table) -> pa.Table:
         return empty
     shard = shards.column("shard")[0].as_py()
     places = _unsqueeze(shards.column("places")[0].as_py())
-    place, sizes, numbers = (kept.column(n).to_numpy() for n in ("place", "size", "number"))
-    begins = place & ((1 << ROW_BITS) - 1)
+    begins, sizes, numbers = (kept.column(n).to_numpy() for n in ("begin", "size", "number"))
     order = np.argsort(begins)
     begins, sizes, numbers = begins[order], sizes[order], numbers[order]
     if words == 2:
@@ -245,7 +251,7 @@ def _grow(words: int, shards: pa.Table, kept: pa.Table) -> pa.Table:
         {
             "prefix": prefix[good],
             "suffix": suffix[good],
-            "place": begin[good] + (shard << ROW_BITS),
+            "place": begin[good].astype(np.int64) + (shard << ROW_BITS),
             "size": size[good].astype(np.int64),
         }
     )
@@ -302,7 +308,12 @@ def frequent_phrases(
     )
     every = found
     for size in range(2, longest + 1):
-        back = kept.select(F.shiftright("place", ROW_BITS).alias("shard"), "place", "size", "number")
+        back = kept.select(
+            F.shiftright("place", ROW_BITS).alias("shard"),
+            F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("begin"),
+            "size",
+            "number",
+        )
         level = (
             shards.select("shard", "places")
             .groupBy("shard")

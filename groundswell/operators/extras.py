@@ -116,24 +116,33 @@ def rank_shift(
 ) -> DataFrame:
     """Rank of each area under two weight sets and how far it moves up.
 
-    Both scores come from one normalization; each ranking is a range sort of its own.
+    Both scores come from one normalization. Each area has a row per score in one range
+    sort, the first scores before the second ones; a second score's place, less the number of
+    areas, is its rank.
     """
-    scores = normalize(indicators, columns).select(
-        "fips",
-        *[
-            F.round(adaptive_score(checked_weights(weights, columns)), TIES).alias(name)
-            for name, weights in (("score_before", before), ("score_after", after))
-        ],
-    )
-    placed = scores
-    for score, rank in (("score_before", "rank_before"), ("score_after", "rank_after")):
-        placed = number_rows(placed, F.col(score).desc(), F.col("fips").asc(), name=rank)
-    return placed.select(
-        "fips",
-        "rank_before",
-        "rank_after",
-        (F.col("rank_before") - F.col("rank_after")).alias("rank_shift"),
+    scored = normalize(indicators, columns)
+    scores = [
+        F.struct(
+            F.lit(second).alias("second"),
+            F.round(adaptive_score(checked_weights(weights, columns)), TIES).alias("score"),
+        )
+        for second, weights in ((False, before), (True, after))
+    ]
+    placed = number_rows(
+        scored.select("fips", F.inline(F.array(*scores))),
+        F.col("second").asc(),
+        F.col("score").desc(),
+        F.col("fips").asc(),
+        name="place",
     )
+    areas = F.expr("place_total div 2")
+
+    def rank(second: bool) -> Column:
+        place = F.col("place") - (areas if second else F.lit(0))
+        return F.max(F.when(F.col("second") == second, place))
+
+    ranks = placed.groupBy("fips").agg(rank(False).alias("rank_before"), rank(True).alias("rank_after"))
+    return ranks.withColumn("rank_shift", F.col("rank_before") - F.col("rank_after"))
 
 
 def state_growth(demographics: DataFrame, base_year: int) -> DataFrame:

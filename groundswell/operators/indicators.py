@@ -90,14 +90,20 @@ def latest_projection(
 
 
 def with_state_projection(areas: DataFrame, projection: DataFrame) -> DataFrame:
-    """Join areas to their state's projection by the first two digits of the code.
+    """Add the projection of each area's state, by the first two digits of the code.
 
-    No broadcast hint: the projection is as large as its key makes it. Spark
-    broadcasts it below its own size limit; above that it shuffles, and the adaptive
-    skew join splits a state that holds a large part of the areas.
+    ``projection`` has one row per ``state_code``. Two digits make at most a hundred keys, so
+    the projection is one map, read as a constant through a scalar subquery: no row of
+    the areas moves, however many of them one state has.
     """
-    keyed = areas.withColumn("state_code", F.substring("fips", 1, 2))
-    return keyed.join(projection, "state_code", "left").drop("state_code")
+    values = [c for c in projection.columns if c != "state_code"]
+    two_digits = projection.filter(F.col("state_code").rlike("^[0-9]{2}$"))
+    entries = F.collect_list(F.struct("state_code", F.struct(*values)))
+    by_state = two_digits.agg(F.map_from_entries(entries).alias("by_state")).scalar()
+    found = F.try_element_at(by_state, F.substring("fips", 1, 2))
+    return areas.withColumn("_state", found).select(
+        *areas.columns, *[F.col("_state")[c].alias(c) for c in values]
+    )
 
 
 def permits_per_1k(units: Column, population: Column, missing: str = "default") -> Column:

@@ -217,14 +217,25 @@ def highlight_areas(
     return features.withColumn("highlighted", shown)
 
 
+#: Order of names as people read them: accents and case count after the letters.
+READING_ORDER = "UNICODE"
+
+
 def sort_key(name: str) -> Column:
-    """Sort value with the view's default for a missing one (rank has none)."""
+    """Sort value with the view's default for a missing one (rank has none).
+
+    Texts sort by the Unicode collation, as a browser sorts them, not by bytes.
+    """
+
+    def text(value: Column) -> Column:
+        return F.collate(value, READING_ORDER)
+
     keys = {
         "rank": F.col("rank_national"),
-        "name": F.coalesce("NAME", F.lit("")),
-        "state": state_label(F.col("STATE")),
+        "name": text(F.coalesce("NAME", F.lit(""))),
+        "state": text(state_label(F.col("STATE"))),
         "score": F.coalesce("composite_score", F.lit(0.0)),
-        "tier": F.coalesce("score_tier", F.lit("Z")),
+        "tier": text(F.coalesce("score_tier", F.lit("Z"))),
         "population": F.coalesce(F.col("population"), F.lit(0)),
         "income": F.coalesce("median_income", F.lit(0.0)),
     }

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from groundswell.operators import ordering, panel, scoring, serving
+from groundswell.operators import extras, indicators, ordering, panel, scoring, serving
 from groundswell.plans import catalog
 from groundswell.plans.views import Views
 
@@ -133,3 +133,23 @@ def test_no_cross_joins_and_no_python(spark, name):
     text = plan(catalog.queries()[name](spark, SMALL))
     for word in ("CartesianProduct", "NestedLoop", "PythonUDF", "ArrowEvalPython", "BatchEval"):
         assert word not in text
+
+
+def test_state_outlook_moves_no_areas(spark):
+    """The outlook is a constant of the projection: no join and no shuffle of the areas by state."""
+    df = catalog.queries()["indicator_table"](spark, SMALL)
+    main, _, subqueries = plan(df).partition("Subqueries")
+    assert "state_code" not in "".join(line for line in main.splitlines() if "Exchange" in line)
+    areas = spark.range(100).selectExpr("lpad(cast(id AS string), 5, '0') AS fips")
+    outlook = spark.createDataFrame([("00", 2030, 0.1)], "state_code string, y int, r double")
+    text = plan(indicators.with_state_projection(areas, outlook)).split("Subquer")[0]
+    assert "Join" not in text and "Exchange" not in text
+
+
+def test_rank_shift_writes_its_rows_once(spark, monkeypatch):
+    written = []
+    keep = ordering.checkpointed
+    monkeypatch.setattr(ordering, "checkpointed", lambda df: written.append(df.columns) or keep(df))
+    df = spark.range(50).selectExpr("cast(id AS string) AS fips", "id * 7 % 50 AS u", "id AS v", "id AS w")
+    extras.rank_shift(df, {"x": 1.0}, {"y": 1.0}, {"x": "u", "y": "v"})
+    assert written == [["fips", "second", "score", "_pos"]]

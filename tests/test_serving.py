@@ -190,3 +190,20 @@ def test_area_trends(frame):
     assert found[1]["permits_per_1k_pop"] == 10.0
     assert found[1]["vacancy_rate_yoy_change"] == 0.1
     assert found[2]["net_migration_rate"] == 1.5
+
+
+def test_names_sort_as_people_read_them(spark):
+    """Spaces and marks before letters, accents after plain letters, small before capital."""
+    order = [
+        "", "De Kalb", "dekalb", "Dekalb", "DeKalb", "Dona Ana", "Doña Ana", "Donz",
+        "La Salle", "lasalle", "LaSalle", "O'Brien", "Obrien", "Zapata", "Zäpata", "zebra",
+    ]
+    rows_ = [(f"{i * 7 % 16:05d}", name or None, "01", 1.0, "A", 1) for i, name in enumerate(order)]
+    schema = "GEOID string, NAME string, STATE string, composite_score double, score_tier string, rank_national int"
+    features = spark.createDataFrame(rows_, schema).repartition(5)
+    found = rows(serving.sorted_results(features, "name", descending=False), "position")
+    assert [r["NAME"] or "" for r in found] == order
+    assert [r["position"] for r in found] == list(range(1, 17))
+    down = rows(serving.sorted_results(features, "name"), "position")
+    assert [r["NAME"] or "" for r in down] == order[::-1]
+    assert serving.sorted_results(features, "name").schema["NAME"].dataType == features.schema["NAME"].dataType
