@@ -57,8 +57,8 @@ def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 SLICE_BYTES = 8 << 20
 
 
-def slices(raws: list[bytes | None]) -> Iterator[range]:
-    """Row ranges of a batch that hold about ``SLICE_BYTES`` of text each.
+def slices(raws: list[bytes | None], most: int = SLICE_BYTES) -> Iterator[range]:
+    """Row ranges of a batch that hold about ``most`` bytes of text each.
 
     The words of a text take some ten times its bytes as Python objects, so they are
     made for a slice at a time.
@@ -66,7 +66,7 @@ def slices(raws: list[bytes | None]) -> Iterator[range]:
     begin, size = 0, 0
     for row, raw in enumerate(raws):
         size += len(raw or b"")
-        if size >= SLICE_BYTES:
+        if size >= most:
             yield range(begin, row + 1)
             begin, size = row + 1, 0
     if begin < len(raws):

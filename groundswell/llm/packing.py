@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ from groundswell.llm.common import Recent, binary, checkpointed, documents, give
 LENGTH = 2048
 SLACK = 1
 ROUND_ITEMS = 20_000
-STORED = 400_000  # words in each of the two generations whose ids a task holds
+STORED = 150_000  # words in each of the two generations whose ids a task holds, some 20 MB each
+SLICE = 4 << 20  # bytes of text whose words are held as objects at a time
 CHUNK = 100  # new words tokenized in one call
 END = (0).to_bytes(4, "little")
 _SPECIAL = b"<|"  # begins the special tokens, whose case matters
@@ -61,7 +63,11 @@ class WordTokens:
     def words(raw: bytes | None) -> list[bytes]:
         if not raw:
             return []
-        return (raw if _SPECIAL in raw else raw.lower()).split()
+        if _SPECIAL in raw:
+            return raw.split()
+        if b"\xcc" in raw or b"\xcd" in raw:  # a mark may join a capital before it is lower-cased
+            return [word.lower() if word.isascii() else word for word in raw.split()]
+        return raw.lower().split()
 
     def learn(self, words: set[bytes]) -> None:
         missing = self.recent.missing(words)
@@ -141,17 +147,17 @@ def _local(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordTokens(path)
-        ids, pieces, starts, lengths, crcs = [], [], [], [], []
+        keys_of, pieces, starts, lengths, crcs = [], *(array("q") for _ in range(4))
         for batch in batches:
             raws, keys = binary(batch, "text"), batch.column(0).to_pylist()
-            for rows in slices(raws):
+            for rows in slices(raws, SLICE):
                 texts = [known.words(raws[row]) for row in rows]
                 known.learn(set().union(*texts))
                 for row, words in zip(rows, texts):
                     tokens = known.encode(words) + END
                     for piece, at in enumerate(range(0, len(tokens), 4 * LENGTH)):
                         part = tokens[at : at + 4 * LENGTH]
-                        ids.append(keys[row])
+                        keys_of.append(keys[row])
                         pieces.append(piece)
                         starts.append(at // 4)
                         lengths.append(len(part) // 4)
@@ -160,18 +166,18 @@ def _local(path: str):
         bins, offsets, sizes = best_fit(np.array(lengths, np.int64))
         yield pa.record_batch(
             [
-                pa.array(ids, pa.int64()),
-                pa.array(pieces, pa.int32()),
-                pa.array(starts, pa.int64()),
-                pa.array(lengths, pa.int64()),
-                pa.array(crcs, pa.int64()),
+                pa.array(keys_of, pa.int64()),
+                pa.array(np.array(pieces, np.int32)),
+                pa.array(np.array(starts, np.int64)),
+                pa.array(np.array(lengths, np.int64)),
+                pa.array(np.array(crcs, np.int64)),
                 pa.array(own + bins, pa.int64()),
                 pa.array(offsets, pa.int64()),
                 pa.array(sizes[bins] if len(bins) else bins, pa.int64()),
             ],
             names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "size"],
         )
-        del known, ids, pieces, starts, lengths, crcs
+        del known, keys_of, pieces, starts, lengths, crcs
         give_back()
 
     return run
