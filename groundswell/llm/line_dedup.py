@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from groundswell.llm.common import binary, documents, per_batch
 
@@ -191,6 +191,11 @@ def _suspects(docs: DataFrame, words: int) -> DataFrame:
     )
 
 
+def _named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`").alias(column)
+
+
 def _marked(docs: DataFrame, words: int) -> DataFrame:
     """(rest, text, n_lines, n_dropped, sha): ``rest`` holds every column but the text."""
     plain = documents(docs).where("doc_id is not null and text is not null")
@@ -204,14 +209,13 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
     packed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").alias("text"),
-        F.struct(*[f"`{c}`" for c in docs.columns if c != "text"]).alias("rest"),
+        F.struct(*[_named(c) for c in docs.columns if c != "text"]).alias("rest"),
     )
     joined = packed.join(drops, "doc_id", "left").select("rest", "text", "keys")
-    rest = joined.schema["rest"].dataType.simpleString()
-    return joined.mapInArrow(
-        per_batch(_rewrite),
-        f"rest {rest}, text string, n_lines long, n_dropped long, sha string",
-    )
+    schema = T.StructType().add(joined.schema["rest"])
+    for name, kind in (("text", "string"), ("n_lines", "long"), ("n_dropped", "long"), ("sha", "string")):
+        schema.add(name, kind)
+    return joined.mapInArrow(per_batch(_rewrite), schema)
 
 
 def line_report(docs: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
@@ -243,5 +247,5 @@ def drop_repeated_lines(docs: DataFrame, words: int = FILTER_WORDS) -> DataFrame
             length = F.char_length("text").cast(docs.schema[name].dataType)
             columns.append(F.coalesce(length, F.col("rest.n_chars")).alias(name))
         else:
-            columns.append(F.col(f"rest.`{name}`").alias(name))
+            columns.append(F.col("rest").getField(name).alias(name))
     return marked.select(*columns)
