@@ -33,7 +33,7 @@ BLOCKS = frozenset(
     p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
 SILENT = frozenset(
-    """script style noscript template head title svg math iframe object canvas audio video
+    """script style noscript template head title svg iframe object canvas audio video
     select option datalist textarea button""".split()
 )
 ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
@@ -93,6 +93,13 @@ class _Lines(HTMLParser):
         self.linked = 0
         self.links = 0
 
+    def parse_marked_section(self, i, report=1):
+        """Sections of a kind the parser does not know are comments, as in a browser."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def _state(self) -> tuple[bool, bool, bool]:
         return self.stack[-1][1:] if self.stack else (False, False, False)
 
