@@ -24,6 +24,7 @@ __all__ = [
     "documents",
     "fold",
     "give_back",
+    "is_written",
     "mix",
     "per_batch",
     "release",
@@ -211,8 +212,20 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``written`` filled, by the file system it lies in."""
+def _in_file_system(spark: SparkSession, path: str):
+    """A path and the file system it lies in."""
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table at ``path`` was written to its end."""
+    system, target = _in_file_system(spark, f"{path}/_SUCCESS")
+    return system.exists(target)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of tables that are no longer read."""
+    system, target = _in_file_system(spark, path)
+    system.delete(target, True)
