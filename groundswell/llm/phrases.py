@@ -37,7 +37,7 @@ from groundswell.llm.common import (
     written,
 )
 
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 21
 BLOCK = 4 << 20  # bytes of one text whose words are held as objects at a time
 UNKNOWN = "und"
 ROW_BITS, SERIAL_BITS = 28, 13  # of a phrase's number: row in the shard; shard of the task
@@ -172,16 +172,23 @@ class Index:
             later[:-step] = places[step:]
             later[keys[-1] == ended] = ended
             keys.append(later)
-        if depth > 2:
-            order = np.lexsort(keys[::-1])
-        else:
-            key = places if depth == 1 else places * np.int64(ended + 1) + keys[1]
-            order = np.argsort(key, kind="stable")
-            del key
+        if depth == 2:
+            keys = [places * np.int64(ended + 1) + keys[1]]
+        order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+        new = np.zeros(len(order) + 1, bool)
+        new[0] = new[-1] = True
+        for key in keys:
+            key = key[order]
+            new[1:-1] |= key[1:] != key[:-1]
+        self.edges = np.flatnonzero(new)  # of the intervals of phrases of ``depth`` words
         self.ended = ended
         self.symbols = np.roll(places, 1)[order]
         self.counts = np.bincount(places, minlength=ended + 1)
 
+    def sizes(self, begins: np.ndarray) -> np.ndarray:
+        """Occurrences of the phrases of ``depth`` words whose intervals begin at ``begins``."""
+        return self.edges[np.searchsorted(self.edges, begins) + 1] - begins
+
     def steps(self) -> np.ndarray:
         """For each row, the row of its place moved one back over its symbol."""
         to = np.empty(len(self.symbols), np.int32)
@@ -216,45 +223,36 @@ def _known(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np
     return inside, at
 
 
-LEVEL = "prefix long, suffix long, place long, size long"
-
-
-def _grow(words: int, shards: pa.Table, kept: pa.Table) -> pa.Table:
+def _grow(words: int, placed: bool, shards: pa.Table, kept: pa.Table) -> pa.Table:
     """Phrases of ``words`` words in one shard, from those of one word less that were kept.
 
-    ``prefix`` and ``suffix`` number the phrases without the last and the first word.
+    ``prefix`` and ``suffix`` number the phrases without the last and the first word;
+    ``place`` is left out unless ``placed``.
     """
-    empty = pa.table({n: pa.array([], pa.int64()) for n in ("prefix", "suffix", "place", "size")})
-    if not shards.num_rows or not kept.num_rows:
-        return empty
-    shard = shards.column("shard")[0].as_py()
-    places = _unsqueeze(shards.column("places")[0].as_py())
-    begins, sizes, numbers = (kept.column(n).to_numpy() for n in ("begin", "size", "number"))
-    order = np.argsort(begins)
-    begins, sizes, numbers = begins[order], sizes[order], numbers[order]
-    if words == 2:
-        # a word's interval is the same in both indexes: grow to the right in the mirrored one
-        index = Index(places, 1, mirrored=True)
-        parent, symbol, smaller, size, _ = index.extend(begins, sizes)
-        begin = begins[parent] + smaller
-        other = _before(index.counts)[symbol]
+    found = {n: np.empty(0, np.int64) for n in ("prefix", "suffix", "place", "size")}
+    if shards.num_rows and kept.num_rows:
+        shard = shards.column("shard")[0].as_py()
+        begins, numbers = (kept.column(n).to_numpy() for n in ("begin", "number"))
+        order = np.argsort(begins)
+        begins, numbers = begins[order], numbers[order]
+        # a word's interval is the same in both indexes: it grows to the right in the mirrored
+        # one; longer phrases grow to the left
+        index = Index(_unsqueeze(shards.column("places")[0].as_py()), words - 1, words == 2)
+        sizes = index.sizes(begins)
+        parent, symbol, smaller, size, row = index.extend(begins, sizes)
+        if words == 2:
+            begin = begins[parent] + smaller
+            other = _before(index.counts)[symbol]  # where the added word's interval begins
+        else:
+            begin = other = index.steps()[row]  # within the interval without the last word
         good, at = _known(other, begins, begins + sizes)
-        prefix, suffix = numbers[parent], numbers[at]
-    else:
-        # grow to the left; the phrase without its last word is the interval around the new one
-        index = Index(places, words - 1)
-        parent, _, _, size, row = index.extend(begins, sizes)
-        begin = index.steps()[row]
-        good, at = _known(begin, begins, begins + sizes)
-        prefix, suffix = numbers[at], numbers[parent]
-    return pa.table(
-        {
-            "prefix": prefix[good],
-            "suffix": suffix[good],
-            "place": begin[good].astype(np.int64) + (shard << ROW_BITS),
-            "size": size[good].astype(np.int64),
-        }
-    )
+        ends = numbers[parent], numbers[at]
+        prefix, suffix = ends if words == 2 else ends[::-1]
+        found = {"prefix": prefix, "suffix": suffix, "place": begin + (np.int64(shard) << ROW_BITS)}
+        found = {name: values[good] for name, values in {**found, "size": size}.items()}
+    if not placed:
+        del found["place"]
+    return pa.table({name: pa.array(values, pa.int64()) for name, values in found.items()})
 
 
 def _frequent(level: DataFrame, key: list[str], least: int) -> DataFrame:
@@ -270,7 +268,7 @@ def _frequent(level: DataFrame, key: list[str], least: int) -> DataFrame:
     )
     first = F.col("place") == F.col("number")
     return kept.select(
-        "place", "size", "number", *(F.when(first, F.col(c)).alias(c) for c in ("total", *key))
+        "place", "number", *(F.when(first, F.col(c)).alias(c) for c in ("total", *key))
     )
 
 
@@ -280,10 +278,10 @@ def frequent_phrases(
     """Phrases of 1 to ``longest`` words with at least ``least`` occurrences, and words per language.
 
     First: (number, words, lang, phrase, total, prefix, suffix, lefts, rights): ``number``
-    differs among phrases of as many words, ``prefix`` and ``suffix`` are the numbers of the
-    phrases without the last and the first word (null for words), ``lefts`` and ``rights`` the
-    totals of the first 1, 2, ... and of the last 1, 2, ... words. Second: (lang, n) with all word occurrences.
-    Both read tables written to ``folder``, which has to be shared and new.
+    differs among phrases of as many words (null for the longest), ``prefix`` and ``suffix``
+    are the numbers of the phrases without the last and the first word (null for words),
+    ``lefts`` and ``rights`` the totals of the first 1, 2, ... and of the last 1, 2, ...
+    words. Second: (lang, n) with all word occurrences. Both read tables written to ``folder``, which has to be shared and new.
     """
     texts = docs.select(
         F.col("text").alias("text"), F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang")
@@ -311,22 +309,22 @@ def frequent_phrases(
         back = kept.select(
             F.shiftright("place", ROW_BITS).alias("shard"),
             F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("begin"),
-            "size",
             "number",
         )
+        last = size == longest
+        schema = "prefix long, suffix long, " + ("" if last else "place long, ") + "size long"
         level = (
             shards.select("shard", "places")
             .groupBy("shard")
             .cogroup(back.groupBy("shard"))
-            .applyInArrow(partial(_grow, size), LEVEL)
+            .applyInArrow(partial(_grow, size, not last), schema)
         )
-        if size < longest:
+        if not last:
             kept = written(_frequent(level, ["prefix", "suffix"], least), f"{folder}/kept{size}")
             new = kept.where("place = number")
-        else:  # nothing goes back to the shards: a sum for each phrase is enough
-            sums = level.groupBy("prefix", "suffix")
-            new = sums.agg(F.sum("size").alias("total"), F.min("place").alias("number"))
-            new = new.where(F.col("total") >= least)
+        else:  # nothing goes back to the shards or refers to these: a sum is enough
+            sums = level.groupBy("prefix", "suffix").agg(F.sum("size").alias("total"))
+            new = sums.where(F.col("total") >= least).withColumn("number", F.lit(None).cast("long"))
         head = found.select(
             F.col("number").alias("prefix"),
             "lang",
