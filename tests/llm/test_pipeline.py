@@ -1,9 +1,11 @@
 """The corpus pipeline against a brute-force version of its stages, each on its own input."""
 
+import os
 from collections import Counter
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from groundswell.llm import mixing, packing, quality
@@ -55,7 +57,7 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     before, after = stages["near_dedup"]
-    want = brute.near_duplicates(texts(before))
+    want = brute.near_duplicates(texts(before), 80)  # the general rule: no contract names another
     assert sorted(d for d, _ in texts(after)) == sorted(d for d, w in want.items() if w[2])
 
 
@@ -114,3 +116,30 @@ def test_stages_on_odd_documents(spark, docs, no_docs):
                 assert out.schema == rows.schema
             out.collect()
             rows = rows if name == "packing" else out
+
+
+def test_run_goes_on_where_it_ended_and_cleans_up(spark, tmp_path, monkeypatch):
+    calls = []
+
+    def stage(name, fails=False):
+        def run(session, docs, folder):
+            calls.append(name)
+            if fails:
+                raise RuntimeError("executor gone")
+            return docs.withColumn("text", F.concat("text", F.lit(name)))
+
+        return name, run
+
+    work = str(tmp_path / "work")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b", fails=True)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, SMALL, work)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b"), stage("c")])
+    done = corpus_pipeline.run(spark, SMALL, work)
+    assert calls == ["a", "b", "b", "c"]
+    assert done.where("text like '%abc'").count() == done.count() == 200
+    folder = corpus_pipeline.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, SMALL).count() == 200
+    (new,) = [d for d in set(os.listdir(folder)) - before if d.startswith("corpus-")]
+    assert os.listdir(os.path.join(folder, new)) == ["c"]
