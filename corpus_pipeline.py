@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundswell.llm.common import shared_folder, table
+from groundswell.llm.common import delete_folder, is_written, shared_folder, table
 from groundswell.llm.line_dedup import drop_repeated_lines
 from groundswell.llm.mixing import mix_documents
 from groundswell.llm.near_dup import drop_near_duplicates
@@ -16,7 +16,7 @@ from groundswell.llm.quality import keep_quality
 from groundswell.llm.queries import vocabulary
 
 #: Documents whose five-word shingle sets share this much of their union are near-duplicates.
-NEAR_PERCENT = 85
+NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -58,13 +58,24 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all documents of the folder."""
+def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
+    """The rows of the last stage over all documents of the folder.
+
+    Stages are written to ``work``, a shared folder. With a folder of the caller's, stages that
+    an earlier run finished there are not done again; otherwise the folder is a new one, and
+    what a stage has read is deleted as soon as the stage is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    work = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    own = work or f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{work}/{name}")
-        docs = spark.read.parquet(f"{work}/{name}")
+        path = f"{own}/{name}"
+        if not work or not is_written(spark, path):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        if before and not work:
+            delete_folder(spark, before)
+        before = path
     return docs
 
 

@@ -28,12 +28,17 @@ def local_session(cpus: int | str = "*", app: str = "groundswell", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``, or else a folder in the warehouse, which is shared too."""
+    """Use ``spark.checkpoint.dir``; a local session without it uses its warehouse.
+
+    A cluster has no shared folder of its own accord, so there the setting is required.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     context.setCheckpointDir(folder)
 
