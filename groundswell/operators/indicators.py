@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from groundswell.functions.keys import state_abbr
 from groundswell.functions.values import or_zero, ratio
-from groundswell.operators.panel import latest_per_key
+from groundswell.operators.panel import latest_of_all, latest_per_key
 from groundswell.schemas import SILVER_SCHEMAS
 
 # Columns taken from the optional per-area sources.
@@ -153,14 +153,21 @@ def build_indicator_table(
     ``sources`` maps Silver names (without ``silver_``) to frames; permits and
     demographics are required, the rest may be absent and then yield null columns.
     ``missing="null"`` keeps unknown permits and vacancy unknown instead of 0.
-    ``more_columns`` names further columns to take per source. Every joined side has
-    one row per key, so no join can multiply rows.
+    ``more_columns`` names further columns to take per source. The latest rows of all
+    sources come from one aggregate; nothing is joined that could multiply rows.
     """
-    table = indicator_base(sources["building_permits"], sources["acs_demographics"])
+    tables = {
+        "permits": (area_permits(sources["building_permits"]), {c: c for c in PERMIT_COLUMNS}),
+        "people": (
+            sources["acs_demographics"],
+            {"acs_year": "report_year", "population": "population", "median_income": "median_income"},
+        ),
+    }
     for name, columns in AREA_COLUMNS.items():
         taken = [*columns, *(more_columns or {}).get(name, ())]
-        latest = latest_per_key(source_or_empty(spark, sources, name), taken)
-        table = table.join(latest, "fips", "left")
+        tables[name] = source_or_empty(spark, sources, name), {c: c for c in taken}
+    table = latest_of_all(tables).filter("has_permits OR has_people")
+    table = table.drop(*[f"has_{name}" for name in tables])
     outlook = latest_projection(
         source_or_empty(spark, sources, "ssp_projections"), scenario, state_key
     )

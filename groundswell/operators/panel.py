@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -36,6 +36,33 @@ def latest_per_key(
     return ranked.filter("_rn = 1").select(key, *columns)
 
 
+def latest_of_all(
+    tables: Mapping[str, tuple[DataFrame, Mapping[str, str]]],
+    key: str = "fips",
+    order: Sequence[str] = PERIOD,
+) -> DataFrame:
+    """Each key's newest row of every table, side by side: ``key``, and the tables' columns.
+
+    ``tables``: name -> (frame, {output column: its column}). As ``latest_per_key`` picks a row,
+    for a table with or without a period; ``has_<name>`` says whether a table has the key.
+    All tables are one union and one aggregate (with map-side combine), so a single shuffle
+    moves a row per key and task at most, however many tables there are.
+    """
+    rows, picked = None, []
+    for name, (frame, columns) in tables.items():
+        present = [c for c in order if c in frame.columns]
+        newest = [F.coalesce(-F.col(c), F.lit(2**31 - 1)).alias(f"_{c}") for c in present]
+        ties = [F.col(c).alias(out) for out, c in columns.items() if c not in present]
+        periods = [F.col(c).alias(out) for out, c in columns.items() if c in present]
+        row = F.struct(*newest, *ties, *periods) if (newest or columns) else F.struct(F.lit(1))
+        part = frame.select(key, row.alias(f"_{name}"))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        picked += [F.col(f"_{name}.{out}").alias(out) for out in columns]
+        picked.append(F.col(f"_{name}").isNotNull().alias(f"has_{name}"))
+    first = rows.groupBy(key).agg(*[F.min(f"_{name}").alias(f"_{name}") for name in tables])
+    return first.select(key, *picked)
+
+
 def drop_reloads(df: DataFrame, grain: Sequence[str], stamp: str = "ingested_at") -> DataFrame:
     """One row per ``grain``: the last one taken in. Undoes repeated downloads.
 

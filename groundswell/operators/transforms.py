@@ -186,22 +186,34 @@ def flow_rows(flows: DataFrame, **areas: str) -> DataFrame:
 
 def flow_totals(flows: DataFrame, side: str) -> DataFrame:
     """People per area over all flows of one side."""
-    return flow_rows(flows, fips=side).groupBy("fips").agg(F.sum("people").alias("people"))
+    return _per_area(_sided(flows, side)).groupBy("fips").agg(F.sum("people").alias("people"))
 
 
 def _sided(flows: DataFrame, *sides: str) -> DataFrame:
-    """(side, fips, people) of usable flows; with two sides, each flow counts on both."""
+    """(side, state, county, people), codes as written; with two sides, each flow counts on both."""
     each = [
         F.struct(
             F.lit(side).alias("side"),
-            strip(F.col(f"{side}_statefips")).alias("state"),
-            strip(F.col(f"{side}_countyfips")).alias("county"),
+            F.col(f"{side}_statefips").alias("state"),
+            F.col(f"{side}_countyfips").alias("county"),
         )
         for side in sides
     ]
-    rows = flows.select(F.explode(F.array(*each)).alias("s"), flow_counts(F.col("n2")).alias("people"))
-    area = _area_of(F.col("s.state"), F.col("s.county")).alias("fips")
-    return rows.select(F.col("s.side").alias("side"), area, "people").dropna()
+    people = flow_counts(F.col("n2")).alias("people")
+    return flows.select(people, *[c for s in sides for c in (f"{s}_statefips", f"{s}_countyfips")]).select(
+        F.inline(F.array(*each)), "people"
+    )
+
+
+def _per_area(rows: DataFrame) -> DataFrame:
+    """(side, fips, people) of usable flows, one row per code as it is written.
+
+    There are few codes and many flows: people are summed by the written codes first (with
+    map-side combine), and only the sums' codes are read.
+    """
+    summed = rows.groupBy("side", "state", "county").agg(F.sum("people").alias("people"))
+    area = _area_of(strip(F.col("state")), strip(F.col("county"))).alias("fips")
+    return summed.select("side", area, "people").dropna()
 
 
 def net_migration(inflows: DataFrame, outflows: DataFrame, year: int, quarter: int) -> DataFrame:
@@ -218,7 +230,7 @@ def net_migration(inflows: DataFrame, outflows: DataFrame, year: int, quarter: i
     def total(side: str) -> Column:
         return F.sum(F.when(F.col("side") == side, F.col("people")).otherwise(0))
 
-    both = rows.groupBy("fips").agg(total("y2").alias("inflow"), total("y1").alias("outflow"))
+    both = _per_area(rows).groupBy("fips").agg(total("y2").alias("inflow"), total("y1").alias("outflow"))
     return both.select(
         "fips",
         F.lit(year).alias("report_year"),

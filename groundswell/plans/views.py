@@ -90,15 +90,25 @@ class Views:
 
     @_once
     def orders(self) -> DataFrame:
-        """Orders with their area, which follows from the customer's key."""
+        """Orders with their area, which follows from the customer's key.
+
+        They are dealt by customer, as the join with customers asks for, before the work on them.
+        """
         customers = self.table("customer").select("c_custkey", F.col("c_name").alias("county_name"))
-        orders = self.table("orders").withColumn("fips", F.expr(AREA.format("o_custkey")))
+        orders = self.table("orders").repartition("o_custkey")
+        orders = orders.withColumn("fips", F.expr(AREA.format("o_custkey")))
         return orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
 
+    def lines(self) -> DataFrame:
+        """Line items dealt by order: the join with orders asks for that anyway, and the work on
+        the items of a file that cannot be split is spread before it begins."""
+        return self.table("lineitem").repartition("l_orderkey")
+
     @_once
     def items(self) -> DataFrame:
         """Line items with their order and area; each view prunes to its own columns."""
-        items, orders = self.table("lineitem"), self.orders()
+        items = self.lines()
+        orders = self.table("orders").withColumn("fips", F.expr(AREA.format("o_custkey")))
         joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
         return joined.withColumn("units", F.col("l_quantity").cast("bigint"))
 
@@ -111,7 +121,9 @@ class Views:
         """
         if ("permits_b",) in self.built:
             return
-        lines = self.table("lineitem").select(
+        # every rate and every source of people reads the areas: one small table
+        self.built[("areas",)] = checkpointed(self.areas())
+        lines = self.lines().select(
             "l_orderkey", "l_partkey", "l_returnflag", "l_shipdate",
             F.col("l_quantity").cast("bigint").alias("units"),
         )

@@ -101,3 +101,30 @@ def test_number_rows_on_one_and_no_row(spark):
     one = ordering.number_rows(spark.range(1), F.col("id").asc(), name="n").first()
     assert (one["n"], one["n_total"]) == (1, 1)
     assert ordering.number_rows(spark.range(0), F.col("id").asc(), name="n").count() == 0
+
+
+def test_latest_of_all_equals_latest_per_key(frame):
+    one = frame(
+        [("a", 2020, 1, 5, "x"), ("a", 2021, None, 6, "y"), ("a", 2021, 3, 9, "z"), ("a", 2021, 3, 7, None),
+         ("b", None, 2, 1, "n"), ("b", 2019, 1, 2, "m"), ("c", None, None, None, None)],
+        "fips string, report_year int, report_quarter int, v int, name string",
+    )
+    two = frame([("a", 2020, 0.5), ("d", 2020, None), ("d", 2019, 1.5)], "fips string, report_year int, w double")
+    none = frame([], "fips string, report_year int, q double")
+    tables = {
+        "one": (one, {"year": "report_year", "report_quarter": "report_quarter", "v": "v", "name": "name"}),
+        "two": (two, {"w": "w"}),
+        "none": (none, {"q": "q"}),
+    }
+    found = {r["fips"]: r for r in rows(panel.latest_of_all(tables), "fips")}
+    assert set(found) == {"a", "b", "c", "d"}
+    want = rows(panel.latest_per_key(one, ["report_year", "report_quarter", "v", "name"]), "fips")
+    for row in want:
+        got = found[row["fips"]]
+        assert (got["year"], got["report_quarter"], got["v"], got["name"]) == (
+            row["report_year"], row["report_quarter"], row["v"], row["name"],
+        )
+        assert got["has_one"]
+    for row in rows(panel.latest_per_key(two, ["w"]), "fips"):
+        assert found[row["fips"]]["w"] == row["w"] and found[row["fips"]]["has_two"]
+    assert not found["d"]["has_one"] and not any(r["has_none"] or r["q"] for r in found.values())
