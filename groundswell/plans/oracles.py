@@ -214,11 +214,10 @@ FROM orders JOIN homes g ON c_custkey = o_custkey""",
 FROM (SELECT DISTINCT substr(fips, 1, 2) AS fips FROM geo) s
   CROSS JOIN (SELECT 2030 AS projection_year UNION ALL SELECT 2035 UNION ALL SELECT 2040) y
   CROSS JOIN (SELECT 'SSP1' AS scenario, 900 AS k UNION ALL SELECT 'SSP2', 1700) c""",
-    "popproj_raw": """SELECT
-  cast(1000000 + n_nationkey * 5003 + (y.yr - 2020) * n_nationkey * 10 AS varchar) AS POP,
+    "popproj_raw": """SELECT cast(people + (y.yr - 2020) * (owner % 7) AS varchar) AS POP,
   cast(y.yr AS varchar) AS YEAR, cast(x.sex AS varchar) AS SEX,
-  cast(n_nationkey + 1 AS varchar) AS state
-FROM nation
+  cast(cast(substr(fips, 1, 2) AS int) AS varchar) AS state
+FROM areas
   CROSS JOIN (SELECT 2030 AS yr UNION ALL SELECT 2040) y
   CROSS JOIN (SELECT 0 AS sex UNION ALL SELECT 1 UNION ALL SELECT 2) x""",
     "bps_raw": """SELECT survey_date AS c0, substr(fips, 1, 2) AS c1,

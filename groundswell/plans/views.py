@@ -336,16 +336,16 @@ class Views:
 
     @_once
     def popproj_raw(self) -> DataFrame:
+        """State projections, a record per area of the state, year and sex."""
         return (
-            self.table("nation")
-            .selectExpr("n_nationkey", "explode(array(2030, 2040)) AS yr")
+            self.areas()
+            .selectExpr("fips", "people", "owner", "explode(array(2030, 2040)) AS yr")
             .selectExpr("*", "explode(array('0', '1', '2')) AS SEX")
             .selectExpr(
-                """cast(1000000 + n_nationkey * 5003 + (yr - 2020) * n_nationkey * 10
-                AS string) AS POP""",
+                "cast(people + (yr - 2020) * (owner % 7) AS string) AS POP",
                 "cast(yr AS string) AS YEAR",
                 "SEX",
-                "cast(n_nationkey + 1 AS string) AS state",
+                "cast(cast(substr(fips, 1, 2) AS int) AS string) AS state",
             )
         )
 
