@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links reach and is named by its smallest id, the one that is kept. Null, empty and
     blank texts have no shingles, link with nothing and are kept. Rows that repeat a
     doc_id count as one document when texts agree; each input row gives one output
-    row. A null doc_id is in no link and has a null component, and is kept.
+    row. A row without doc_id names no component: it shows that of the documents with its
+    words (null if there are none) and is kept.
     """
     docs = documents(docs)
     schema = "doc_id long, n_shingles long, fp binary, sketch binary"
