@@ -90,14 +90,8 @@ class Views:
 
     @_once
     def orders(self) -> DataFrame:
-        """Orders with their area, which follows from the customer's key.
-
-        They are dealt by customer, as the join with customers asks for, before the work on them.
-        """
-        customers = self.table("customer").select("c_custkey", F.col("c_name").alias("county_name"))
-        orders = self.table("orders").repartition("o_custkey")
-        orders = orders.withColumn("fips", F.expr(AREA.format("o_custkey")))
-        return orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+        """Orders with their area, which follows from the customer's key: no join is needed."""
+        return self.table("orders").withColumn("fips", F.expr(AREA.format("o_custkey")))
 
     def lines(self) -> DataFrame:
         """Line items dealt by order: the join with orders asks for that anyway, and the work on
@@ -107,8 +101,7 @@ class Views:
     @_once
     def items(self) -> DataFrame:
         """Line items with their order and area; each view prunes to its own columns."""
-        items = self.lines()
-        orders = self.table("orders").withColumn("fips", F.expr(AREA.format("o_custkey")))
+        items, orders = self.lines(), self.orders()
         joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
         return joined.withColumn("units", F.col("l_quantity").cast("bigint"))
 
@@ -244,8 +237,10 @@ class Views:
             )
         )
         orders = self.orders()
+        names = self.table("customer").select("c_custkey", F.col("c_name").alias("county_name"))
         return (
             orders.join(by_order, orders["o_orderkey"] == by_order["l_orderkey"])
+            .join(names, orders["o_custkey"] == names["c_custkey"])
             .withColumn("survey_date", F.date_format("o_orderdate", "yyyyMM"))
             .groupBy("fips", "county_name", "survey_date")
             .agg(
