@@ -370,7 +370,7 @@ def parse_employment(rows: DataFrame, quarter: int | None = None) -> DataFrame:
     if quarter is not None:
         total = total & (text("qtr") == str(quarter))
     months = [blank_as_zero(text(f"month{i}_emplvl")) for i in (1, 2, 3)]
-    kept = rows.filter(total).select(
+    fields = F.struct(
         area_code(text("area_fips")).alias("fips"),
         to_long(text("year")).try_cast("int").alias("report_year"),
         to_long(text("qtr")).try_cast("int").alias("report_quarter"),
@@ -379,8 +379,9 @@ def parse_employment(rows: DataFrame, quarter: int | None = None) -> DataFrame:
         .alias("total_employment"),
         blank_as_zero(text("total_qtrly_wages")).alias("total_wages"),
         blank_as_zero(text("qtrly_estabs")).alias("establishments"),
-        F.lit("bls_qcew").alias("data_source"),
     )
+    # Generated fields: a filter on them stays above the parsing instead of repeating it.
+    kept = rows.filter(total).select(F.inline(F.array(fields)), F.lit("bls_qcew").alias("data_source"))
     # An over-long code is a reject; a well-formed code of no known state is skipped.
     in_state = kept.filter(F.col("fips").isNull() | is_valid_area(F.col("fips")))
     return in_state.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundswell.operators import extras, indicators, ordering, panel, scoring, serving
 from groundswell.plans import catalog, views
 from groundswell.plans.views import Views
+from groundswell.sources.files import accepted, parse_employment
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -119,6 +120,12 @@ def test_items_of_unknown_parts_are_permits(spark, tmp_path):
     assert total(v.business_b(), "establishments") == total(businesses, "units")
 
 
+def test_wages_are_parsed_once(spark):
+    """Checks of parsed fields do not parse the text again."""
+    text = plan(accepted(parse_employment(Views(spark, SMALL).qcew_raw())))
+    assert text.count("^[0-9]{1,5}$") == 1
+
+
 def test_other_sources_are_read_once(spark):
     for name, table in (("projection_growth", "supplier"), ("state_compounding", "customer")):
         scans = lines(catalog.queries()[name](spark, SMALL), "FileScan")
