@@ -15,7 +15,6 @@ Only bins (id and size) move between tasks; token ids never do.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,9 +35,14 @@ SLICE = 4 << 20  # bytes of text whose words are held as objects at a time
 CHUNK = 100  # new words tokenized in one call
 END = (0).to_bytes(4, "little")
 _SPECIAL = b"<|"  # begins the special tokens, whose case matters
+_SIGNS = bytes(c for c in range(128) if c != ord("'") and not chr(c).isalnum())
 _SHIFT = 33  # a bin's id: round and task above, number in the task below
 
 
+def _chunks(words: list[bytes]) -> list[list[bytes]]:
+    return [words[at : at + CHUNK] for at in range(0, len(words), CHUNK)]
+
+
 class WordTokens:
     """Token ids of texts, by the ids of their words.
 
@@ -46,7 +50,7 @@ class WordTokens:
     across the border of a letter and an ASCII sign other than the apostrophe. So a
     text's ids are its words' ids one after the other, a word's are those of its base
     and of the signs at its end, and each is tokenized once. Words are tokenized many
-    at a time with a special token between them.
+    at a time: those of letters with a space between them, all others with a special token.
     """
 
     def __init__(self, path: str):
@@ -56,7 +60,9 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.signs = re.compile(rb"(.*[A-Za-z])([^A-Za-z0-9'\x80-\xff]+)", re.DOTALL)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[at for token, at in vocabulary.items() if token.endswith("</w>")]] = True
         self.recent = Recent(STORED)
 
     @staticmethod
@@ -76,26 +82,29 @@ class WordTokens:
         for word in missing:
             last = word[-1]
             # Most words end in a letter and need no closer look.
-            signs = not (97 <= last <= 122 or last > 127) and _SPECIAL not in word
-            match = self.signs.fullmatch(word) if signs else None
-            if not match:
+            if 97 <= last <= 122 or last > 127 or _SPECIAL in word:
                 new.add(word)
                 continue
-            joined.append((word, *match.groups()))
-            for part in match.groups():
+            base = word.rstrip(_SIGNS)
+            if len(base) == len(word) or not base[-1:].isalpha():
+                new.add(word)
+                continue
+            end = word[len(base) :]
+            joined.append((word, base, end))
+            for part in (base, end):
                 if part not in known:
                     value = before.get(part)
                     if value is None:
                         new.add(part)
                     else:
                         known[part] = value
-        plain = [w for w in new if _SPECIAL not in w]
-        groups = [plain[at : at + CHUNK] for at in range(0, len(plain), CHUNK)]
-        groups += [[w] for w in new if _SPECIAL in w]
-        texts = [self.mark.join(w.decode() for w in some) for some in groups]
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for some, found in zip(groups, encoded):
-            ids = np.array(found.ids, "<u4")
+        letters, plain = [], []
+        for word in new:
+            (letters if word.decode().isalpha() else plain).append(word)
+        plain += self._spaced(letters)
+        groups = _chunks([w for w in plain if _SPECIAL not in w])
+        groups += [[w] for w in plain if _SPECIAL in w]
+        for some, ids in self._encoded(groups, self.mark):
             raw = ids.tobytes()
             if len(some) == 1:
                 known[some[0]] = raw
@@ -106,6 +115,28 @@ class WordTokens:
         for word, base, end in joined:
             known[word] = known[base] + known[end]
 
+    def _encoded(self, groups: list[list[bytes]], between: str) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        texts = [between.join(w.decode() for w in some) for some in groups]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return ((some, np.array(f.ids, "<u4")) for some, f in zip(groups, found))
+
+    def _spaced(self, words: list[bytes]) -> list[bytes]:
+        """Learn words of letters with a space between them; the words left to be told apart.
+
+        Such a word is one unit of the tokenizer, whose last token is marked as an end. Each
+        word has at least one, so a group with as many ends as words has one in each.
+        """
+        left = []
+        for some, ids in self._encoded(_chunks(words), " "):
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(some):  # lower-casing may take a letter apart
+                left += some
+                continue
+            raw = ids.tobytes()
+            for word, begin, end in zip(some, [0, *ends], ends, strict=False):
+                self.recent.now[word] = raw[4 * begin : 4 * end]
+        return left
+
     def encode(self, words: list[bytes]) -> bytes:
         """Little-endian 32-bit ids; all words must have been learned with the last call."""
         return b"".join(map(self.recent.now.__getitem__, words))

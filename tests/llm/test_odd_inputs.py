@@ -63,3 +63,25 @@ def test_pages_of_any_bytes():
 def test_formulas_are_text():
     page = "<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is known.</p></article>"
     assert html_text.main_text(page) == "The sum a+b is known."
+
+
+def test_words_of_letters_need_no_special_token():
+    """They are tokenized with a space between them, and all words get the library's ids."""
+    known = packing.WordTokens(VOCABULARY)
+    own, seen = known.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return own.encode_batch_fast(texts, **options)
+
+    known.tokenizer = Spy()
+    texts = ["plain words größe İstanbul ΑΣ 東京 don't a1b2 end. what?! (x) _ -- İİ ªº ǅ", "ﬁn ΣΑΣ, مرحبا नमस्ते"]
+    for text in texts:
+        words = known.words(text.encode())
+        known.learn(set(words))
+        ids = np.frombuffer(known.encode(words), "<u4").tolist()
+        assert ids == own.encode(text, add_special_tokens=False).ids
+    seen.clear()
+    known.learn({b"several", b"more", b"such", b"words"})
+    assert seen and not any(known.mark in text for text in seen)
