@@ -6,6 +6,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -26,6 +27,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True, scope="module")
+def own_run_log():
+    """Loads of one test file do not show in the run log of the next."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.catalog.tableExists("bronze._ingestion_log"):
+        session.sql("DROP TABLE bronze._ingestion_log")
+
+
 @pytest.fixture
 def frame(spark):
     """Frame of tuples and a schema text."""
