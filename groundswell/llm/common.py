@@ -17,6 +17,7 @@ from groundswell.session import checkpointed, ensure_checkpoint_dir
 __all__ = [
     "Prefixes",
     "Recent",
+    "Words",
     "binary",
     "checkpointed",
     "delete_folder",
@@ -138,6 +139,52 @@ def digest_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
 
 
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+_BLOCK = 8  # bytes hashed in one step
+_LONG = 64  # bytes from which a word is hashed on its own
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(_BLOCK + 1)], np.uint64)
+
+
+class Words:
+    """Where the words of many texts lie, and a 64-bit hash of each.
+
+    ``data`` holds the bytes of the texts one after the other, ``ends`` where each text begins,
+    and where the last one ends. A word is a run without ASCII white space, as ``bytes.split``
+    finds them, and belongs to one text. All words are hashed at once, ``_BLOCK`` bytes in a
+    step, so that a word costs no Python object.
+    """
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        inside = ~_SPACE[data]
+        begins, stops = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        stops[:-1] &= ~inside[1:]
+        borders = ends[(ends > 0) & (ends < len(data))]
+        begins[borders] = inside[borders]
+        stops[borders - 1] = inside[borders - 1]
+        self.first = np.flatnonzero(begins)
+        self.length = np.flatnonzero(stops) + 1 - self.first
+        #: The first word of each text, and the number of all words.
+        self.text = np.searchsorted(self.first, ends)
+        self.hashes = self._hashed(data)
+
+    def _hashed(self, data: np.ndarray) -> np.ndarray:
+        padded = np.concatenate([data, np.zeros(_BLOCK, np.uint8)])
+        blocks = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+        found = mix(blocks[self.first] & _KEPT[np.minimum(self.length, _BLOCK)])
+        found += mix(self.length.astype(np.uint64) * _ODD)
+        for done in range(_BLOCK, _LONG, _BLOCK):
+            more = np.flatnonzero(self.length > done)
+            if not len(more):
+                break
+            left = np.minimum(self.length[more] - done, _BLOCK)
+            found[more] = mix(found[more] + (blocks[self.first[more] + done] & _KEPT[left]))
+        for word in np.flatnonzero(self.length > _LONG).tolist():
+            begin = self.first[word]
+            found[word] = xxhash.xxh3_64_intdigest(data[begin : begin + self.length[word]])
+        return found
+
+
 class Prefixes:
     """Hashes of any run of words of one text, each from two prefix sums.
 

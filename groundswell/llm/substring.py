@@ -25,106 +25,143 @@ combined before the shuffle, and its lookups are split by adaptive execution.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from groundswell.llm.common import (
     Prefixes,
+    Words,
     binary,
     checkpointed,
-    digest_words,
     documents,
+    mix,
     per_batch,
     release,
 )
 
 WINDOW = 13
 GRAM = 5
+SLICE = 1 << 20  # bytes of text worked on at a time, or one text
 
 
-def anchors(text: Prefixes) -> np.ndarray:
-    """The anchor of each window of a text."""
-    grams = text.every(GRAM)
-    windows = len(grams) - (WINDOW - GRAM)
-    if windows < 1:
-        return np.empty(0, np.uint64)
-    # The smallest of 9 neighbours, by doubling: of 2, of 4, of 8, of 9.
+def _smallest(grams: np.ndarray) -> np.ndarray:
+    """The smallest of each ``WINDOW - GRAM + 1`` neighbours, by doubling: of 2, of 4, of 8, of 9."""
     pairs = np.minimum(grams[:-1], grams[1:])
     fours = np.minimum(pairs[:-2], pairs[2:])
     eights = np.minimum(fours[:-4], fours[4:])
     return np.minimum(eights[:-1], grams[WINDOW - GRAM :])
 
 
-def stretches(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first window, number of windows) of each run of equal anchors."""
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, int)
-    return first, np.diff(np.append(first, len(own)))
-
-
-def _words(raw: bytes | None) -> list[bytes]:
-    return raw.split() if raw else []
-
-
-def _prefixes(raw: bytes | None) -> Prefixes:
-    return Prefixes(digest_words(_words(raw)))
+class _Windows:
+    """All windows of many texts with their anchors, and the stretches of equal ones.
 
+    The texts' words are one sequence, since a run's hash does not depend on its place; the
+    windows that cross the border of two texts are left out.
+    """
 
-def _lists(parts: list[np.ndarray], kind) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    values = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        words = Words(data, ends)
+        self.begin = words.text  # the first word of each text
+        self.text = Prefixes(words.hashes)
+        count = np.maximum(np.diff(self.begin) - (WINDOW - 1), 0)
+        rows = np.repeat(np.arange(len(count)), count)
+        #: Of each window: its text and its first word.
+        self.at = np.arange(len(rows)) + (self.begin[:-1] - np.cumsum(count) + count)[rows]
+        grams = self.text.every(GRAM)
+        own = _smallest(grams)[self.at] if len(rows) else np.empty(0, np.uint64)
+        new = np.ones(len(rows), bool)
+        new[1:] = (own[1:] != own[:-1]) | (rows[1:] != rows[:-1])
+        first = np.flatnonzero(new)
+        #: Of each stretch: its text, first word, number of windows and anchor.
+        self.row, self.first = rows[first], self.at[first]
+        self.count = np.diff(np.append(first, len(rows)))
+        self.anchor = own[first]
+
+    def start(self, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Places in the texts of the words ``at``."""
+        return at - self.begin[row]
+
+
+def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[int, _Windows]]:
+    """The windows of a batch's texts, a slice of some ``SLICE`` bytes at a time, with its first row."""
+    texts = batch.column(batch.schema.names.index("text")).cast(pa.large_binary()).fill_null(b"")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    begin = 0
+    while begin < len(texts):
+        stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE)))
+        stop = min(stop, len(texts))
+        yield begin, _Windows(data[ends[begin] : ends[stop]], ends[begin : stop + 1] - ends[begin])
+        begin = stop
 
 
 def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = []
-    for raw in binary(batch, "text"):
-        own = anchors(_prefixes(raw))
-        found.append(np.unique(own[stretches(own)[0]]).view(np.int64))
-    return pa.record_batch([batch.column(0), _lists(found, pa.int64())], names=["doc_id", "anchors"])
-
-
-def _listed(batch: pa.RecordBatch, name: str):
-    """(row, prefixes, anchors, listed anchors) of the documents that have a list."""
-    lists = batch.column(batch.schema.names.index(name)).to_pylist()
-    for row, (raw, listed) in enumerate(zip(binary(batch, "text"), lists)):
-        if listed:
-            text = _prefixes(raw)
-            yield row, text, anchors(text), np.array(listed, np.int64).view(np.uint64)
-
-
-def _rows(batch: pa.RecordBatch, found: list, names: list[str], kinds: list) -> pa.RecordBatch:
-    """One row per element of the arrays found, with the document's id in front."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    keys = [np.full(len(parts[0]), ids[row], np.int64) for row, *parts in found]
-    columns = [keys, *([parts[k] for _, *parts in found] for k in range(len(names)))]
-    arrays = [
-        pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, [pa.int64(), *kinds])
-    ]
-    return pa.record_batch(arrays, names=["doc_id", *names])
+    values, counts = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, found in _sliced(batch):
+        order = np.lexsort((found.anchor, found.row))
+        anchor, row = found.anchor[order], found.row[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+        values.append(anchor[new])
+        counts.append(np.bincount(row[new], minlength=len(found.begin) - 1))
+    ends = pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32))
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values).view(np.int64)))
+    return pa.record_batch([batch.column(0), lists], names=["doc_id", "anchors"])
+
+
+def _tagged(anchor: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One number for an anchor of a row. Two that meet by chance only cause a lookup in vain."""
+    return anchor + mix(row.astype(np.uint64) + np.uint64(1))
+
+
+def _listed(batch: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, _Windows, np.ndarray]]:
+    """(ids, windows, which stretches have listed anchors) of the documents that have a list."""
+    lists = batch.column(batch.schema.names.index(name))
+    batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(lists), 0), 0))
+    lists = batch.column(batch.schema.names.index(name))
+    ids = batch.column(0).to_numpy()
+    rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    listed = _tagged(lists.flatten().to_numpy().view(np.uint64), rows)
+    ends = np.searchsorted(rows, np.arange(len(lists) + 1))
+    for begin, found in _sliced(batch):
+        stop = begin + len(found.begin) - 1
+        wanted = listed[ends[begin] : ends[stop]]
+        keep = np.isin(_tagged(found.anchor, found.row + begin), wanted)
+        yield ids[begin:stop], found, keep
+
+
+def _rows(found: list[tuple[np.ndarray, ...]], names: list[str], kinds: list) -> pa.RecordBatch:
+    """The rows of all slices, a column per name."""
+    columns = zip(*found) if found else [[np.empty(0, np.int64)]] * len(names)
+    arrays = [pa.array(np.concatenate(c), kind) for c, kind in zip(columns, kinds)]
+    return pa.record_batch(arrays, names=names)
 
 
 def _stretches(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The stretches of each document's remaining anchors."""
-    found = []
-    for row, text, own, listed in _listed(batch, "shared"):
-        first, count = stretches(own)
-        keep = np.isin(own[first], listed)
-        first, count = first[keep], count[keep]
-        hashes = text.runs(first, count + WINDOW - 1).view(np.int64)
-        found.append((row, first, count, own[first].view(np.int64), hashes))
-    names = ["start", "windows", "anchor", "stretch"]
-    return _rows(batch, found, names, [pa.int32(), pa.int32(), pa.int64(), pa.int64()])
+    rows = []
+    for ids, found, keep in _listed(batch, "shared"):
+        row, first, count = found.row[keep], found.first[keep], found.count[keep]
+        hashes = found.text.runs(first, count + WINDOW - 1).view(np.int64)
+        rows.append((ids[row], found.start(first, row), count, found.anchor[keep].view(np.int64), hashes))
+    names = ["doc_id", "start", "windows", "anchor", "stretch"]
+    return _rows(rows, names, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()])
 
 
 def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The single windows of each document's anchors with differing stretches."""
-    found = []
-    for row, text, own, listed in _listed(batch, "open"):
-        at = np.flatnonzero(np.isin(own, listed))
-        found.append((row, at, text.every(WINDOW)[at].view(np.int64)))
-    return _rows(batch, found, ["start", "window"], [pa.int32(), pa.int64()])
+    rows = []
+    for ids, found, keep in _listed(batch, "open"):
+        row = np.repeat(found.row[keep], found.count[keep])
+        at = found.at[np.repeat(keep, found.count)]
+        hashes = found.text.runs(at, np.int64(WINDOW)).view(np.int64)
+        rows.append((ids[row], found.start(at, row), hashes))
+    return _rows(rows, ["doc_id", "start", "window"], [pa.int64(), pa.int32(), pa.int64()])
 
 
 def parse(places: list) -> list[tuple[int, int, int, int]]:
@@ -228,7 +265,7 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     counts, removed, shas = [], [], []
     factors = batch.column(batch.schema.names.index("factors")).to_pylist()
     for raw, spans in zip(binary(batch, "text"), factors):
-        words = _words(raw)
+        words = raw.split() if raw else []
         kept = words
         if spans:
             gone = np.zeros(len(words), bool)

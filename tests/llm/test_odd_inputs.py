@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from groundswell.llm import html_text, line_dedup, packing, queries
+from groundswell.llm import common, html_text, line_dedup, packing, queries, substring
 
 VOCABULARY = queries.vocabulary("word_bpe_49k.json")
 
@@ -85,3 +85,30 @@ def test_words_of_letters_need_no_special_token():
     seen.clear()
     known.learn({b"several", b"more", b"such", b"words"})
     assert seen and not any(known.mark in text for text in seen)
+
+
+def test_words_of_many_texts():
+    """Hashed in one go, the words are those of ``split`` of each text, and only equal ones are equal."""
+    rng = random.Random(7)
+    signs = [b"a", b"b", b"\x00", b"\xc3\xa9", b"\xc2\xa0", b"\xc2\x85", *(bytes([c]) for c in (9, 10, 11, 12, 13, 28, 31, 32, 32))]
+    texts = [b"".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(3000)]
+    texts += [b"", *(b"ab" * n for n in range(30, 40)), *(b"x" * n + b" " + b"x" * n for n in range(1, 140)), b""]
+    ends = np.cumsum([0, *map(len, texts)])
+    found = common.Words(np.frombuffer(b"".join(texts), np.uint8), ends)
+    words = [text.split() for text in texts]
+    assert found.text.tolist() == np.cumsum([0, *map(len, words)]).tolist()
+    flat = [word for some in words for word in some]
+    assert found.length.tolist() == [len(word) for word in flat]
+    assert len(set(found.hashes.tolist())) == len(set(zip(flat, found.hashes.tolist()))) == len(set(flat))
+    nothing = common.Words(np.empty(0, np.uint8), np.zeros(3, np.int64))
+    assert len(nothing.hashes) == 0 and nothing.text.tolist() == [0, 0, 0]
+
+
+def test_copies_beside_rows_without_an_id(spark):
+    """Large ids stay exact in a batch that also holds a null one."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    first = 2**53 + 1
+    rows = [(None, passage), (first, f"{passage} own"), (first + 2, f"new {passage}"), (first + 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["factors"] for r in substring.duplicate_factors(docs).collect()}
+    assert [tuple(f) for f in found.pop(first + 2)] == [(1, 20, first, 0)] and not found
