@@ -142,6 +142,23 @@ class WordTokens:
         return b"".join(map(self.recent.now.__getitem__, words))
 
 
+_OF_WORKER: dict[tuple, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The process's tokenizer of a vocabulary file, with the words its earlier tasks learned.
+
+    Python workers live on between tasks; loading the file and learning the common words
+    anew in each would take a sixth of a task's time.
+    """
+    found = os.stat(path)
+    key = (path, found.st_mtime_ns, found.st_size)
+    if key not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[key] = WordTokens(path)
+    return _OF_WORKER[key]
+
+
 def best_fit(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit decreasing: (bin of each item, its offset there, sizes of the bins).
 
@@ -177,7 +194,7 @@ def _local(path: str):
     """Pieces of a task's documents, packed: one row per piece, with its bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordTokens(path)
+        known = word_tokens(path)
         keys_of, pieces, starts, lengths, crcs = [], *(array("q") for _ in range(4))
         for batch in batches:
             raws, keys = binary(batch, "text"), batch.column(0).to_pylist()

@@ -112,3 +112,21 @@ def test_copies_beside_rows_without_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     found = {r["doc_id"]: r["factors"] for r in substring.duplicate_factors(docs).collect()}
     assert [tuple(f) for f in found.pop(first + 2)] == [(1, 20, first, 0)] and not found
+
+
+def test_tasks_of_a_worker_share_what_they_learned(tmp_path):
+    """One tokenizer per process and file; a file written anew is read anew."""
+    known = packing.word_tokens(VOCABULARY)
+    for text in ("One task's words, then", "another task's words!!"):
+        again = packing.word_tokens(VOCABULARY)
+        words = again.words(text.encode())
+        again.learn(set(words))
+        want = known.tokenizer.encode(text, add_special_tokens=False).ids
+        assert again is known and np.frombuffer(again.encode(words), "<u4").tolist() == want
+    copy = tmp_path / "words.json"
+    with open(VOCABULARY) as source:
+        copy.write_text(source.read())
+    first = packing.word_tokens(str(copy))
+    assert first is not known and packing.word_tokens(str(copy)) is first
+    copy.write_text(copy.read_text() + "\n")
+    assert packing.word_tokens(str(copy)) is not first
