@@ -18,6 +18,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from groundswell.llm.common import Recent, binary, checkpointed, documents, give
 LENGTH = 2048
 SLACK = 1
 ROUND_ITEMS = 20_000
-STORED = 150_000  # words in each of the two generations whose ids a task holds, some 20 MB each
+STORED = 500_000  # words in each of the two generations whose ids a worker holds, some 70 MB each
 SLICE = 4 << 20  # bytes of text whose words are held as objects at a time
 CHUNK = 100  # new words tokenized in one call
 END = (0).to_bytes(4, "little")
@@ -141,6 +142,28 @@ class WordTokens:
         """Little-endian 32-bit ids; all words must have been learned with the last call."""
         return b"".join(map(self.recent.now.__getitem__, words))
 
+    def encode_all(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, the end token after each; where each ends).
+
+        Arrow numbers the words, so that each distinct one is looked up once.
+        """
+        numbered = pa.array(list(chain.from_iterable(texts)), pa.binary()).dictionary_encode()
+        words = numbered.dictionary.to_pylist()
+        self.learn(set(words))
+        parts = [*map(self.recent.now.__getitem__, words), END]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        last = np.cumsum([len(some) for some in texts])  # the end token's place among the words
+        numbers = np.insert(numbered.indices.to_numpy(), last, len(words))
+        count = sizes[numbers]
+        ends = np.cumsum(count)
+        total = int(ends[-1])
+        kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+        shift = ((np.cumsum(sizes) - sizes)[numbers] - (ends - count)).astype(kind)
+        at = np.arange(total, dtype=kind)
+        at += np.repeat(shift, count)
+        return ids[at], ends[last + np.arange(len(texts))]
+
 
 _OF_WORKER: dict[tuple, WordTokens] = {}
 
@@ -200,16 +223,17 @@ def _local(path: str):
             raws, keys = binary(batch, "text"), batch.column(0).to_pylist()
             for rows in slices(raws, SLICE):
                 texts = [known.words(raws[row]) for row in rows]
-                known.learn(set().union(*texts))
-                for row, words in zip(rows, texts):
-                    tokens = known.encode(words) + END
-                    for piece, at in enumerate(range(0, len(tokens), 4 * LENGTH)):
-                        part = tokens[at : at + 4 * LENGTH]
+                ids, ends = known.encode_all(texts)
+                begin = 0
+                for row, end in zip(rows, ends.tolist()):
+                    for piece, at in enumerate(range(begin, end, LENGTH)):
+                        part = ids[at : min(at + LENGTH, end)]
                         keys_of.append(keys[row])
                         pieces.append(piece)
-                        starts.append(at // 4)
-                        lengths.append(len(part) // 4)
+                        starts.append(at - begin)
+                        lengths.append(len(part))
                         crcs.append(zlib.crc32(part))
+                    begin = end
         own = TaskContext.get().partitionId() << _SHIFT
         bins, offsets, sizes = best_fit(np.array(lengths, np.int64))
         yield pa.record_batch(
@@ -225,7 +249,7 @@ def _local(path: str):
             ],
             names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "size"],
         )
-        del known, keys_of, pieces, starts, lengths, crcs
+        del keys_of, pieces, starts, lengths, crcs
         give_back()
 
     return run

@@ -130,3 +130,14 @@ def test_tasks_of_a_worker_share_what_they_learned(tmp_path):
     assert first is not known and packing.word_tokens(str(copy)) is first
     copy.write_text(copy.read_text() + "\n")
     assert packing.word_tokens(str(copy)) is not first
+
+
+def test_ids_of_many_texts():
+    """All texts of a slice at once: each one's ids as the tokenizer gives them, then the end token."""
+    known = packing.WordTokens(VOCABULARY)
+    texts = ["", "  ", "The same words, the same WORDS!!", *odd_texts(9, 500), "the end", ""]
+    ids, ends = known.encode_all([known.words(text.encode()) for text in texts])
+    want = [found.ids + [0] for found in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [some.tolist() for some in np.split(ids, ends[:-1])] == want and ends[-1] == len(ids)
+    ids, ends = known.encode_all([[]])
+    assert ids.tolist() == [0] and ends.tolist() == [1]
